@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewake.llm import text_queries
+from tracewake.llm import text_queries, vector_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, vector_queries)
 
 
 def llm_queries() -> dict:
