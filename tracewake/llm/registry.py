@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewake.llm import consensus_queries, leak_queries, subject_queries, text_queries, vector_queries
+from tracewake.llm import consensus_queries, leak_queries, source_queries, subject_queries, text_queries, vector_queries
 
-MODULES = (text_queries, vector_queries, leak_queries, subject_queries, consensus_queries)
+MODULES = (text_queries, vector_queries, leak_queries, subject_queries, consensus_queries, source_queries)
 
 
 def llm_queries() -> dict:
