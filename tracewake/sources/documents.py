@@ -21,11 +21,7 @@ def _number(x: float) -> str:
         return str(int(x))
     mantissa, _, exponent = repr(x).partition("e")
     if not exponent:
-        if abs(x) >= 1e-6:
-            return mantissa
-        digits = f"{x:.17e}"
-        short = repr(x)
-        return short if "e" in short else digits
+        return mantissa
     power = int(exponent)
     if -7 < power < 0:
         sign, digits = ("-", mantissa[1:]) if mantissa[0] == "-" else ("", mantissa)
@@ -39,7 +35,7 @@ def canonical(value) -> str:
         return json.dumps(value)
     if isinstance(value, str):
         value.encode("utf-8")
-        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\x7f")
+        return json.dumps(value, ensure_ascii=False)
     if isinstance(value, int):
         if abs(value) > 2**53 - 1:
             raise ValueError(f"{value} is not exact as a double")
