@@ -16,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Letters and digits of a shingle. Spacing may differ inside and between words, so shingles run across them; eight are about a word and a half.
 GRAM = 8
-#: Hashes of a signature; characters of a strip (a block of a text is two strips); characters and step of the item windows that are searched.
-HASHES, STRIP, WINDOW, STEP = 64, 80, 110, 8
+#: Bins of a signature (one-permutation hashing: a shingle's hash names its bin and competes for that bin's minimum); characters of a strip (a block of a text is two strips); characters and step of the item windows that are searched.
+BINS, STRIP, WINDOW, STEP = 64, 80, 110, 8
 #: Share of a window's shingles that a block must be able to hold, and the chance of finding such a block.
 CONTAINED, CHANCE = 0.25, 0.999
 #: Words of an item that a document must hold running, less what edits at both ends may hide; share of their shingles to be found.
@@ -27,9 +27,8 @@ MOST_ITEM_BYTES = 8 << 20
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|\\[nrt]")
 _KEEP = re.compile(r"[^\W_]+")
-_rng = np.random.default_rng(8)
-_A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_SHIFT = np.uint64(58)
+_LOW = np.uint64((1 << 58) - 1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(GRAM)], dtype=np.uint64)
 
 
@@ -57,22 +56,30 @@ def shingles(squeezed: str) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def permuted(h: np.ndarray) -> np.ndarray:
-    """The shingles under each hash function, as its number above 32 bits."""
-    return ((h[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)) | (np.arange(HASHES, dtype=np.uint64)[:, None] << np.uint64(32))
+def signatures(h: np.ndarray, domain: np.ndarray, count: int) -> np.ndarray:
+    """The least hash of each bin of each of ``count`` domains, all ones where a bin is empty; ``domain`` is that of each shingle."""
+    least = np.full(count * BINS, _LOW)
+    bins = (h >> _SHIFT).astype(np.int64)
+    np.minimum.at(least, domain * BINS + bins, h & _LOW)
+    return least.reshape(count, BINS)
+
+
+_BIN_KEYS = np.arange(BINS, dtype=np.uint64) << _SHIFT
 
 
 def needed(size: int) -> int:
-    """Equal hashes that a domain of ``size`` shingles shows, but for one case in a thousand, if it contains enough of a window."""
+    """Equal bins that a domain of ``size`` shingles shows, but for one case in a thousand, if it contains enough of a window."""
     common = CONTAINED * WINDOW
-    similar = common / (max(size, common) + WINDOW - common)
+    union = max(size, common) + WINDOW - common
+    filled = int(BINS * (1 - math.exp(-union / BINS)))
+    similar = common / union
     below, m = 0.0, 0
-    while m < HASHES:
-        below += math.comb(HASHES, m) * similar**m * (1 - similar) ** (HASHES - m)
+    while m < filled:
+        below += math.comb(filled, m) * similar**m * (1 - similar) ** (filled - m)
         if below > 1 - CHANCE:
             return max(1, m)
         m += 1
-    return HASHES
+    return max(1, filled)
 
 
 @dataclass
@@ -103,11 +110,11 @@ def build_items(rows: list[tuple]) -> Items:
         order = np.argsort(h[at])
         grams.append((h[at][order], at[order]))
         found = [np.empty(0, np.uint64)]
-        p = permuted(h)
-        p[:, ~own] = np.uint64(2**63)
         for a in range(0, max(1, len(h) - WINDOW + STEP), STEP):
-            if own[a : a + WINDOW].any():
-                found.append(p[:, a : a + WINDOW].min(1))
+            part = h[a : a + WINDOW][own[a : a + WINDOW]]
+            if len(part):
+                sign = signatures(part, np.zeros(len(part), np.int64), 1)[0]
+                found.append((sign | _BIN_KEYS)[sign != _LOW])
         found = np.unique(np.concatenate(found))
         keys.append(found)
         owners.append(np.full(len(found), k))
@@ -120,18 +127,20 @@ def candidates(h: np.ndarray, items: Items) -> list[int]:
     """Items of which some block of the text may contain a window.
 
     A text up to a block is one domain, a longer one is cut into blocks that overlap by half, so that any
-    passage of a window's length lies in one. Domains are parted by size; each part has its own number of equal hashes.
+    passage of a window's length lies in one. Domains are parted by size; each part has its own number of equal bins.
     """
     if not len(h) or not len(items.keys):
         return []
-    strips = np.minimum.reduceat(permuted(h), np.arange(0, len(h), STRIP), axis=1)
-    blocks = np.minimum(strips[:, :-1], strips[:, 1:]) if strips.shape[1] > 1 else strips
-    flat = blocks.T.ravel()
+    count = -(-len(h) // STRIP)
+    strips = signatures(h, np.arange(len(h)) // STRIP, count)
+    blocks = np.minimum(strips[:-1], strips[1:]) if count > 1 else strips
+    flat = (blocks | _BIN_KEYS).ravel()
+    flat[blocks.ravel() == _LOW] = np.uint64(2**64 - 1)
     lo, hi = np.searchsorted(items.keys, flat), np.searchsorted(items.keys, flat, side="right")
     many = hi - lo
     if not many.any():
         return []
-    hit = np.repeat(np.arange(len(flat)) // HASHES, many)
+    hit = np.repeat(np.arange(len(flat)) // BINS, many)
     owner = items.owners[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
     pair, count = np.unique(hit * len(items.ids) + owner, return_counts=True)
     size = min(len(h), 2 * STRIP)
