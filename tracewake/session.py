@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +36,25 @@ def local_session(cpus: str | int = "*", app: str = "tracewake", memory: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of the session, once, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_tracewake_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    # The driver serves this file to executors, also to later ones, until it ends.
+    folder = tempfile.mkdtemp(prefix="tracewake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "tracewake-package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tracewake_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
