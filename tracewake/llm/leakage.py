@@ -89,7 +89,7 @@ class Items:
     ids: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
-    grams: list[tuple[np.ndarray, np.ndarray]]
+    grams: tuple[np.ndarray, np.ndarray, np.ndarray]
     starts: list[np.ndarray]
     limits: dict[int, int]
 
@@ -107,8 +107,7 @@ def build_items(rows: list[tuple]) -> Items:
         first = np.unique(h, return_counts=True)
         once = own & np.isin(h, first[0][first[1] == 1])
         at = np.flatnonzero(once)
-        order = np.argsort(h[at])
-        grams.append((h[at][order], at[order]))
+        grams.append((h[at], np.full(len(at), k), at))
         found = [np.empty(0, np.uint64)]
         for a in range(0, max(1, len(h) - WINDOW + STEP), STEP):
             part = h[a : a + WINDOW][own[a : a + WINDOW]]
@@ -120,7 +119,9 @@ def build_items(rows: list[tuple]) -> Items:
         owners.append(np.full(len(found), k))
     keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, int))
     order = np.argsort(keys, kind="stable")
-    return Items(np.array([t[0] for t in texts], dtype=object), keys[order], owners[order], grams, [np.array(t[2]) for t in texts], {n: needed(1 << n) for n in range(12)})
+    values, whose, places = (np.concatenate(x) for x in zip(*grams)) if grams else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int))
+    by = np.argsort(values)
+    return Items(np.array([t[0] for t in texts], dtype=object), keys[order], owners[order], (values[by], whose[by], places[by]), [np.array(t[2]) for t in texts], {n: needed(1 << n) for n in range(12)})
 
 
 def candidates(h: np.ndarray, items: Items) -> list[int]:
@@ -149,31 +150,33 @@ def candidates(h: np.ndarray, items: Items) -> list[int]:
 
 def passages(text: str | None, items: Items) -> list[tuple[int, int, float]]:
     """``(item, words, share)`` of every item of which the text holds a passage."""
-    squeezed, _ = squeeze(text)
-    h = shingles(squeezed)
+    h = shingles(squeeze(text)[0])
+    likely = candidates(h, items)
+    if not likely:
+        return []
+    values, whose, places = items.grams
+    at = np.searchsorted(values, h)
+    at[at == len(values)] = 0
+    text_at = np.flatnonzero(values[at] == h)
+    at = at[text_at]
     found = []
-    for k in candidates(h, items):
-        words, share = longest_passage(h, items.grams[k], items.starts[k])
+    for k in likely:
+        own = whose[at] == k
+        words, share = longest_passage(text_at[own], places[at[own]], items.starts[k])
         if words >= WORDS and share >= SHARE:
             found.append((k, words, share))
     return found
 
 
-def longest_passage(h: np.ndarray, grams: tuple[np.ndarray, np.ndarray], starts: np.ndarray) -> tuple[int, float]:
+def longest_passage(text_at: np.ndarray, item_at: np.ndarray, starts: np.ndarray) -> tuple[int, float]:
     """Words of the longest running passage of the item in the text, and the share of its shingles found.
 
-    Shingles of the item at which the text agrees are chained while item and text go on together: steps of at
+    Shingles at which text and item agree, in text order, are chained while both go on together: steps of at
     most 90 characters whose lengths differ by at most 30, about what a few changed words leave.
     """
-    values, places = grams
-    if not len(values) or not len(h):
-        return 0, 0.0
-    at = np.searchsorted(values, h)
-    at[at == len(values)] = 0
-    text_at = np.flatnonzero(values[at] == h)
     chains: list[list[int]] = []
     done: list[list[int]] = []
-    for d, i in zip(text_at.tolist(), places[at[text_at]].tolist()):
+    for d, i in zip(text_at.tolist(), item_at.tolist()):
         for c in reversed(chains):
             step, moved = i - c[1], d - c[2]
             if 0 < step <= 90 and abs(step - moved) <= 30:
