@@ -23,7 +23,7 @@ ASSIGNED = 0.5
 _HUMP = re.compile(r"(?<=[a-zß-ÿ])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+|\s\|\s")
-_ADDRESS = re.compile(r"`[^`]+`|\S*(?:[a-zß-ÿ][A-Z]|\w_\w|\w/\w)\S*")
+_ADDRESS = re.compile(r"`|[a-zß-ÿ][A-Z]|\w[_/]\w")
 _SECTION = re.compile(r"\s*(?:#{1,6}\s|[-*+|]\s|\d+[.)]\s|\w+(?:\(\w+\))?:\s)")
 
 
@@ -53,7 +53,7 @@ def votes_of(text: str | None, lexicon: dict[str, int], first: set[str]) -> list
         named = {lexicon[t] for t in terms_of(words_of(sentence), lexicon, first)}
         if named:
             own.update(named)
-            code = {lexicon[t] for part in _ADDRESS.findall(sentence) for t in terms_of(words_of(part), lexicon, first)}
+            code = {lexicon[t] for part in sentence.split() if _ADDRESS.search(part) for t in terms_of(words_of(part), lexicon, first)}
             address.update(code & named)
             if place == 0 or _SECTION.match(sentence):
                 section.update(named)
