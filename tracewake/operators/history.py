@@ -14,17 +14,19 @@ COLLECTION = 10_000
 def reachable(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
     """``sha`` of every commit that ``heads`` (``sha``) reach, themselves included, by the edges of ``commits`` (``sha, parents``).
 
-    The set of steps doubles each round (pointer jumping), so a history of n commits takes about log2 n rounds, each written to the checkpoint folder.
+    Round r follows paths of exactly 2^r edges, so a history n commits deep takes about log2 n rounds, each written to the
+    checkpoint folder. When a round adds nothing, every parent of a found commit is found.
     """
     found = cut_lineage(heads.select("sha").distinct())
     jump = cut_lineage(commits.select("sha", F.explode("parents").alias("to")).distinct())
     for _ in range(rounds):
-        more = cut_lineage(jump.join(found, "sha").select(F.col("to").alias("sha")).union(found).distinct())
-        if more.count() == found.count():
-            return more
-        found = more
-        jump = cut_lineage(jump.union(jump.alias("a").join(jump.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", "far")).distinct())
-    return found
+        added = cut_lineage(jump.join(found, "sha", "left_semi").select(F.col("to").alias("sha")).distinct().join(found, "sha", "left_anti"))
+        if added.isEmpty():
+            return found
+        found = cut_lineage(found.union(added))
+        onward = jump.select(F.col("sha").alias("to"), F.col("to").alias("far"))
+        jump = cut_lineage(jump.join(onward, "to").select("sha", F.col("far").alias("to")).distinct())
+    raise RuntimeError(f"a history deeper than 2^{rounds}")
 
 
 def is_ancestor(commits: DataFrame, ancestor: str, of: str) -> bool:
