@@ -169,8 +169,11 @@ def train(paths: list[str], texts: list[str], scopes: list[str], copies: list[in
     report = {
         "held_out": int(held.sum()), "held_out_marked": int((held & any_label).sum()), "found": int((held & any_label & (scores > 0)).sum()), "beyond_marks": int((held & ~any_label & (scores > 0)).sum()),
     }
-    second = labels | ((first > 0.5) & ~any_label[:, None])
-    unsure = ~any_label & (scores > -0.1) & (scores <= 0.5)
+    # Data is known by its shape, not by a mark that may be missing, so what has not the shape stays outside the class.
+    marks = np.arange(len(CLASSES)) != CLASSES.index("data")
+    second = labels | ((first > 0.5) & marks & ~any_label[:, None])
+    nearest = first[:, marks].max(1)
+    unsure = ~any_label & (nearest > -0.1) & (nearest <= 0.5)
     w = _fit(features, second, weights(second, ~unsure))
     report["final"] = int((margins(w).max(1) > 0).sum())
     return Classifiers(w[:GRAM_BUCKETS].astype(np.float32), w[GRAM_BUCKETS:-1], w[-1]), report
