@@ -135,3 +135,11 @@ def test_history(spark, rows):
     base = spark.createDataFrame([("a", "1", "100644"), ("b", "2", "100644"), ("c", "3", "100644"), ("l", "4", "100644")], tree)
     target = spark.createDataFrame([("a", "9", "100644"), ("d", "2", "100644"), ("c", "3", "100644"), ("l", "4", "120000"), ("n", "7", "100644")], tree)
     assert rows(history.diff_trees(base, target)) == [("added", "n", None), ("modified", "a", None), ("renamed", "d", "b"), ("type_changed", "l", None)]
+
+
+def test_global_rank(spark):
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 4999).alias("v"), "id").repartition(7)
+    ranked = history.global_rank(rows, [F.desc("v"), F.col("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == list(range(1, 5001))
+    assert [(r["v"], r["id"]) for r in ranked] == sorted(((r["v"], r["id"]) for r in ranked), key=lambda x: (-x[0], x[1]))
+    assert history.global_rank(rows.limit(0), [F.col("id")]).count() == 0

@@ -11,6 +11,19 @@ from tracewake.session import cut_lineage
 COLLECTION = 10_000
 
 
+def global_rank(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Adds ranks from 1 over all rows in a total ``order`` without bringing them into one task.
+
+    Rows are cut into ranges of the order, numbered within each, and moved up by the rows of the ranges before: one number a range.
+    """
+    ranges = cut_lineage(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = ranges.groupBy("__range").agg(F.count("*").alias("n")).select(
+        "__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    )
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + inside).cast("long")).drop("__range", "__before")
+
+
 def reachable(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
     """``sha`` of every commit that ``heads`` (``sha``) reach, themselves included, by the edges of ``commits`` (``sha, parents``).
 
@@ -77,7 +90,7 @@ def cochange(changes: DataFrame, seeds: DataFrame) -> DataFrame:
     s = seeds.select("path").distinct()
     touched = changes.join(s, "path", "left_semi").select("commit").distinct()
     counted = changes.join(touched, "commit", "left_semi").join(s, "path", "left_anti").groupBy("path").agg(F.countDistinct("commit").alias("n_commits"), F.max("time").alias("latest"))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_commits"), F.desc("latest"), "path")))
+    return global_rank(counted, [F.desc("n_commits"), F.desc("latest"), F.col("path")])
 
 
 def issue_links(changes: DataFrame, references: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -91,7 +104,7 @@ def issue_links(changes: DataFrame, references: DataFrame, seeds: DataFrame) ->
     # A commit names few issues; pairs of file and reference are formed after the join on commits.
     linked = references.join(named, "reference", "left_semi").distinct().join(changes.select("commit", "path").distinct(), "commit").join(s, "path", "left_anti")
     counted = linked.groupBy("path").agg(F.countDistinct("reference").alias("n_references"))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_references"), "path")))
+    return global_rank(counted, [F.desc("n_references"), F.col("path")])
 
 
 def term_weights(matches: DataFrame, by: list[str]) -> DataFrame:
