@@ -36,6 +36,13 @@ def test_folding_changes_nothing():
             assert mask & (MARKUP if jsx else JS | TS) == ecma._dialects(text, jsx, MARKUP if jsx else JS | TS)[0]
 
 
+def test_runs_of_list_items():
+    rows = "export const A = [\n" + "  [1, 'a', -3],\n" * 5000 + "  [1, 'a',\n" * 0 + "];\nf(" + "1.5, -2, {a: 1}, " * 5000 + "3);"
+    assert dialects(rows) == ALL and dialects(rows.replace("-3],\n];", "-3] 4\n];")) == 0
+    for text, wanted in [("[" + "1," * 40 + "]", ALL), ("f(" + "a, " * 40 + ")", ALL), ("f(" + "a, " * 40 + ",)", 0), ("x = {" + "a: 1, " * 40 + "b c}", 0), ("let " + "a = 1, " * 40 + "b", ALL), ("f(" + "(a, " * 40 + ")", 0), ("f(" + "[a, " * 30 + "]" * 30 + ")", ALL)]:
+        assert dialects(text) == wanted, text
+
+
 def test_generalised_parsing():
     g = Grammar("S = S S | 'a' | [y]'b' ;", {"a": "a", "b": "b"}, {"x": 1, "y": 2}, "S")
     assert [g.recognise(t, set()) for t in ("a", "aaaa", "ab", "", "c")] == [3, 3, 2, 0, 0]

@@ -390,7 +390,45 @@ _MEMO: dict[tuple[str, int], int] = {}
 _MOST_MEMO = 200_000
 
 
+_COMMA, _ROUND = KIND[","], {KIND["("]: KIND[")"], KIND["["]: KIND["]"], KIND["{"]: KIND["}"]}
+_CLOSERS = frozenset(_ROUND.values())
+_REPEATS = re.compile(f"({_COMMA}.{{1,60}}?)\\1{{2,}}", re.S)
+
+
+def _closed(item: str) -> bool:
+    waiting: list[str] = []
+    for c in item:
+        if c in _ROUND:
+            waiting.append(_ROUND[c])
+        elif c in _CLOSERS and (not waiting or waiting.pop() != c):
+            return False
+    return not waiting
+
+
+def _twice(m: re.Match) -> str:
+    """Two of what is repeated, if it is a run of list items: a comma and what follows, with its brackets closed.
+
+    A run found from the middle of an item, ``b]`` ``,[a`` repeated, holds the turned item ``,[ab]`` once less, so three of it are kept.
+    """
+    unit = m[1]
+    if _closed(unit):
+        return unit * 2
+    turned = any(c == _COMMA and _closed(unit[j:] + unit[:j]) for j, c in enumerate(unit))
+    return unit * 3 if turned else m[0]
+
+
+def shortened(sequence: str) -> str:
+    """The sequence with runs of alike list items cut to two.
+
+    Every list of the grammar is a loop over comma and item, so a run of three or more leads where two lead; bulk data
+    thus costs as little as its first rows.
+    """
+    return _REPEATS.sub(_twice, sequence)
+
+
 def _accepts(sequence: str, mask: int) -> int:
+    if len(sequence) > 64:
+        sequence = shortened(sequence)
     key = (sequence, mask)
     found = _MEMO.get(key)
     if found is None:
