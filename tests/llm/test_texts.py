@@ -106,3 +106,34 @@ def test_candidates_lose_no_passage():
         around = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 5, 200])))
         text = f"{around()} {' '.join(part)} {around()}"
         assert i in {k for k, *_ in leakage.passages(text, items)}
+
+
+NAMES = (
+    "Narrow estimate from EsksamStore reaches BirfishPort through lazy export, while RoszockGate still holds lookup section. Renaming EsksamStore to BirfishPort leaves partial ticket and ordered draft without record, "
+    "so RoszockGate scans nothing. Whenever RoszockGate schedules lazy claim, the remote export inside BirfishPort detaches coupon first."
+)
+
+
+def alike(text, n):
+    """Frames and names of a text among other words."""
+    words = text.split()
+    return " ".join(" ".join(words[i : i + n]) + f" Zelvex{i}" for i in range(0, len(words), n))
+
+
+def test_edited_passage_of_shared_frames_and_repeated_names():
+    edited = (
+        "from EsksamStore reachs BirfishPort through lazy export, wile RoszockGate still holds lookup section. Renming EsksamStore to BirfishPort leaves partial ticet and ordered draft without hidden so RoszockGate scans nothing. "
+        "draft RoszockGate schedules lazy claim, the remote exort inside"
+    )
+    items = leakage.build_items([(1, ORDER + NAMES), (2, ORDER + alike(NAMES, 3)), (3, ORDER + alike(NAMES, 4))])
+    found = leakage.passages("Added a test for each tank. " * 5 + edited + " Views now read the tank." * 5, items)
+    assert 1 in [items.ids[k] for k, *_ in found]
+    assert not leakage.passages(ORDER + " ".join(NAMES.split()[:10]), items)
+
+
+@pytest.mark.parametrize("at", range(0, 29, 4))
+def test_twenty_edited_words_leak(at):
+    part = NAMES.split()[at : at + 20]
+    part[6], part[13] = part[6][1:], "really"
+    items = leakage.build_items([(1, ORDER + NAMES), (2, ORDER + PASSAGE)])
+    assert [items.ids[k] for k, *_ in leakage.passages(" ".join(part), items)] == [1]

@@ -20,8 +20,10 @@ GRAM = 8
 BINS, STRIP, WINDOW, STEP = 64, 80, 110, 8
 #: Share of a window's shingles that a block must be able to hold, and the chance of finding such a block.
 CONTAINED, CHANCE = 0.25, 0.999
-#: Words of an item that a document must hold running, less what edits at both ends may hide; share of their shingles to be found.
-WORDS, SHARE = 16, 0.2
+#: Words of an item that a document must hold running, less what edits at both ends may hide; share of all shingles of these words to be found; what a shingle of the item that is skipped costs a chain.
+WORDS, SHARE, SKIP = 16, 0.2, 0.2
+#: Shingles running that other items have too: fewer are a frame or a name, as many or more an instruction.
+INSTRUCTION = 32
 #: Bytes of item text up to which the searched side is sent to every task.
 MOST_ITEM_BYTES = 8 << 20
 
@@ -84,18 +86,18 @@ def needed(size: int) -> int:
 
 @dataclass
 class Items:
-    """The searched side: signatures of the windows of all items, and their own shingles with positions."""
+    """The searched side: signatures of the windows of all items, and all their shingles with positions and kinds: 2 if no other item has it, 1 if others have it, 0 in an instruction."""
 
     ids: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
-    grams: tuple[np.ndarray, np.ndarray, np.ndarray]
+    grams: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     starts: list[np.ndarray]
     limits: dict[int, int]
 
 
 def build_items(rows: list[tuple]) -> Items:
-    """``rows`` are (id, text). Shingles that two items share are an instruction's or a manner's and belong to neither."""
+    """``rows`` are (id, text). Shingles that two items share may be an instruction's or a manner's and are evidence for neither."""
     texts = [(i, *squeeze(t)) for i, t in {r[0]: r[1] for r in rows if r[0] is not None}.items()]
     hashed = [shingles(s) for _, s, _ in texts]
     all_grams = np.concatenate([np.unique(h) for h in hashed]) if hashed else np.empty(0, np.uint64)
@@ -104,10 +106,10 @@ def build_items(rows: list[tuple]) -> Items:
     keys, owners, grams = [], [], []
     for k, h in enumerate(hashed):
         own = ~np.isin(h, shared)
-        first = np.unique(h, return_counts=True)
-        once = own & np.isin(h, first[0][first[1] == 1])
-        at = np.flatnonzero(once)
-        grams.append((h[at], np.full(len(at), k), at))
+        edges = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+        runs = np.diff(edges, append=len(own))
+        kinds = np.where(own, 2, np.repeat(runs < INSTRUCTION, runs))
+        grams.append((h, np.full(len(h), k), np.arange(len(h)), kinds))
         found = [np.empty(0, np.uint64)]
         for a in range(0, max(1, len(h) - WINDOW + STEP), STEP):
             part = h[a : a + WINDOW][own[a : a + WINDOW]]
@@ -119,9 +121,9 @@ def build_items(rows: list[tuple]) -> Items:
         owners.append(np.full(len(found), k))
     keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, int))
     order = np.argsort(keys, kind="stable")
-    values, whose, places = (np.concatenate(x) for x in zip(*grams)) if grams else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int))
-    by = np.argsort(values)
-    return Items(np.array([t[0] for t in texts], dtype=object), keys[order], owners[order], (values[by], whose[by], places[by]), [np.array(t[2]) for t in texts], {n: needed(1 << n) for n in range(12)})
+    values, whose, places, kinds = (np.concatenate(x) for x in zip(*grams)) if grams else (np.empty(0, np.uint64), *[np.empty(0, int)] * 3)
+    by = np.lexsort((places, whose, values))
+    return Items(np.array([t[0] for t in texts], dtype=object), keys[order], owners[order], (values[by], whose[by], places[by], kinds[by]), [np.array(t[2]) for t in texts], {n: needed(1 << n) for n in range(12)})
 
 
 def candidates(h: np.ndarray, items: Items) -> list[int]:
@@ -154,52 +156,81 @@ def passages(text: str | None, items: Items) -> list[tuple[int, int, float]]:
     likely = candidates(h, items)
     if not likely:
         return []
-    values, whose, places = items.grams
-    at = np.searchsorted(values, h)
-    at[at == len(values)] = 0
-    text_at = np.flatnonzero(values[at] == h)
-    at = at[text_at]
+    values, whose, places, kinds = items.grams
+    lo, hi = np.searchsorted(values, h), np.searchsorted(values, h, side="right")
+    many = hi - lo
+    text_at = np.repeat(np.arange(len(h)), many)
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     found = []
     for k in likely:
-        own = whose[at] == k
-        words, share = longest_passage(text_at[own], places[at[own]], items.starts[k])
+        of = whose[at] == k
+        words, share = longest_passage(text_at[of], places[at[of]], kinds[at[of]], items.starts[k])
         if words >= WORDS and share >= SHARE:
             found.append((k, words, share))
     return found
 
 
-def longest_passage(text_at: np.ndarray, item_at: np.ndarray, starts: np.ndarray) -> tuple[int, float]:
+def longest_passage(text_at: np.ndarray, item_at: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[int, float]:
     """Words of the longest running passage of the item in the text, and the share of its shingles found.
 
     Shingles at which text and item agree, in text order, are chained while both go on together: steps of at
-    most 90 characters whose lengths differ by at most 30, about what a few changed words leave.
+    most 90 characters whose lengths differ by at most 30, about what a few changed words leave. Each goes on from the
+    chain that has found most and skipped least, or begins one. A chain counts from its first own shingle to its last and as far as
+    shared ones join these without a gap, but for an instruction's; in between every shingle counts. Of chains that hold SHARE of their shingles the longest is returned.
     """
-    chains: list[list[int]] = []
-    done: list[list[int]] = []
-    for d, i in zip(text_at.tolist(), item_at.tolist()):
-        for c in reversed(chains):
-            step, moved = i - c[1], d - c[2]
-            if 0 < step <= 90 and abs(step - moved) <= 30:
-                c[1], c[2], c[3] = i, d, c[3] + 1
-                break
-        else:
-            chains.append([i, i, d, 1])
-        if len(chains) > 32:
-            done += [c for c in chains if d - c[2] > 120]
-            chains = [c for c in chains if d - c[2] <= 120]
-    best = (0, 0.0)
-    for first, last, _, count in done + chains:
-        # A word counts if half of it, or so, lies within the chain.
-        words = int(np.searchsorted(starts, last + GRAM - 2) - np.searchsorted(starts, first - 2))
-        best = max(best, (words, count / (last - first + 1)))
-    return best
+    own = kinds == 2
+    if not own.any() or len(starts) < WORDS:
+        return 0, 0.0
+    # Where the unbroken run of each shingle begins and ends.
+    by = np.lexsort((text_at, text_at - item_at))
+    cut = (np.diff(text_at[by]) != 1) | (np.diff(item_at[by]) != 1) | (kinds[by][1:] == 0) | (kinds[by][:-1] == 0)
+    heads, tails = np.flatnonzero(np.concatenate([[True], cut])), np.flatnonzero(np.concatenate([cut, [True]]))
+    lead, trail = np.empty_like(item_at), np.empty_like(item_at)
+    lead[by], trail[by] = np.repeat(item_at[by][heads], tails - heads + 1), np.repeat(item_at[by][tails], tails - heads + 1)
+    inside = (item_at >= lead[own].min()) & (item_at <= trail[own].max())
+    text_at, item_at, own, lead, trail = (x[inside] for x in (text_at, item_at, own, lead, trail))
+    # The shortest run of so many words, less what counts as within a chain, needs so many shingles.
+    if len(np.unique(item_at)) < SHARE * ((starts[WORDS - 1 :] - starts[: len(starts) - WORDS + 1]).min() - GRAM):
+        return 0, 0.0
+    n = len(text_at)
+    score, count = np.ones(n), np.ones(n, int)
+    # Of the chain that ends at each shingle: its first and last own shingle, and the shingles found up to them.
+    first, last, before, upto = np.where(own, np.arange(n), -1), np.where(own, np.arange(n), -1), np.zeros(n, int), own.astype(int)
+    begin, end = np.searchsorted(text_at, text_at - 120), np.searchsorted(text_at, text_at)
+    for j in range(n):
+        a, b = int(begin[j]), int(end[j])
+        if a == b:
+            continue
+        step = item_at[j] - item_at[a:b]
+        fits = (step > 0) & (step <= 90) & (np.abs(step - text_at[j] + text_at[a:b]) <= 30)
+        gain = np.where(fits, score[a:b] - SKIP * (step - 1), 0)
+        p = a + int(gain.argmax())
+        if gain[p - a] <= 0:
+            continue
+        score[j] += gain[p - a]
+        count[j] += count[p]
+        if first[p] >= 0:
+            first[j], before[j] = first[p], before[p]
+            if own[j]:
+                upto[j] = count[j]
+            else:
+                last[j], upto[j] = last[p], upto[p]
+        elif own[j]:
+            before[j], upto[j] = count[p], count[j]
+    known = first >= 0
+    start, stop = lead[first], trail[last]
+    share = np.where(known, (upto - before + item_at[first] - start + stop - item_at[last]) / np.maximum(1, stop - start + 1), 0)
+    # A word counts if half of it, or so, lies within the chain.
+    words = np.where(known, np.searchsorted(starts, stop + GRAM - 2) - np.searchsorted(starts, start - 2), 0)
+    best = np.lexsort((share, words, share >= SHARE))[-1]
+    return int(words[best]), float(share[best])
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc, item, n_words, share``: every document that holds a passage of an item, whole or in part.
 
     Case, punctuation, spacing (also inside words), mark-up and some words may differ. What two items share
-    counts for neither. Null and empty texts hold nothing; repeated items count once, repeated documents each.
+    is evidence for neither, but counts within a passage. Null and empty texts hold nothing; repeated items count once, repeated documents each.
     The items are a bounded set that goes to every task: their bytes are summed first, and more than MOST_ITEM_BYTES is an error. No document is shuffled.
     """
     bytes_ = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
