@@ -63,3 +63,23 @@ def test_copies_ties_and_bad_vectors(spark, rows):
     assert rows(mutual_pairs(found, 0.95).filter("model = 'm'").select("a", "b"))[0] == ("c00", "c01")
     assert rows(nearest(df.filter("model_id = 'n'"), 3).select("key", "neighbour")) == [("a", "c00"), ("c00", "a")]
     assert nearest(df.limit(0), 3).count() == 0
+
+
+def test_every_queried_copy_has_neighbours(spark):
+    rng = np.random.default_rng(4)
+    copies = [f"c{i:03d}" for i in range(60)]
+    others = {f"d{i:03d}": [float(v) for v in rng.normal(size=4)] for i in range(90)}
+    data = [("m", c, 4, [1.0 * (1 + i % 3), 2.0 * (1 + i % 3), 3.0 * (1 + i % 3), 0.0]) for i, c in enumerate(copies)] + [("m", k, 4, v) for k, v in others.items()]
+    # A further copy that has another vector too, one that d000 is nearest to.
+    data += [("m", "c055", 4, others["d000"])]
+    df = spark.createDataFrame(data, SCHEMA)
+    for k, due in ((3, [c for c in copies if int(c[1:]) % 11 == 0 and c != "c000"]), (70, copies)):
+        found = nearest(df, k, queries=F.col("key").isin(due), copies=True, lists=9, query_lists=9, member_ratio=9.0, query_ratio=9.0).collect()
+        got: dict = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r["key"], []).append(r["neighbour"])
+        assert set(got) == set(due) and {len(v) for v in got.values()} == {k}
+        if k == 3:
+            assert all(got[c] == ["c000", "c001", "c002"] for c in due if c != "c055")
+            assert got["c055"] == ["c000", "c001", "c002"]
+    assert {r["key"] for r in nearest(df, 3, copies=True).select("key").distinct().collect()} == set(copies) | set(others)

@@ -294,6 +294,7 @@ def nearest(
     query_ratio: float = 1.2,
     sample_rows: int = SAMPLE_ROWS,
     list_rows: int = LIST_ROWS,
+    copies: bool = False,
 ) -> DataFrame:
     """``model, key, neighbour, similarity, rank``: up to ``k`` rows of the same model most similar to each row by cosine.
 
@@ -303,19 +304,32 @@ def nearest(
     left out before the results of the lists meet. Ties go to the smaller key.
 
     Repeated rows count once; a key with several vectors is as similar as its best. Of rows with one direction only the k + 1 smallest keys are members and ask: no
-    other can be among anyone's k nearest when ties go to the smaller key, and each further copy has the same
-    neighbours as those. Vectors of one model but different dimensions are kept apart. Null, zero, non-finite and wrongly long vectors take part in nothing; an empty table gives an empty result.
+    other can be among anyone's k nearest when ties go to the smaller key. With ``copies`` one asker for each direction asks for its further keys that ``queries`` admits, and what it finds is
+    given to each of them, so that every such key has its rows; without, they have none. Vectors of one model but different dimensions are kept apart. Null, zero, non-finite and wrongly long vectors take part in nothing; an empty table gives an empty result.
     """
     base = prepared(rows, model, key, vector, dimensions)
     indexes = fit(base, sample_rows, list_rows)
     spark = rows.sparkSession
     first = Window.partitionBy("model", "class").orderBy("key")
-    members = base.withColumn("place", F.dense_rank().over(first)).filter(F.col("place") <= k + 1)
+    placed = base.withColumn("place", F.dense_rank().over(first))
+    members = placed.filter(F.col("place") <= k + 1)
     # Partitioned as the window is, so this moves nothing.
     members = members.groupBy("model", "class", "key").agg(F.first("unit").alias("unit")).select("model", "key", "class", "unit")
-    asking = members.withColumn("query", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).withColumn("member", F.lit(True))
+    condition = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    asking = members.withColumn("query", condition).withColumn("member", F.lit(True))
+    asker = F.concat(F.lit("\x1e"), F.hex("class"))
+    if copies:
+        further = placed.filter(F.col("place") > k + 1).select("model", "key", "class", "unit").filter(condition)
+        for_all = further.groupBy("model", "class").agg(F.first("unit").alias("unit")).select("model", asker.alias("key"), "class", "unit")
+        asking = asking.unionByName(for_all.withColumn("query", F.lit(True)).withColumn("member", F.lit(False)))
     cells = _post(asking, spark.sparkContext.broadcast(indexes), lists, member_ratio, query_lists, query_ratio)
-    found = _search_cells(cells, k, least).groupBy("model", "key", "neighbour").agg(F.max("similarity").alias("similarity"))
+    # An asker for others does not know itself; one row more, since a key that has several vectors may be found for itself.
+    found = _search_cells(cells, k + copies, least)
+    if copies:
+        who = further.select("model", asker.alias("asker"), F.col("key").alias("copy")).distinct()
+        theirs = found.filter(F.col("key").startswith("\x1e")).withColumnRenamed("key", "asker").join(who, ["model", "asker"]).filter("copy <> neighbour")
+        found = found.filter(~F.col("key").startswith("\x1e")).unionByName(theirs.select("model", F.col("copy").alias("key"), "neighbour", "similarity"))
+    found = found.groupBy("model", "key", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("model", "key").orderBy(F.desc("similarity"), "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.withColumn("model", F.regexp_replace("model", "\x1f[0-9]+$", ""))

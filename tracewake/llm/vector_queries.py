@@ -18,7 +18,7 @@ def p4_found(spark, root):
 def p4_neighbours(spark, root):
     """The ten nearest of every vector whose id is divisible by 20, against all vectors of ``embeddings``."""
     rows = table(spark, root, "embeddings").withColumn("model", F.lit("embeddings"))
-    found = nearest(rows, k=10, model="model", key="vec_id", vector="embedding", dimensions=None, queries=F.col("key").cast("bigint") % 20 == 0, query_lists=32, query_ratio=1.6)
+    found = nearest(rows, k=10, model="model", key="vec_id", vector="embedding", dimensions=None, queries=F.col("key").cast("bigint") % 20 == 0, query_lists=32, query_ratio=1.6, copies=True)
     return found.select(F.col("key").cast("bigint").alias("vec_id"), F.col("neighbour").cast("bigint").alias("neighbour_id"), "similarity", "rank")
 
 
