@@ -160,6 +160,10 @@ def sibling_tests(inputs: DataFrame, tests: DataFrame, by: list[str], depth: int
 
 
 def method_status(results: DataFrame) -> DataFrame:
-    """Commits that failed or did not run, by method."""
-    listed = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("commit"))))
-    return results.groupBy("method").agg(F.count_if(F.col("status") == "succeeded").alias("n_succeeded"), listed("failed").alias("failed"), listed("not_run").alias("not_run"))
+    """``method, status, n_commits``: commits by method and status."""
+    return results.groupBy("method", "status").agg(F.count("*").alias("n_commits"))
+
+
+def unfinished(results: DataFrame) -> DataFrame:
+    """``method, status, commit``: one row for each commit that failed or did not run."""
+    return results.filter("status IN ('failed', 'not_run')").select("method", "status", "commit")

@@ -89,11 +89,27 @@ def history_reachable(spark, root):
     return history.reachable(commits, commits.filter("CAST(sha AS BIGINT) % 1000 = 999").select("sha"))
 
 
-def method_status(spark, root):
-    rows = ev._judged(spark, root).filter("reason IS NULL AND commit % 100 < 3").select(
+def _results(spark, root):
+    """A method and a status for every eligible commit."""
+    rows = ev._judged(spark, root).filter("reason IS NULL")
+    return rows.select(
         "commit", F.element_at(F.array(F.lit("hybrid"), F.lit("semantic")), (F.col("commit") % 2 + 1).cast("int")).alias("method"), F.element_at(F.array(F.lit("succeeded"), F.lit("failed"), F.lit("not_run")), (F.col("commit") % 3 + 1).cast("int")).alias("status")
     )
-    return evaluate.method_status(rows).select("method", "n_succeeded", F.size("failed").alias("n_failed"), F.size("not_run").alias("n_not_run"))
+
+
+def method_status(spark, root):
+    """Of the few commits that its SQL names; :func:`method_status_counts` takes all."""
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n_commits"))), F.lit(0)).alias(f"n_{s}")
+    return evaluate.method_status(_results(spark, root).filter("commit % 100 < 3")).groupBy("method").agg(n("succeeded"), n("failed"), n("not_run"))
+
+
+def method_status_counts(spark, root):
+    return evaluate.method_status(_results(spark, root))
+
+
+def method_status_commits(spark, root):
+    """Every eligible commit that failed or did not run."""
+    return evaluate.unfinished(_results(spark, root))
 
 
 def record_checks(spark, root):
@@ -114,12 +130,13 @@ def manifest_checks(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, record_checks, manifest_checks)
+    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
 }
 _Q = {q: f"'{q}'" for q in (
     "Does this file use the behavior the change modifies, or only other parts of the changed file?", "Does the change alter how the changed file calls this file, in a way this file must accommodate?",
     "Is there a runtime, contract or documentation relationship to the change beyond shared vocabulary?")}
 _A, _B, _C = _Q.values()
+_METHODS = "SELECT commit, CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, CASE commit % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'not_run' END AS status FROM judged WHERE reason IS NULL"
 SQL = {
     "hybrid_h2": f"WITH {rt._fused_sql()} SELECT artifact_id, rank AS h2_rank FROM fused",
     "provenance_counts": f"WITH {rt._DET} SELECT count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) = 0) AS only_structural, count(*) FILTER (WHERE NOT (incoming OR outgoing) AND len(matched_terms) > 0) AS only_lexical, count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) > 0) AS both FROM det",
@@ -134,6 +151,8 @@ SQL = {
     "tree_diff": f"WITH {_TREES} SELECT 'renamed' AS status, path, previous_path FROM r UNION ALL SELECT status, path, NULL FROM n WHERE status IN ('modified', 'type_changed') UNION ALL SELECT status, path, NULL FROM n WHERE status IN ('added', 'deleted') AND (sha, n.n) NOT IN (SELECT (sha, r.n) FROM r)",
     "history_reachable": "WITH RECURSIVE p AS (SELECT o_orderkey AS k, o_orderkey // 2 AS q FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 5 = 0), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 1000 = 999 UNION SELECT p.q FROM r JOIN p ON p.k = r.k) SELECT k::VARCHAR AS sha FROM r",
     "method_status": f"WITH {ev._JUDGED}, m AS (SELECT CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, commit % 3 AS s FROM judged WHERE reason IS NULL AND commit % 100 < 3) SELECT method, count(*) FILTER (WHERE s = 0) AS n_succeeded, count(*) FILTER (WHERE s = 1) AS n_failed, count(*) FILTER (WHERE s = 2) AS n_not_run FROM m GROUP BY 1",
+    "method_status_counts": f"WITH {ev._JUDGED}, m AS ({_METHODS}) SELECT method, status, count(*) AS n_commits FROM m GROUP BY 1, 2",
+    "method_status_commits": f"WITH {ev._JUDGED}, m AS ({_METHODS}) SELECT method, status, commit FROM m WHERE status <> 'succeeded'",
     "record_checks": f"""WITH {ev._HISTORY}, k AS (SELECT * FROM f WHERE class <> 'source' OR part % 401 = 3), x AS (SELECT c.commit, c.commit % 10 = 0 AS failed, c.commit IN (SELECT commit FROM k) AS ranked FROM c)
       SELECT 'a ranking or a failure, not both or neither' AS problem, count(*) AS n FROM x WHERE failed = ranked GROUP BY 1 HAVING count(*) > 0 UNION ALL SELECT 'the ranking holds an input', count(DISTINCT commit) FROM k WHERE class = 'source' HAVING count(*) > 0""",
     "manifest_checks": f"""WITH {ev._JUDGED}, s AS (SELECT e.commit, count(*) FILTER (WHERE class <> 'source' AND part % 8 <> 0) AS t FROM eligible e JOIN f USING (commit) GROUP BY 1)
