@@ -115,3 +115,11 @@ def test_classifiers_find_unmarked_files(spark):
     right = sum((v in found) == t for v, t in truth.items())
     assert right / len(truth) >= 0.97
     assert handwritten.not_handwritten(versions.limit(0), arts.limit(0), contents.limit(0), repositories.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 12, 30])
+def test_nested_type_lists(n):
+    nested = lambda closed: "type Z = " + "".join(f"A{i}<B{i}, " for i in range(n)) + "X" + ">" * closed + " | " + " | ".join("abcdefghij" * 7) + ";"
+    assert [dialects(nested(n + d)) for d in (-1, 0, 1)] == [0, TYPES, 0]
+    templates = lambda closed: "x = [" + "".join("a, `${b, " for _ in range(n)) + "c" + "}`" * closed + "];" + "y;" * 40
+    assert [dialects(templates(n + d)) for d in (-1, 0, 1)] == [0, ALL, 0]

@@ -392,6 +392,8 @@ _MOST_MEMO = 200_000
 
 _COMMA, _ROUND = KIND[","], {KIND["("]: KIND[")"], KIND["["]: KIND["]"], KIND["{"]: KIND["}"]}
 _CLOSERS = frozenset(_ROUND.values())
+#: What may be an operator or a bracket; which of them close each other only the grammar knows.
+_PERHAPS_BRACKETS = frozenset(KIND[k] for k in ("<", ">", "<<", "jsx<", "jsx</", "t-head", "t-middle", "t-tail"))
 _REPEATS = re.compile(f"({_COMMA}.{{1,60}}?)\\1{{2,}}", re.S)
 
 
@@ -409,8 +411,11 @@ def _twice(m: re.Match) -> str:
     """Two of what is repeated, if it is a run of list items: a comma and what follows, with its brackets closed.
 
     A run found from the middle of an item, ``b]`` ``,[a`` repeated, holds the turned item ``,[ab]`` once less, so three of it are kept.
+    What holds type brackets, mark-up or parts of templates stays whole.
     """
     unit = m[1]
+    if not _PERHAPS_BRACKETS.isdisjoint(unit):
+        return m[0]
     if _closed(unit):
         return unit * 2
     turned = any(c == _COMMA and _closed(unit[j:] + unit[:j]) for j, c in enumerate(unit))
