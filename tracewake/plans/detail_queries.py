@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewake.functions import paths, text
 from tracewake.operators import evaluate, evidence, fusion, graph, history, validate
+from tracewake.plans import change_queries as ch
 from tracewake.plans import evaluation_queries as ev
 from tracewake.plans import retrieval_queries as rt
 from tracewake.session import table
@@ -38,12 +39,19 @@ def excerpts(spark, root):
 
 
 def query_texts(spark, root):
-    """The two query texts for each repository's first three paths."""
+    """The two query texts for each repository's first three paths, as its SQL has it; :func:`change_query_texts` takes whole change sets."""
     rows = table(spark, root, "artifact").filter("path IS NOT NULL").dropDuplicates(["id"]).groupBy("repository_id").agg(F.slice(F.sort_array(F.collect_set("path")), 1, 3).alias("changed"))
     what = F.concat(F.lit("Change "), F.col("repository_id").cast("string"))
     return rows.select("repository_id", text.lexical_query_text(what, F.col("changed")).alias("lexical"), text.semantic_query_text(what, F.col("changed")).alias("semantic"))
 
 
+def change_query_texts(spark, root):
+    """The two query texts for all paths that changed between consecutive snapshots."""
+    rows = ch.p1_found(spark, root).groupBy("base_snapshot_id", "target_snapshot_id").agg(F.sort_array(F.collect_set("path")).alias("changed"))
+    what = F.concat(F.lit("Change "), F.col("target_snapshot_id").cast("string"))
+    return rows.select("base_snapshot_id", "target_snapshot_id", text.lexical_query_text(what, F.col("changed")).alias("lexical"), text.semantic_query_text(what, F.col("changed")).alias("semantic"))
+
+
 def legacy_terms(spark, root):
     return table(spark, root, "documents").select("doc_id", F.explode(text.legacy_terms(F.coalesce("text", F.lit("")))).alias("term"))
 
@@ -130,7 +138,7 @@ def manifest_checks(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
+    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, change_query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
 }
 _Q = {q: f"'{q}'" for q in (
     "Does this file use the behavior the change modifies, or only other parts of the changed file?", "Does the change alter how the changed file calls this file, in a way this file must accommodate?",
@@ -145,6 +153,8 @@ SQL = {
     "excerpts": "SELECT doc_id, substr(text, 1, 100) AS text, length(text) > 100 AS truncated, length(text) AS total_chars FROM documents WHERE text IS NOT NULL",
     "query_texts": """WITH c AS (SELECT repository_id, list_sort(list(DISTINCT path))[1:3] AS changed FROM artifact WHERE path IS NOT NULL GROUP BY 1)
       SELECT repository_id, 'Change ' || repository_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Change ' || repository_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
+    "change_query_texts": ch._SQL + """, c AS (SELECT base_snapshot_id, target_snapshot_id, list_sort(list(DISTINCT path)) AS changed FROM found GROUP BY 1, 2)
+      SELECT base_snapshot_id, target_snapshot_id, 'Change ' || target_snapshot_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Change ' || target_snapshot_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
     "legacy_terms": f"SELECT doc_id, unnest(list_distinct([t for t in regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if length(t) >= 3 AND NOT list_contains({rt.STOP}, t)])) AS term FROM documents",
     "legacy_substrings": "SELECT doc_id, n_terms FROM (SELECT doc_id, contains(lower(text), 'snapshot')::INT + contains(lower(text), 'pipe')::INT + contains(lower(text), 'receipt')::INT AS n_terms FROM documents WHERE text IS NOT NULL) WHERE n_terms > 0",
     "change_descriptions": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' WHEN 3 THEN 'renamed from old/' || doc_id || ' (' || (doc_id % 51 + 50) || '% similar)' ELSE 'type changed' END AS description, CASE WHEN doc_id % 5 = 3 THEN 2 ELSE 1 END AS n_paths FROM documents",
