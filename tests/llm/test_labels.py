@@ -9,8 +9,8 @@ RECORD = "annotation_id long, annotator_id string, annotated_at timestamp, case_
 OPEN = (False, None, False)
 
 
-def record(i, who, item, label, day=1, blind=OPEN, evidence=None):
-    return (i, who, datetime(2024, 1, day), f"c{item % 7}", "src/a.ts", 1, item, None, (label, evidence, None), blind)
+def record(i, who, item, label, day=1, blind=OPEN, evidence=None, path="src/a.ts"):
+    return (i, who, datetime(2024, 1, day), f"c{item % 7}", path, 1, item, None, (label, evidence, None), blind)
 
 
 def test_judgements(spark, rows):
@@ -50,6 +50,61 @@ def test_consensus_beats_the_majority(spark):
     assert min(trust[f"p{i}"] for i in range(6)) > 0.75 > 0.6 > max(trust[f"p{i}"] for i in range(6, 12))
 
 
+def crowd(seed, items, path_of, each=3, people=20):
+    """Judgements of people of whom half are careful; ``path_of`` gives a path for a truth."""
+    rng = random.Random(seed)
+    skill = [0.8 if i % 2 else 0.3 for i in range(people)]
+    truth, data = {}, []
+    for item in range(items):
+        truth[item] = rng.randrange(4)
+        path = path_of(truth[item], rng)
+        for who in rng.sample(range(people), each):
+            t = truth[item]
+            said = t if rng.random() < skill[who] else rng.randrange(4)
+            data.append(record(len(data), f"p{who}", item, consensus.LABELS[said], evidence=rng.choice(consensus.SUFFICIENCY), path=path))
+    return truth, data
+
+
+def share_right(found, truth):
+    return np.mean([r["classification"] == consensus.LABELS[truth[r["candidate_version_id"]]] for r in found.collect()])
+
+
+def plain(spark, data, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(consensus, "classifier", lambda *a: None)
+        return consensus.consensus(spark.createDataFrame(data, RECORD))[0]
+
+
+def test_features_that_tell_nothing_change_nothing(spark, monkeypatch):
+    words = ["api", "jobs", "sync", "docs", "util", "core", "auth", "mail"]
+    truth, data = crowd(3, 1500, lambda t, rng: "/".join(rng.sample(words, 3)) + ".ts")
+    df = spark.createDataFrame(data, RECORD)
+    fit = consensus.fit_consensus(df)
+    assert fit.model.converged and fit.model.rounds < consensus.WARN_ROUNDS
+    assert abs(share_right(consensus.consensus(df)[0], truth) - share_right(plain(spark, data, monkeypatch), truth)) < 0.01
+
+
+def test_features_that_tell_help(spark, monkeypatch):
+    folder = ["api", "jobs", "docs", "legacy"]
+    truth, data = crowd(4, 1500, lambda t, rng: f"{folder[t] if rng.random() < 0.7 else rng.choice(folder)}/x{rng.randrange(9)}.ts")
+    right = share_right(consensus.consensus(spark.createDataFrame(data, RECORD))[0], truth)
+    assert right > share_right(plain(spark, data, monkeypatch), truth) + 0.03
+
+
+def test_more_annotators_than_are_sent(spark, monkeypatch):
+    for name, value in (("PENALTIES", (10.0,)), ("TRIAL_ROUNDS", 3), ("TOLERANCE", 1e-4)):
+        monkeypatch.setattr(consensus, name, value)
+    folder = ["api", "jobs", "docs", "legacy"]
+    _, data = crowd(6, 120, lambda t, rng: f"{folder[t]}/a.ts", each=4, people=6)
+    df = spark.createDataFrame(data, RECORD)
+    sent, joined = consensus.consensus(df), consensus.consensus(df, sent=2)
+    a, b = ({r["candidate_version_id"]: r for r in x[0].collect()} for x in (sent, joined))
+    assert a.keys() == b.keys() and np.mean([a[i]["classification"] == b[i]["classification"] for i in a]) > 0.95
+    assert all(abs(a[i]["agreement"] - b[i]["agreement"]) < 1e-12 for i in a)
+    a, b = ({r["annotator_id"]: r["reliability"] for r in x[1].collect()} for x in (sent, joined))
+    assert max(abs(a[w] - b[w]) for w in a) < 0.05
+
+
 TERMS = {"law": ["court filing", "notary seal", "breach notice"], "music": ["drum loop", "key signature", "choir part"], "travel": ["seat map", "ferry crossing", "hotel night"]}
 
 
