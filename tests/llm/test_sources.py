@@ -36,6 +36,60 @@ def test_folding_changes_nothing():
             assert mask & (MARKUP if jsx else JS | TS) == ecma._dialects(text, jsx, MARKUP if jsx else JS | TS)[0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["function f() { export const x = 1; }", "if (a) { export default 3 }", "const f = () => { import 'x'; };", "try { import a from 'b' } finally { }", "function f() { x(); export { a }; y() }", "if (a) { while (b) { export * from 'c' } }"],
+)
+def test_blocks_hold_no_imports_and_exports(text):
+    assert dialects(text) == 0
+    assert dialects("namespace N { export const x = 1; export function f() { return 1 } }") == TYPES and dialects("if (a) { import('x').then(y); import.meta.url }") == ALL
+
+
+#: Every list of the grammar, with a place for its items and an item.
+LISTS = [
+    ("import {%s} from 'x'", "a as b"), ("export {%s}", "a as b"), ("var %s", "a = 1"), ("const %s", "a = {b: 1}"), ("let {%s} = x", "a: b = 1"), ("let [%s] = x", "a = 1"), ("let [%s] = x", ""), ("function f(%s) {}", "a = 1"), ("x(%s)", "...a"),
+    ("x = [%s]", "1"), ("x = [%s]", ""), ("x = [%s]", "[a, 1]"), ("x = {%s}", "a: 1"), ("x = {%s}", "'a': [1, {b: 2}]"), ("%s;", "a = 1"), ("x = (%s) => 1", "a"), ("enum E {%s}", "A = 1"), ("let x: [%s]", "a: string"), ("class A implements %s {}", "B"),
+    ("interface A extends %s {}", "B.c"), ("for (let %s;;) {}", "a = 1"), ("for (%s;;) {}", "a++"), ("type A = {%s}", "a: string"), ("switch (%s) {}", "a"), ("x = `${%s}`", "a"), ("throw %s", "a"),
+]
+
+
+@pytest.mark.parametrize(("form", "item"), LISTS)
+def test_shortening_changes_nothing(form, item):
+    for n in range(2, 9):
+        for items in (", ".join([item] * n), ", ".join([item] * n) + ",", ", ".join([item] * n) + " )", ", ".join([item] * n) + " 7 7", ", ".join([item] * (n - 1) + ["3 3"] + [item]), ", ".join([item] * n) + ",,"):
+            for fold in (True, False):
+                try:
+                    found = ecma.segments(form % items, False, fold)[0]
+                except ecma.Invalid:
+                    continue
+                for sequence in found:
+                    assert ecma.recognised(ecma.shortened(sequence), JS | TS) == ecma.recognised(sequence, JS | TS), (form % items)
+
+
+def test_whole_files_agree_with_folded_ones():
+    import duckdb
+
+    texts = duckdb.sql("SELECT DISTINCT text FROM '/root/testdata/sf0.001/content.parquet' WHERE text IS NOT NULL").fetchall()
+    for (text,) in texts:
+        for jsx, mask in ((False, JS | TS), (True, JSX | TSX)):
+            try:
+                (whole,) = ecma.segments(text, jsx, False)[0] or {""}
+            except ecma.Invalid:
+                continue
+            if len(whole) < 6000:
+                assert ecma.recognised(whole, mask) == ecma._dialects(text, jsx, mask)[0], text[:200]
+
+
+def test_deep_json():
+    for n in (20, 200_000):
+        assert is_json("[" * n + "]" * n) and not is_json("[" * n + "]" * (n - 1)) and not is_json("[" * n + "1," + "]" * n)
+        assert is_json('{"a":[' * n + '1.5e3, "\\u00e9"' + "]}" * n) and not is_json('{"a":[' * n + "]]" * n) and not is_json('{"a" ' * n + "}" * n)
+    for text in ('{"a": 1, "b": [true, null, {}]}', "[]", "{}", "1", ""):
+        assert ecma._deep_json(text) == is_json(text)
+    for text in ("[1 2]", "{1: 2}", "[,1]", '{"a": 1,}', "[01]", "[1]]", '{"a"}', "[NaN]", '["\t"]', "]"):
+        assert not ecma._deep_json(text) and not is_json(text)
+
+
 def test_runs_of_list_items():
     rows = "export const A = [\n" + "  [1, 'a', -3],\n" * 5000 + "  [1, 'a',\n" * 0 + "];\nf(" + "1.5, -2, {a: 1}, " * 5000 + "3);"
     assert dialects(rows) == ALL and dialects(rows.replace("-3],\n];", "-3] 4\n];")) == 0

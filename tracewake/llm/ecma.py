@@ -26,6 +26,7 @@ _ID, _BLOCK = KIND["id"], KIND["block"]
 _quoted = lambda names: " | ".join(f"'{n}'" for n in names)
 GRAMMAR = f"""
 Module = Item* ;
+Inner = Statement* ;
 Item = Statement | Import | Decorator* Export ;
 Id = 'id' | {_quoted(_CONTEXTUAL)} ;
 Name = Id | {_quoted(_RESERVED)} ;
@@ -151,6 +152,8 @@ _GOES_ON = frozenset(KIND[k] for k in ("else", "catch", "finally", "while", "ins
 _STARTS = frozenset(WORDS.values()) - _GOES_ON | {_ID, KIND["private"]}
 _OPEN_BEFORE_STATEMENT = frozenset(KIND[k] for k in ("id", "string", ";", "{", "}", "block", *_CONTEXTUAL)) | {""}
 BREAK = "\n"
+#: Begins a sequence that stands in a block, where neither imports nor exports may be.
+INNER = "\x01"
 
 
 class Invalid(Exception):
@@ -161,8 +164,8 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
     """Statement sequences of a text as strings of token kinds, and whether ``<`` stood where an operand begins.
 
     With ``fold``, bodies in braces that can only be blocks are taken out and stand as one token, and sequences are cut where a
-    statement surely ends; the text is valid if all are. Without, there is a single sequence. A BREAK before a
-    token says that a line break precedes it where that can matter.
+    statement surely ends; the text is valid if all are, those that begin with INNER as the statements of a block. Without, there
+    is a single sequence. A BREAK before a token says that a line break precedes it where that can matter.
     """
     done: set[str] = set()
     current: list[str] = []
@@ -300,7 +303,7 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
                 closes = stack.pop()
                 if closes[2]:
                     if current:
-                        done.add("".join(current))
+                        done.add(INNER + "".join(current))
                     current, depth = frames.pop()
                     current.append(_BLOCK)
                     previous, after_condition, class_seen = _BLOCK, True, False
@@ -360,7 +363,7 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
             last = current[-1]
             if (last == _SEMI and kind not in _GOES_ON) or (last == _BLOCK and broke and kind in _STARTS):
                 if not (current[0] == _DO and kind == _WHILE):
-                    done.add("".join(current))
+                    done.add((INNER if frames else "") + "".join(current))
                     current = []
         if broke and previous in _BREAK_MATTERS and current:
             current.append(BREAK)
@@ -387,7 +390,9 @@ _ANY_START = frozenset(KIND.values()) - frozenset(KIND[k] for k in ("}", ")", "]
 
 #: Dialects of the sequences met so far, by kinds; the result of a sequence depends on nothing else.
 _MEMO: dict[tuple[str, int], int] = {}
-_MOST_MEMO = 200_000
+#: Kinds in all remembered sequences of a worker, beyond which it forgets them.
+_MOST_MEMO = 24 << 20
+_remembered = 0
 
 
 _COMMA, _ROUND = KIND[","], {KIND["("]: KIND[")"], KIND["["]: KIND["]"], KIND["{"]: KIND["}"]}
@@ -432,24 +437,33 @@ def shortened(sequence: str) -> str:
 
 
 def _accepts(sequence: str, mask: int) -> int:
-    if len(sequence) > 64:
+    global _remembered
+    if sequence.count(_COMMA) > 2:
         sequence = shortened(sequence)
     key = (sequence, mask)
     found = _MEMO.get(key)
     if found is None:
-        kinds, breaks = [], set()
-        for c in sequence:
-            if c == BREAK:
-                breaks.add(len(kinds))
-            else:
-                kinds.append(c)
-        found = ECMA.recognise("".join(kinds), breaks, mask)
-        if len(_MEMO) > _MOST_MEMO:
+        found = recognised(sequence, mask)
+        if _remembered > _MOST_MEMO:
             _MEMO.clear()
+            _remembered = 0
         _MEMO[key] = found
+        _remembered += len(sequence) + 100
     return found
 
 
+def recognised(sequence: str, mask: int) -> int:
+    """The dialects of ``mask`` in which a sequence of kinds is valid."""
+    kinds, breaks = [], set()
+    inner = sequence.startswith(INNER)
+    for c in sequence[inner:]:
+        if c == BREAK:
+            breaks.add(len(kinds))
+        else:
+            kinds.append(c)
+    return ECMA.recognise("".join(kinds), breaks, mask, "Inner" if inner else None)
+
+
 def _dialects(text: str, jsx: bool, mask: int) -> tuple[int, bool]:
     angle = True
     for fold in (True, False):
@@ -485,10 +499,43 @@ def _no_constant(name: str):
 _JSON = json.JSONDecoder(parse_constant=_no_constant, parse_int=len, parse_float=len)
 
 
+_JSON_TOKEN = re.compile(r"""[ \t\n\r]*(?:(?P<mark>[{}\[\]:,])|(?P<text>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<other>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|(?P<end>\Z))""")
+
+
+def _deep_json(text: str) -> bool:
+    """The same for values nested however deep, with a stack of its own."""
+    stack, at, wanted = [], 0, "value"
+    while True:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            return False
+        at, token = m.end(), m["mark"] or m.lastgroup
+        if token == "end":
+            return wanted == "after" and not stack
+        if token in ("text", "other") and wanted in ("value", "item"):
+            wanted = "after"
+        elif token == "text" and wanted in ("key", "first"):
+            wanted = ":"
+        elif token == ":" and wanted == ":":
+            wanted = "value"
+        elif token in "{[" and wanted in ("value", "item"):
+            stack.append(token)
+            wanted = "first" if token == "{" else "item"
+        elif token == "," and wanted == "after" and stack:
+            wanted = "key" if stack[-1] == "{" else "value"
+        elif (token == "}" and wanted in ("after", "first") or token == "]" and wanted in ("after", "item")) and stack and stack[-1] + token in ("{}", "[]"):
+            stack.pop()
+            wanted = "after"
+        else:
+            return False
+
+
 def is_json(text: str) -> bool:
     """Whether a text is one strict JSON value."""
     try:
         _JSON.decode(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _deep_json(text)
+    except ValueError:
         return False
     return True
