@@ -94,13 +94,6 @@ def test_git(spark, rows, tmp_path):
 def test_validators(spark, rows):
     ranked = spark.createDataFrame([(1, 1, 5, "a"), (1, 1, 6, "b"), (2, 1, 7, "c"), (2, 2, 8, "d")], "list long, rank int, version_id long, path string")
     assert rows(validate.ranking_violations(ranked, ["list"])) == [(1, 0, 1, 0, 0)]
-    say = lambda s, c="target", t="": validate.statement_problem(s, ["src/ipaddr.ts"], c, t)
-    assert say("It imports ipaddr.js directly.") == "import-direction"
-    assert say("It does not import ipaddr.ts.", "source") == "import-direction"
-    assert say("The changed file imports it.") is None
-    assert say("It calls `parse`.", t="import { parse } from './ipaddr.js'; x") == "symbol-use"
-    assert say("It calls `parse`.", t="parse(x)") is None
-    assert say("Three tests cover it.") == "test-count"
     assert validate.report_problems({"classification": "likely_affected", "findings": [{"statement": "x", "evidence_ids": ["e1", "e2"]}]}, {"e1"}) == ["finding 0: unknown evidence e2"]
     assert validate.leaks('{"a":{"repoPath":"x","b":["see /root/x"]}}') == ["$.a.repoPath: forbidden key", "$.a.b[0]: absolute path"]
 

@@ -101,8 +101,12 @@ def utf16_order(text: Column) -> Column:
 
 
 def excerpt(text: Column, most: int) -> Column:
-    """``text, truncated, total_chars`` of the first ``most`` characters; code points are never cut."""
-    return F.struct(F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("truncated"), F.length(text).alias("total_chars"))
+    """``text, truncated, total_chars`` of the first ``most`` UTF-16 code units; a character of two units is never cut."""
+    units = F.encode(F.substring(text, 1, most), "UTF-16BE")
+    # So many units end in half a character if the last one is a leading surrogate.
+    half = F.substring(F.hex(F.substring(units, 2 * most - 1, 2)), 1, 2).between("D8", "DB")
+    kept = F.decode(F.substr(units, F.lit(1), F.when(half, 2 * most - 2).otherwise(2 * most)), "UTF-16BE")
+    return F.struct(kept.alias("text"), (utf16_length(text) > most).alias("truncated"), utf16_length(text).alias("total_chars"))
 
 
 def input_hash(text: Column) -> Column:

@@ -115,10 +115,10 @@ def replicate_sums(population: DataFrame, values: list[str], seed: int, replicat
     return draws.join(F.broadcast(side) if m <= 1_000_000 else side, "member").groupBy("replicate").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def interval(sums: DataFrame, value: str, population: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def interval(sums: DataFrame, value: str, population: int, low: float = 0.025, high: float = 0.975, by: list[str] | None = None) -> DataFrame:
     """Linear-interpolation percentiles of the replicate sums as averages."""
     d = F.lit(float(SCALE) * population)
-    return sums.agg((F.percentile(value, F.lit(low)) / d).alias("lower"), (F.percentile(value, F.lit(high)) / d).alias("upper"))
+    return sums.groupBy(*(by or [])).agg((F.percentile(value, F.lit(low)) / d).alias("lower"), (F.percentile(value, F.lit(high)) / d).alias("upper"))
 
 
 def decide(evidence: DataFrame) -> DataFrame:

@@ -65,8 +65,9 @@ def tiered(fused: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("tier_rank", F.row_number().over(order))
 
 
-def score_then_category(fused: DataFrame, by: list[str]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("rrf_score"), text.precedence(F.col("deterministic_category")), "path", "artifact_id")
+def score_then_tier(fused: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``h2_rank``: by score, then by the evidence tier (``tier``, none last), then by path."""
+    order = Window.partitionBy(*by).orderBy(F.desc("rrf_score"), F.coalesce("tier", F.lit(99)), "path", "artifact_id")
     return fused.withColumn("h2_rank", F.row_number().over(order))
 
 

@@ -6,10 +6,8 @@ import json
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def ranking_violations(ranked: DataFrame, by: list[str]) -> DataFrame:
@@ -64,72 +62,6 @@ def record_violations(results: DataFrame, ranking: DataFrame, inputs: DataFrame)
 #: Limits of a report.
 MOST_STATEMENT, MOST_FINDINGS, MOST_CITATIONS = 1000, 10, 20
 CLASSIFICATIONS = ("likely_affected", "potentially_affected", "no_impact_indicated", "insufficient_evidence")
-#: Names that many files share.
-GENERIC_STEMS = ("index", "main", "mod", "types", "utils", "constants", "config", "helpers")
-#: Words that negate a clause, verbs that claim use, and counts of tests.
-_NEGATION = re.compile(r"\b(?:not|no|never|none|without|neither|nor)\b|n't\b", re.I)
-_USE = re.compile(
-    r"\b(?:us(?:es?|ing|ed)|call(?:s|ing|ed)?|invok(?:es?|ing)|execut(?:es?|ing)|exercis(?:es?|ing)|test(?:s|ing)?)\s+(?:the\s+)?(?:(?:function|method|class|symbol|helper|api|constant)\s+)?['\"`]([A-Za-z_$][\w$.]*)['\"`]",
-    re.I,
-)
-_COUNT = re.compile(r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten|several|multiple)\s+(?:unit\s+|integration\s+)?tests?\b", re.I)
-
-
-def clauses(statement: str) -> list[str]:
-    return [c for c in re.split(r"(?<=[.;!?])\s+|,\s+(?:but|and|while|although)\s+", statement) if c.strip()]
-
-
-def without_imports(source: str) -> str:
-    source = re.sub(r"\bimport\s+[^'\";]*?from\s*['\"][^'\"]*['\"];?", "", source)
-    source = re.sub(r"\bexport\s+(?:\*|\{[^}]*\})[^'\";]*?from\s*['\"][^'\"]*['\"];?", "", source)
-    return re.sub(r"\bimport\s*['\"][^'\"]*['\"];?", "", source)
-
-
-def changed_reference(paths: Sequence[str]) -> str:
-    """A pattern for ways to name a changed file: path, base name, stem or its .js form; a generic name only by its path."""
-    names = set()
-    for path in paths or ():
-        names.add(path)
-        base = path.rsplit("/", 1)[-1]
-        stem = re.sub(r"\.[^.]+$", "", base)
-        if stem.lower() not in GENERIC_STEMS:
-            names |= {n for n in (base, stem, stem + ".js") if len(n) >= 3}
-    listed = "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
-    return rf"(?:changed\s+(?:files?|modules?){'|' + listed if listed else ''})(?!\w|\.\w)"
-
-
-def statement_problem(statement: str, changed_paths: Sequence[str], candidate_is: str | None, cited_text: str | None) -> str | None:
-    """The first guard a statement fails: import direction, shown use of symbols, test counts. ``candidate_is`` is source or target of all cited edges, or null."""
-    ref = changed_reference(changed_paths)
-    for clause in clauses(statement):
-        reverse = re.search(rf"(?:^|[\s(])(?:the\s+)?{ref}['\"`]?\s+(?:does\s+not\s+|doesn't\s+)?imports?\b", clause, re.I) or re.search(rf"\b(?:is|are)\s+(?:not\s+)?imported\s+by\s+(?:the\s+)?['\"`]?{ref}", clause, re.I)
-        forward = not reverse and re.search(rf"\bimports?\s+(?:or\s+uses?\s+)?(?:from\s+)?(?:the\s+)?['\"`]?{ref}", clause, re.I)
-        negated = bool(_NEGATION.search(clause))
-        if candidate_is == "target" and forward and not negated:
-            return "import-direction"
-        if candidate_is == "source" and ((reverse and not negated) or (forward and negated)):
-            return "import-direction"
-    shown = without_imports(cited_text or "")
-    for clause in clauses(statement):
-        if not _NEGATION.search(clause):
-            for m in _USE.finditer(clause):
-                if not re.search(rf"(?<![\w$]){re.escape(m.group(1).split('.')[-1])}(?![\w$])", shown):
-                    return "symbol-use"
-            if _COUNT.search(clause) and not cited_text:
-                return "test-count"
-    return None
-
-
-def grounding_problems(rows: DataFrame) -> DataFrame:
-    """Rows (``statement, changed_paths, candidate_is, cited_text``) whose statement fails a guard, with the ``problem``."""
-
-    @F.pandas_udf(T.StringType())
-    def check(s: pd.Series, p: pd.Series, c: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([statement_problem(a or "", [x for x in b if x] if b is not None else [], d, e) for a, b, d, e in zip(s, p, c, t)], dtype=object)
-
-    return rows.withColumn("problem", check("statement", "changed_paths", "candidate_is", "cited_text")).filter("problem IS NOT NULL")
-
-
 def classification_problem(classification, cited):
     """Column: likely_affected needs a located import by the candidate among ``cited`` (array of type, candidate_is, n_declarations); no_impact_indicated is never shown by evidence."""
     located = F.exists(cited, lambda e: (e["type"] == "structural") & (e["candidate_is"] == "source") & (e["n_declarations"] > 0))

@@ -15,7 +15,11 @@ _WORDS = ["snapshot", "pipe", "Receipt"]
 
 
 def hybrid_h2(spark, root):
-    return fusion.score_then_category(rt._fused(spark, root)[3], ["snapshot_id"]).select("artifact_id", "h2_rank")
+    by = ["snapshot_id"]
+    det, fused = rt._deterministic(spark, root)[3], rt._fused(spark, root)[3]
+    structural = (F.col("n_test_to_source") + F.col("n_incoming_import") + F.col("n_outgoing_import")) > 0
+    tiers = det.select(*by, "artifact_id", history.evidence_tier(structural, F.size("matched_terms"), F.size("path_terms")).alias("tier"))
+    return fusion.score_then_tier(fused.join(tiers, [*by, "artifact_id"], "left"), by).select("artifact_id", "tier", "h2_rank")
 
 
 def provenance_counts(spark, root):
@@ -39,10 +43,10 @@ def excerpts(spark, root):
 
 
 def query_texts(spark, root):
-    """The two query texts for each repository's first three paths, as its SQL has it; :func:`change_query_texts` takes whole change sets."""
-    rows = table(spark, root, "artifact").filter("path IS NOT NULL").dropDuplicates(["id"]).groupBy("repository_id").agg(F.slice(F.sort_array(F.collect_set("path")), 1, 3).alias("changed"))
-    what = F.concat(F.lit("Change "), F.col("repository_id").cast("string"))
-    return rows.select("repository_id", text.lexical_query_text(what, F.col("changed")).alias("lexical"), text.semantic_query_text(what, F.col("changed")).alias("semantic"))
+    """The two query texts for all paths of each ready snapshot."""
+    rows = rt._ready_files(spark, root).filter("path IS NOT NULL").groupBy("snapshot_id").agg(F.sort_array(F.collect_set("path")).alias("changed"))
+    what = F.concat(F.lit("Snapshot "), F.col("snapshot_id").cast("string"))
+    return rows.select("snapshot_id", text.lexical_query_text(what, F.col("changed")).alias("lexical"), text.semantic_query_text(what, F.col("changed")).alias("semantic"))
 
 
 def change_query_texts(spark, root):
@@ -106,9 +110,9 @@ def _results(spark, root):
 
 
 def method_status(spark, root):
-    """Of the few commits that its SQL names; :func:`method_status_counts` takes all."""
+    """Counts by status of every method, over all eligible commits."""
     n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n_commits"))), F.lit(0)).alias(f"n_{s}")
-    return evaluate.method_status(_results(spark, root).filter("commit % 100 < 3")).groupBy("method").agg(n("succeeded"), n("failed"), n("not_run"))
+    return evaluate.method_status(_results(spark, root)).groupBy("method").agg(n("succeeded"), n("failed"), n("not_run"))
 
 
 def method_status_counts(spark, root):
@@ -140,19 +144,17 @@ QUERIES = {
     f.__name__: f
     for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, change_query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
 }
-_Q = {q: f"'{q}'" for q in (
-    "Does this file use the behavior the change modifies, or only other parts of the changed file?", "Does the change alter how the changed file calls this file, in a way this file must accommodate?",
-    "Is there a runtime, contract or documentation relationship to the change beyond shared vocabulary?")}
-_A, _B, _C = _Q.values()
 _METHODS = "SELECT commit, CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, CASE commit % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'not_run' END AS status FROM judged WHERE reason IS NULL"
 SQL = {
-    "hybrid_h2": f"WITH {rt._fused_sql()} SELECT artifact_id, rank AS h2_rank FROM fused",
+    "hybrid_h2": f"WITH {rt._fused_sql()}, t AS (SELECT artifact_id, CASE WHEN incoming OR outgoing THEN 1 WHEN len(path_terms) > 0 OR len(matched_terms) >= 3 THEN 2 WHEN len(matched_terms) > 0 THEN 3 ELSE 4 END AS tier FROM det) SELECT artifact_id, tier, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, coalesce(tier, 99), path, artifact_id) AS h2_rank FROM fused LEFT JOIN t USING (artifact_id)",
     "provenance_counts": f"WITH {rt._DET} SELECT count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) = 0) AS only_structural, count(*) FILTER (WHERE NOT (incoming OR outgoing) AND len(matched_terms) > 0) AS only_lexical, count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) > 0) AS both FROM det",
     "open_questions": f"""WITH {rt._fused_sql()}, x AS (SELECT u.*, coalesce(c.incoming, false) AS i, coalesce(c.outgoing, false) AS o, coalesce(len(m.matched_terms), 0) AS mt, coalesce(len(m.content_terms), 0) AS ct FROM fused u LEFT JOIN counts c USING (artifact_id) LEFT JOIN matched m USING (artifact_id))
-      SELECT CASE WHEN i THEN {_A} WHEN o THEN {_B} ELSE {_C} END AS open_question, count(*) AS n, sum((NOT i AND NOT o)::INT + (o AND NOT i)::INT + (i OR o)::INT + (mt > 0 AND ct = 0)::INT + (deterministic_rank IS NULL)::INT + (semantic_rank IS NULL)::INT)::BIGINT AS n_limitations FROM x GROUP BY 1""",
-    "excerpts": "SELECT doc_id, substr(text, 1, 100) AS text, length(text) > 100 AS truncated, length(text) AS total_chars FROM documents WHERE text IS NOT NULL",
-    "query_texts": """WITH c AS (SELECT repository_id, list_sort(list(DISTINCT path))[1:3] AS changed FROM artifact WHERE path IS NOT NULL GROUP BY 1)
-      SELECT repository_id, 'Change ' || repository_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Change ' || repository_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
+      SELECT CASE WHEN i THEN 'source' WHEN o THEN 'target' ELSE 'none' END AS open_question, count(*) AS n, sum((NOT i AND NOT o)::INT + (o AND NOT i)::INT + (i OR o)::INT + (mt > 0 AND ct = 0)::INT + (deterministic_rank IS NULL)::INT + (semantic_rank IS NULL)::INT)::BIGINT AS n_limitations FROM x GROUP BY 1""",
+    "excerpts": """WITH w AS (SELECT doc_id, text, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units,
+        list_max([k for k in range(0, 101) if k + length(regexp_replace(substr(text, 1, k), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) <= 100]) AS k FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, substr(text, 1, k) AS text, units > 100 AS truncated, units AS total_chars FROM w""",
+    "query_texts": f"""WITH c AS (SELECT snapshot_id, list_sort(list(DISTINCT path)) AS changed FROM {rt._READY} WHERE path IS NOT NULL GROUP BY 1)
+      SELECT snapshot_id, 'Snapshot ' || snapshot_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Snapshot ' || snapshot_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
     "change_query_texts": ch._SQL + """, c AS (SELECT base_snapshot_id, target_snapshot_id, list_sort(list(DISTINCT path)) AS changed FROM found GROUP BY 1, 2)
       SELECT base_snapshot_id, target_snapshot_id, 'Change ' || target_snapshot_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Change ' || target_snapshot_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
     "legacy_terms": f"SELECT doc_id, unnest(list_distinct([t for t in regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if length(t) >= 3 AND NOT list_contains({rt.STOP}, t)])) AS term FROM documents",
@@ -160,7 +162,7 @@ SQL = {
     "change_descriptions": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' WHEN 3 THEN 'renamed from old/' || doc_id || ' (' || (doc_id % 51 + 50) || '% similar)' ELSE 'type changed' END AS description, CASE WHEN doc_id % 5 = 3 THEN 2 ELSE 1 END AS n_paths FROM documents",
     "tree_diff": f"WITH {_TREES} SELECT 'renamed' AS status, path, previous_path FROM r UNION ALL SELECT status, path, NULL FROM n WHERE status IN ('modified', 'type_changed') UNION ALL SELECT status, path, NULL FROM n WHERE status IN ('added', 'deleted') AND (sha, n.n) NOT IN (SELECT (sha, r.n) FROM r)",
     "history_reachable": "WITH RECURSIVE p AS (SELECT o_orderkey AS k, o_orderkey // 2 AS q FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 5 = 0), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 1000 = 999 UNION SELECT p.q FROM r JOIN p ON p.k = r.k) SELECT k::VARCHAR AS sha FROM r",
-    "method_status": f"WITH {ev._JUDGED}, m AS (SELECT CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, commit % 3 AS s FROM judged WHERE reason IS NULL AND commit % 100 < 3) SELECT method, count(*) FILTER (WHERE s = 0) AS n_succeeded, count(*) FILTER (WHERE s = 1) AS n_failed, count(*) FILTER (WHERE s = 2) AS n_not_run FROM m GROUP BY 1",
+    "method_status": f"WITH {ev._JUDGED}, m AS (SELECT CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, commit % 3 AS s FROM judged WHERE reason IS NULL) SELECT method, count(*) FILTER (WHERE s = 0) AS n_succeeded, count(*) FILTER (WHERE s = 1) AS n_failed, count(*) FILTER (WHERE s = 2) AS n_not_run FROM m GROUP BY 1",
     "method_status_counts": f"WITH {ev._JUDGED}, m AS ({_METHODS}) SELECT method, status, count(*) AS n_commits FROM m GROUP BY 1, 2",
     "method_status_commits": f"WITH {ev._JUDGED}, m AS ({_METHODS}) SELECT method, status, commit FROM m WHERE status <> 'succeeded'",
     "record_checks": f"""WITH {ev._HISTORY}, k AS (SELECT * FROM f WHERE class <> 'source' OR part % 401 = 3), x AS (SELECT c.commit, c.commit % 10 = 0 AS failed, c.commit IN (SELECT commit FROM k) AS ranked FROM c)

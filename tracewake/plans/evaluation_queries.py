@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tracewake.functions import text
 from tracewake.functions.random import mulberry32
-from tracewake.operators import evaluate, history, validate
+from tracewake.operators import evaluate, grounding, history, validate
 from tracewake.operators.ingest import table_digest
-from tracewake.session import table
+from tracewake.session import cut_lineage, table
 
-SEED = 20261014
+#: The seeds of both bootstrap runs.
+SEED, SECOND_SEED = 20261014, 2667729199
 
 
 def _commits(spark, root):
@@ -125,7 +126,7 @@ def _mul(a: str, b: str) -> str:
     return f"(({_MUL.format(a, b)}) & 4294967295)"
 
 
-def draws_sql(relation: str, number: str, seed: int = SEED) -> str:
+def draws_sql(relation: str, number: str, seed: int | str = SEED) -> str:
     """CTEs that end in ``draws``: the columns of ``relation`` and ``u``, Mulberry32 in 64-bit integers."""
     step = f"(({seed} + {_mul(f'(({number} + 1) & 4294967295)', '1831565813')}) & 4294967295)"
     t1 = _mul("xor(a, a >> 15)", "a | 1")
@@ -137,24 +138,30 @@ def _population(spark, root):
     d = evaluate.paired(_metrics(spark, root).filter("kind = 'test'"), "hybrid", "baseline", ["commit", "kind"])
     sample = evaluate.even_sample(commit_selection(spark, root), 200).select("commit", "position")
     rows = d.join(F.broadcast(sample), "commit")
-    return rows.withColumn("member", (F.row_number().over(Window.orderBy("position")) - 1).cast("long")).select("member", "recall10", "mrr20").cache()
+    return rows.withColumn("member", (F.row_number().over(Window.orderBy("position")) - 1).cast("long")).select("member", "recall10", "mrr20")
 
 
 _POPULATION = f"""{_METRICS}, total AS (SELECT count(*) AS n FROM eligible), spots AS (SELECT i AS position, CASE WHEN n <= 200 THEN i ELSE i * n // 200 END AS eligible_index FROM range(200) r(i), total),
 pop AS (SELECT row_number() OVER (ORDER BY position) - 1 AS member, h.recall10 - b.recall10 AS recall10, h.mrr20 - b.mrr20 AS mrr20 FROM spots JOIN eligible USING (eligible_index)
   JOIN metrics h ON h.commit = eligible.commit AND h.method = 'hybrid' AND h.kind = 'test' JOIN metrics b ON b.commit = h.commit AND b.method = 'baseline' AND b.kind = 'test'),
-size AS (SELECT count(*) AS m FROM pop), numbers AS (SELECT i // m AS replicate, i, m FROM size, range((SELECT 1000 * m FROM size)) r(i))"""
-_SUMS = f"{_POPULATION}, {draws_sql('numbers', 'i')}, sums AS (SELECT replicate, sum(recall10)::BIGINT AS recall10, sum(mrr20)::BIGINT AS mrr20 FROM draws JOIN pop ON member = floor(u * m)::BIGINT GROUP BY 1)"
+size AS (SELECT count(*) AS m FROM pop), numbers AS (SELECT i // m AS replicate, i, m FROM size, range((SELECT 10000 * m FROM size)) r(i)), seeds AS (SELECT unnest([{SEED}, {SECOND_SEED}]) AS seed), seeded AS (SELECT * FROM numbers, seeds)"""
+_SUMS = f"{_POPULATION}, {draws_sql('seeded', 'i', 'seed')}, sums AS (SELECT seed, replicate, sum(recall10)::BIGINT AS recall10, sum(mrr20)::BIGINT AS mrr20 FROM draws JOIN pop ON member = floor(u * m)::BIGINT GROUP BY 1, 2)"
+
+
+def _both_seeds(spark, root):
+    """The population, and its replicate sums by either seed."""
+    population = cut_lineage(_population(spark, root))
+    each = [evaluate.replicate_sums(population, ["recall10", "mrr20"], seed).withColumn("seed", F.lit(seed).cast("long")) for seed in (SEED, SECOND_SEED)]
+    return population, each[0].unionByName(each[1])
 
 
 def bootstrap_sums(spark, root):
-    return evaluate.replicate_sums(_population(spark, root), ["recall10", "mrr20"], SEED, 1000)
+    return _both_seeds(spark, root)[1].select("seed", "replicate", "recall10", "mrr20")
 
 
 def bootstrap_ci(spark, root):
-    p = _population(spark, root)
-    found = evaluate.interval(evaluate.replicate_sums(p, ["recall10"], SEED, 1000), "recall10", p.count())
-    return found.select(F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+    population, sums = _both_seeds(spark, root)
+    return evaluate.interval(sums, "recall10", population.count(), by=["seed"]).select("seed", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
 def decision(spark, root):
@@ -223,10 +230,33 @@ def content_digest(spark, root):
     return table_digest(table(spark, root, "content"), ["sha256"])
 
 
+def _claims(spark, root):
+    """A statement with its citations for each artifact, of a form by its id."""
+    n = F.col("id")
+    rows = table(spark, root, "artifact").dropDuplicates(["id"])
+    pick = lambda values: F.array(*[F.lit(v) for v in values])[(n % len(CLAIMS)).cast("int")]
+    listed = lambda c: F.when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    name = F.concat(F.lit("holder"), n.cast("string"))
+    return rows.select(
+        "id", F.replace(pick([c[0] for c in CLAIMS]), F.lit("HOLDER"), name).alias("statement"), F.lit("Fix the reservation lock").alias("description"), F.array(F.concat(F.lit("src/m"), (n % 7).cast("string"), F.lit("/"), name, F.lit(".ts"))).alias("changed_paths"),
+        F.lit("src/other/file.ts").alias("candidate_path"), listed(pick([c[1] for c in CLAIMS])).alias("candidate_is"), listed(pick([c[2] for c in CLAIMS])).alias("chunk_texts"),
+        F.array(F.concat(F.lit("import { release } from './"), name, F.lit("';"))).alias("declaration_texts"), F.when(pick([c[3] for c in CLAIMS]) != "", F.array(pick([c[3] for c in CLAIMS]))).alias("matched_terms"),
+    )
+
+
 def grounding_guards(spark, root):
-    """Checks of statements that the documents stand for: claims of use, counts of tests, and negated clauses."""
-    rows = table(spark, root, "documents").filter("text IS NOT NULL").select("doc_id", F.col("text").alias("statement"), F.array("source").alias("changed_paths"), F.lit("source").alias("candidate_is"), F.lit("").alias("cited_text"))
-    return validate.grounding_problems(rows).select("doc_id", "problem").groupBy("problem").agg(F.count("*").alias("n"))
+    """Statements that their citations do not carry, each guard failing for some."""
+    return grounding.grounding_problems(_claims(spark, root)).select("id", "problem")
+
+
+#: Forms of statements: text, ends of cited edges, text of a cited chunk, a matched term, and the problem, if any.
+CLAIMS = (
+    ("The candidate imports HOLDER.ts.", "target", "", "", "import-direction"), ("The candidate imports HOLDER.ts.", "source", "", "", ""), ("The changed file imports it.", "source", "", "", "import-direction"),
+    ("It does not import HOLDER.js.", "source", "", "", "import-denied"), ("It calls `release`.", "source", "", "", "symbol-only-imported"), ("It calls `release`, but imports nothing.", "source", "release();", "", ""),
+    ("It uses the helper 'settle'.", "source", "", "", "symbol-not-shown"), ("It holds three unit tests.", "source", "", "", "test-count"), ("It holds three unit tests.", "source", "it();", "", ""),
+    ("The file mentions 'reservation'.", "", "", "", "term-not-recorded"), ("The file mentions 'reservation'.", "", "", "reservation", ""), ("It does not contain 'lock'.", "", "", "lock", "term-matched"),
+    ("The description does not mention 'lock'.", "", "", "lock", ""), ("It depends on HOLDER.ts.", "target", "", "", ""),
+)
 
 
 QUERIES = {
@@ -250,7 +280,7 @@ SQL = {
     "strata": f"WITH {_METRICS}, x AS (SELECT commit, unnest(CASE WHEN kind = 'doc' THEN ['doc'] WHEN (part // 4) % 2 = 0 THEN ['test', 'test-with-link'] ELSE ['test', 'test-without-link'] END) AS stratum FROM t) SELECT stratum, count(*) AS n_targets, count(DISTINCT commit) AS n_commits FROM x GROUP BY 1",
     "mulberry_draws": f"WITH {draws_sql('orders', 'o_orderkey')} SELECT o_orderkey, round(u, 12) AS u FROM draws",
     "bootstrap_sums": f"WITH {_SUMS} SELECT * FROM sums",
-    "bootstrap_ci": f"WITH {_SUMS} SELECT round(quantile_cont(recall10, 0.025) / (232792560.0::DOUBLE * (SELECT m FROM size)), 6) AS lower, round(quantile_cont(recall10, 0.975) / (232792560.0::DOUBLE * (SELECT m FROM size)), 6) AS upper FROM sums",
+    "bootstrap_ci": f"WITH {_SUMS} SELECT seed, round(quantile_cont(recall10, 0.025) / (232792560.0::DOUBLE * (SELECT m FROM size)), 6) AS lower, round(quantile_cont(recall10, 0.975) / (232792560.0::DOUBLE * (SELECT m FROM size)), 6) AS upper FROM sums GROUP BY 1",
     "decision": """WITH g AS (SELECT id % 2 = 1 AS inc, [5, 20, 47, 50][(id // 2) % 4 + 1] AS p, (id // 8) % 3 - 1 AS a, (id // 24) % 3 - 1 AS b, (id // 72) % 3 - 1 AS c, (id // 216) % 3 - 1 AS z FROM range(648) r(id)),
       e AS (SELECT inc, p, a >= 1 AS tenth, z >= 1 AS above, b <= -1 OR (c <= -1) AS base, a <= -1 AND z <= -1 AS worse FROM g),
       d AS (SELECT CASE WHEN inc THEN 'incomplete-run' WHEN p < 20 THEN 'minimum-test-targets' WHEN worse THEN 'negative-sibling' WHEN base AND NOT above THEN 'negative-baseline' WHEN tenth AND above AND NOT base THEN 'supported' WHEN above AND NOT tenth THEN 'mixed-small-effect' WHEN tenth AND above AND base THEN 'mixed-baseline' ELSE 'none-applies' END AS rule FROM e)
@@ -264,6 +294,7 @@ SQL = {
       UNION ALL SELECT 'version without content', count(*) FROM artifact_version WHERE lower(content_sha256) NOT IN (SELECT sha256 FROM content)
       UNION ALL SELECT 'chunk without embedding', count(*) FROM semantic_chunk WHERE input_hash NOT IN (SELECT input_hash FROM semantic_embedding)
       UNION ALL SELECT 'order without customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    "grounding_guards": f"SELECT * FROM (SELECT DISTINCT id, [{', '.join(f"'{c[4]}'" for c in CLAIMS)}][id % {len(CLAIMS)} + 1] AS problem FROM artifact) WHERE problem <> ''",
     "identity_conflicts": "SELECT snapshot_id, artifact_id, count(DISTINCT id) AS n_identities FROM artifact_version GROUP BY 1, 2 HAVING count(DISTINCT id) > 1",
     "content_integrity": "SELECT count(*) AS n_contents, count(*) FILTER (WHERE sha256(text) <> lower(sha256)) AS n_wrong_digest, count(*) FILTER (WHERE strlen(text) <> byte_length) AS n_wrong_length FROM content",
 }

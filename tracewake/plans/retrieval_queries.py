@@ -13,6 +13,8 @@ from tracewake.session import table
 
 #: The change that the retrieval queries ask about.
 TERMS = ["receipt", "voucher", "session", "coupon", "ledger"]
+#: Files of a snapshot in the queries on documents.
+PER_SNAPSHOT = 500
 _LIST = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 #: Tokens of a column in DuckDB: the camelCase break is written as an underscore first.
@@ -29,31 +31,32 @@ def tokens_sql(column: str) -> str:
 
 
 def _docs(spark, root):
-    """documents as files: half tests and documents, imports between neighbours, one repository."""
+    """documents as files: half tests and documents, in snapshots of PER_SNAPSHOT files."""
     n = F.col("doc_id")
     folder = F.concat(F.lit("src/m"), (n % 7).cast("string"), F.lit("/doc"), n.cast("string"))
     path = F.when(n % 5 == 0, F.concat(F.lit("docs/doc"), n.cast("string"), F.lit(".md"))).when(n % 5 == 1, F.concat(folder, F.lit(".test.ts"))).otherwise(F.concat(folder, F.lit(".ts")))
     return table(spark, root, "documents").select(
-        F.lit(1).alias("snapshot_id"), n.alias("artifact_id"), n.alias("version_id"), path.alias("path"), F.when(n % 5 == 0, "document").otherwise("code").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text"
+        F.floor(n / PER_SNAPSHOT).cast("int").alias("snapshot_id"), n.alias("artifact_id"), n.alias("version_id"), path.alias("path"), F.when(n % 5 == 0, "document").otherwise("code").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text"
     )
 
 
-_DOCS = """files AS (SELECT doc_id AS artifact_id, doc_id AS version_id, text,
+_DOCS = f"""files AS (SELECT doc_id // {PER_SNAPSHOT} AS snapshot_id, doc_id AS artifact_id, doc_id AS version_id, text,
   CASE doc_id % 5 WHEN 0 THEN 'docs/doc' || doc_id || '.md' WHEN 1 THEN 'src/m' || (doc_id % 7) || '/doc' || doc_id || '.test.ts'
   ELSE 'src/m' || (doc_id % 7) || '/doc' || doc_id || '.ts' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'document' ELSE 'code' END AS kind FROM documents)"""
 
 
 def _imports(files):
-    """File i names documents 7i + 3 and 3i + 1 (modulo 997, from 1) relative to its folder, the second without an extension."""
+    """File i names the files 7i + 3 and 3i + 1 (modulo their number) of its snapshot relative to its folder, the second without an extension."""
     n = F.col("artifact_id")
-    a, b = (n * 7 + 3) % 997 + 1, (n * 3 + 1) % 997 + 1
+    base = F.col("snapshot_id").cast("long") * PER_SNAPSHOT
+    a, b = base + (n * 7 + 3) % PER_SNAPSHOT, base + (n * 3 + 1) % PER_SNAPSHOT
     spec = lambda t, end: F.concat(F.lit("../m"), (t % 7).cast("string"), F.lit("/./doc"), t.cast("string"), F.lit(end))
     return files.filter("kind = 'code'").select("snapshot_id", n.alias("source_id"), F.col("path").alias("source_path"), F.explode(F.array(spec(a, ".js"), spec(b, ""), F.lit("node:fs"))).alias("specifier"))
 
 
 _EDGES = f"""{_DOCS}, wanted AS (
-  SELECT artifact_id AS source_id, path AS source_path, (artifact_id * 7 + 3) % 997 + 1 AS t, '.js' AS e FROM files WHERE kind = 'code'
-  UNION ALL SELECT artifact_id, path, (artifact_id * 3 + 1) % 997 + 1, '' FROM files WHERE kind = 'code'),
+  SELECT artifact_id AS source_id, path AS source_path, snapshot_id * {PER_SNAPSHOT} + (artifact_id * 7 + 3) % {PER_SNAPSHOT} AS t, '.js' AS e FROM files WHERE kind = 'code'
+  UNION ALL SELECT artifact_id, path, snapshot_id * {PER_SNAPSHOT} + (artifact_id * 3 + 1) % {PER_SNAPSHOT}, '' FROM files WHERE kind = 'code'),
 resolved AS (SELECT DISTINCT w.source_id, f.artifact_id AS target_id, '../m' || (t % 7) || '/./doc' || t || e AS specifier, source_path
   FROM wanted w JOIN files f ON f.path = 'src/m' || (t % 7) || '/doc' || t || '.ts' WHERE w.source_id <> f.artifact_id),
 edges AS (SELECT DISTINCT source_id, target_id, 'imports' AS kind FROM resolved
@@ -63,7 +66,7 @@ _SIGNALS = f"""{_EDGES}, {_CHANGED}, signals AS (
   SELECT source_id AS artifact_id, CASE WHEN max(kind = 'test-to-source') THEN 'test-to-source' ELSE 'incoming-import' END AS signal, target_id AS changed_id
   FROM edges JOIN changed ON target_id = changed_id GROUP BY source_id, target_id
   UNION ALL SELECT DISTINCT target_id, 'outgoing-import', source_id FROM edges JOIN changed ON source_id = changed_id WHERE kind = 'imports')"""
-_MATCHES = f"""matches AS (SELECT artifact_id, path, list_sort(list_intersect({tokens_sql("text")}, {_LIST})) AS content_terms, list_sort(list_intersect({tokens_sql("path")}, {_LIST})) AS path_terms FROM files),
+_MATCHES = f"""matches AS (SELECT snapshot_id, artifact_id, path, list_sort(list_intersect({tokens_sql("text")}, {_LIST})) AS content_terms, list_sort(list_intersect({tokens_sql("path")}, {_LIST})) AS path_terms FROM files),
 matched AS (SELECT *, list_sort(list_distinct(content_terms || path_terms)) AS matched_terms FROM matches WHERE len(content_terms) + len(path_terms) > 0)"""
 _LEXCAT = "CASE WHEN len(path_terms) > 0 AND len(matched_terms) >= 3 THEN 'path-and-multi-content' WHEN len(matched_terms) >= 5 THEN 'high-content-density' WHEN len(path_terms) > 0 THEN 'path-only' WHEN len(matched_terms) >= 2 THEN 'multiple-terms' WHEN len(matched_terms) >= 1 THEN 'single-term' END"
 _ORDER = {n: "CASE {0} " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(names)) + f" ELSE {len(names) + 1} END" for n, names in (("lex", text.LEXICAL), ("det", text.CATEGORIES))}
@@ -91,11 +94,11 @@ def _deterministic(spark, root):
 
 
 _DET = f"""{_SIGNALS}, {_MATCHES}, counts AS (SELECT artifact_id, max(signal <> 'outgoing-import') AS incoming, max(signal = 'outgoing-import') AS outgoing FROM signals GROUP BY 1),
-det0 AS (SELECT f.artifact_id, f.version_id, f.path, coalesce(m.content_terms, []) AS content_terms, coalesce(m.path_terms, []) AS path_terms, coalesce(m.matched_terms, []) AS matched_terms, coalesce(c.incoming, false) AS incoming, coalesce(c.outgoing, false) AS outgoing
+det0 AS (SELECT f.snapshot_id, f.artifact_id, f.version_id, f.path, coalesce(m.content_terms, []) AS content_terms, coalesce(m.path_terms, []) AS path_terms, coalesce(m.matched_terms, []) AS matched_terms, coalesce(c.incoming, false) AS incoming, coalesce(c.outgoing, false) AS outgoing
   FROM files f LEFT JOIN matched m USING (artifact_id) LEFT JOIN counts c USING (artifact_id) WHERE m.artifact_id IS NOT NULL OR c.artifact_id IS NOT NULL),
 det1 AS (SELECT *, {_LEXCAT} AS lexical_category FROM det0),
 det2 AS (SELECT *, CASE WHEN incoming THEN 'critical-structural' WHEN lexical_category IN ('path-and-multi-content', 'high-content-density') THEN lexical_category WHEN outgoing THEN 'weak-structural' ELSE lexical_category END AS category FROM det1),
-det AS (SELECT *, row_number() OVER (ORDER BY {_ORDER["det"].format("category")}, {_STRENGTH}) AS rank FROM det2)"""
+det AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_ORDER["det"].format("category")}, {_STRENGTH}) AS rank FROM det2)"""
 
 
 def _semantic(spark, root):
@@ -104,13 +107,13 @@ def _semantic(spark, root):
     vector = semantic.word_count_vector(F.coalesce("text", F.lit("")), TERMS)
     query = F.array(*[F.lit(float(i + 1)) for i in range(len(TERMS))], F.lit(0.01))
     best = files.select("snapshot_id", "artifact_id", "version_id", "path", F.round(vectors.cosine(vector, query), 9).alias("similarity"))
-    return semantic.semantic_rank(best.filter("similarity > 0.3"), ["snapshot_id"])
+    return semantic.semantic_rank(best, ["snapshot_id"])
 
 
 _VEC = ", ".join(f"CAST(len(string_split(lower(coalesce(text, '')), '{t}')) - 1 AS DOUBLE)" for t in TERMS)
-_SEM = f"""vec AS (SELECT artifact_id, version_id, path, [{_VEC}, CAST(CAST(0.01 AS FLOAT) AS DOUBLE)] AS v, [{", ".join(f"{i + 1}.0::DOUBLE" for i in range(len(TERMS)))}, 0.01::DOUBLE] AS q FROM files),
-sims AS (SELECT artifact_id, version_id, path, round(list_sum([v[i] * q[i] for i in range(1, {len(TERMS) + 2})]) / (sqrt(list_sum([x * x for x in v])) * sqrt(list_sum([x * x for x in q]))), 9) AS similarity FROM vec),
-sem AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, path, artifact_id) AS rank FROM sims WHERE similarity > 0.3)"""
+_SEM = f"""vec AS (SELECT snapshot_id, artifact_id, version_id, path, [{_VEC}, CAST(CAST(0.01 AS FLOAT) AS DOUBLE)] AS v, [{", ".join(f"{i + 1}.0::DOUBLE" for i in range(len(TERMS)))}, 0.01::DOUBLE] AS q FROM files),
+sims AS (SELECT snapshot_id, artifact_id, version_id, path, round(list_sum([v[i] * q[i] for i in range(1, {len(TERMS) + 2})]) / (sqrt(list_sum([x * x for x in v])) * sqrt(list_sum([x * x for x in q]))), 9) AS similarity FROM vec),
+sem AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY similarity DESC, path, artifact_id) AS rank FROM sims)"""
 
 
 def _fused(spark, root, k=fusion.K):
@@ -119,9 +122,9 @@ def _fused(spark, root, k=fusion.K):
 
 
 def _fused_sql(k: int = fusion.K) -> str:
-    return f"""{_DET}, {_SEM}, fused0 AS (SELECT coalesce(d.artifact_id, s.artifact_id) AS artifact_id, coalesce(d.path, s.path) AS path, d.rank AS deterministic_rank, s.rank AS semantic_rank, d.category AS deterministic_category,
+    return f"""{_DET}, {_SEM}, fused0 AS (SELECT coalesce(d.snapshot_id, s.snapshot_id) AS snapshot_id, coalesce(d.artifact_id, s.artifact_id) AS artifact_id, coalesce(d.path, s.path) AS path, d.rank AS deterministic_rank, s.rank AS semantic_rank, d.category AS deterministic_category,
   coalesce(1.0::DOUBLE / ({k} + d.rank), 0) + coalesce(1.0::DOUBLE / ({k} + s.rank), 0) AS rrf_score FROM det d FULL OUTER JOIN sem s ON s.artifact_id = d.artifact_id),
-fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, {_ORDER["det"].format("deterministic_category")}, path, artifact_id) AS rank FROM fused0)"""
+fused AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, {_ORDER["det"].format("deterministic_category")}, path, artifact_id) AS rank FROM fused0)"""
 
 
 def tokenize_documents(spark, root):
@@ -296,7 +299,7 @@ def rrf_k10(spark, root):
 
 def hybrid_h1(spark, root):
     files, _, _, fused = _fused(spark, root)
-    truth = files.filter("artifact_id % 13 = 0").select(F.lit(1).alias("snapshot_id"), "artifact_id")
+    truth = files.filter("artifact_id % 13 = 0").select("snapshot_id", "artifact_id")
     return fusion.union_coverage(fused, truth, ["snapshot_id"])
 
 
@@ -393,14 +396,14 @@ SQL = {
     "semantic_rank": _CHUNKS + " SELECT model_id, snapshot_id, artifact_id, row_number() OVER (PARTITION BY model_id, snapshot_id ORDER BY similarity DESC, path, artifact_id) AS rank FROM best JOIN (SELECT id AS artifact_id, min(path) AS path FROM artifact GROUP BY 1) USING (artifact_id)",
     "rrf_fuse": f"WITH {_fused_sql()} SELECT artifact_id, round(rrf_score, 9) AS score, deterministic_rank, semantic_rank, rank FROM fused",
     "rrf_k10": f"WITH {_fused_sql(10)} SELECT artifact_id, rank FROM fused",
-    "hybrid_h1": f"WITH {_fused_sql()} SELECT 1 AS snapshot_id, count(*) AS n_truth, {_TRUTH} FROM files f LEFT JOIN fused u USING (artifact_id) WHERE f.artifact_id % 13 = 0",
-    "hybrid_h3": f"WITH {_fused_sql()}, t AS (SELECT *, CASE WHEN deterministic_rank IS NULL THEN 3 WHEN {_ORDER['det'].format('deterministic_category')} <= 2 THEN 1 ELSE 2 END AS tier FROM fused) SELECT artifact_id, tier, row_number() OVER (ORDER BY tier, rrf_score DESC, path, artifact_id) AS tier_rank FROM t",
-    "eligible_rank": f"WITH {_fused_sql()} SELECT artifact_id, rank, row_number() OVER (ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed)",
-    "evidence_topk": f"WITH {_fused_sql()} SELECT artifact_id, path, row_number() OVER (ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed) QUALIFY eligible_rank <= 20",
+    "hybrid_h1": f"WITH {_fused_sql()} SELECT f.snapshot_id::INT AS snapshot_id, count(*) AS n_truth, {_TRUTH} FROM files f LEFT JOIN fused u USING (artifact_id) WHERE f.artifact_id % 13 = 0 GROUP BY 1",
+    "hybrid_h3": f"WITH {_fused_sql()}, t AS (SELECT *, CASE WHEN deterministic_rank IS NULL THEN 3 WHEN {_ORDER['det'].format('deterministic_category')} <= 2 THEN 1 ELSE 2 END AS tier FROM fused) SELECT artifact_id, tier, row_number() OVER (PARTITION BY snapshot_id ORDER BY tier, rrf_score DESC, path, artifact_id) AS tier_rank FROM t",
+    "eligible_rank": f"WITH {_fused_sql()} SELECT artifact_id, rank, row_number() OVER (PARTITION BY snapshot_id ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed)",
+    "evidence_topk": f"WITH {_fused_sql()} SELECT artifact_id, path, row_number() OVER (PARTITION BY snapshot_id ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed) QUALIFY eligible_rank <= 20",
     "fusion_contributions": f"WITH {_fused_sql()} SELECT 'fusion:' || artifact_id || ':k60' AS evidence_id, round(coalesce(1.0::DOUBLE / (60 + deterministic_rank), 0), 9) AS deterministic, round(coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS semantic FROM fused",
-    "tfidf_rank": f"""WITH {_DOCS}, {_MATCHES}, d AS (SELECT artifact_id, unnest(matched_terms) AS term FROM matched), f AS (SELECT term, count(DISTINCT artifact_id) AS df FROM d GROUP BY 1),
-      w AS (SELECT artifact_id, round(sum(ln(10000.0::DOUBLE / df)), 9) AS tfidf FROM d JOIN f USING (term) GROUP BY 1), k AS (SELECT *, {_LEXCAT} AS category FROM matched JOIN w USING (artifact_id))
-      SELECT artifact_id, tfidf, row_number() OVER (ORDER BY {_ORDER["lex"].format("category")}, tfidf DESC, length(path), path) AS rank FROM k""",
+    "tfidf_rank": f"""WITH {_DOCS}, {_MATCHES}, d AS (SELECT snapshot_id, artifact_id, unnest(matched_terms) AS term FROM matched), f AS (SELECT snapshot_id, term, count(DISTINCT artifact_id) AS df FROM d GROUP BY 1, 2),
+      w AS (SELECT artifact_id, round(sum(ln(10000.0::DOUBLE / df)), 9) AS tfidf FROM d JOIN f USING (snapshot_id, term) GROUP BY 1), k AS (SELECT *, {_LEXCAT} AS category FROM matched JOIN w USING (artifact_id))
+      SELECT artifact_id, tfidf, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_ORDER["lex"].format("category")}, tfidf DESC, length(path), path) AS rank FROM k""",
     "evidence_tiers": f"WITH {_DET} SELECT CASE WHEN incoming OR outgoing THEN 1 WHEN len(path_terms) > 0 OR len(matched_terms) >= 3 THEN 2 WHEN len(matched_terms) > 0 THEN 3 ELSE 4 END AS tier, count(*) AS n FROM det GROUP BY 1",
     "markdown_split": "SELECT doc_id, len(regexp_extract_all(substr(text, 2), '\\n#+ ')) + 1 AS n_parts, length(text) AS n_chars FROM documents WHERE length(text) > 0",
 }
