@@ -91,6 +91,37 @@ def test_leaks(spark, rows):
     assert leakage.leaked(df.limit(0), items).count() == 0 and leakage.leaked(df, items.limit(0)).count() == 0
 
 
+def english(n, seed=3):
+    """Items of common words, which share many shingles, and names of their own."""
+    rng = random.Random(seed)
+    common = "the of and to in is that it for was on are as with they at be this have from or had by word but not what all were we when your can said there use an each which she do how their if will up other about".split()
+    rare = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    return [(i, ORDER + " ".join(rng.choice(rare) if rng.random() < 0.35 else rng.choice(common) for _ in range(80))) for i in range(n)]
+
+
+def test_parts_give_what_one_search_gives(spark, rows):
+    texts = english(40)
+    items = spark.createDataFrame([*texts, texts[0], (1, "another text of the first item " + PASSAGE), (None, "x"), (99, ""), (98, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(t.split()[40:70]) + " after") for i, t in texts] + [(100, PASSAGE), (101, ORDER * 2), (102, None)], "doc_id long, text string")
+    one = rows(leakage.leaked(docs, items))
+    assert {r[:2] for r in one} >= {(i, i) for i, _ in texts} | {(100, 1)} and not {r[0] for r in one} & {101, 102}
+    assert rows(leakage.leaked(docs, items, most_bytes=4000)) == one
+
+
+def test_recall_does_not_fall_with_the_number_of_items():
+    shares = []
+    for n in (100, 1500):
+        texts = english(n)
+        items = leakage.build_items(texts)
+        tails = [" ".join(t.split()[-30:]) for _, t in texts[:60]]
+        shares.append(sum(i in {items.ids[k] for k, *_ in found} for i, found in enumerate(leakage.passages(tails, items))))
+    assert shares == [60, 60]
+
+
+def test_equal_bins_grow_with_the_query():
+    assert leakage.needed(112, 28) > leakage.needed(112, 112) > leakage.needed(112, 224) > leakage.needed(30, 224) >= 1
+
+
 def test_candidates_lose_no_passage():
     rng = random.Random(1)
     vocabulary = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9))) for _ in range(900)]
@@ -105,7 +136,7 @@ def test_candidates_lose_no_passage():
             part[rng.randrange(len(part))] = rng.choice(vocabulary)
         around = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 5, 200])))
         text = f"{around()} {' '.join(part)} {around()}"
-        assert i in {k for k, *_ in leakage.passages(text, items)}
+        assert texts[i] in {texts[items.ids[k]] for k, *_ in leakage.passages([text], items)[0]}
 
 
 NAMES = (
@@ -126,9 +157,9 @@ def test_edited_passage_of_shared_frames_and_repeated_names():
         "draft RoszockGate schedules lazy claim, the remote exort inside"
     )
     items = leakage.build_items([(1, ORDER + NAMES), (2, ORDER + alike(NAMES, 3)), (3, ORDER + alike(NAMES, 4))])
-    found = leakage.passages("Added a test for each tank. " * 5 + edited + " Views now read the tank." * 5, items)
+    found = leakage.passages(["Added a test for each tank. " * 5 + edited + " Views now read the tank." * 5], items)[0]
     assert 1 in [items.ids[k] for k, *_ in found]
-    assert not leakage.passages(ORDER + " ".join(NAMES.split()[:10]), items)
+    assert not leakage.passages([ORDER + " ".join(NAMES.split()[:10])], items)[0]
 
 
 @pytest.mark.parametrize("at", range(0, 29, 4))
@@ -136,4 +167,4 @@ def test_twenty_edited_words_leak(at):
     part = NAMES.split()[at : at + 20]
     part[6], part[13] = part[6][1:], "really"
     items = leakage.build_items([(1, ORDER + NAMES), (2, ORDER + PASSAGE)])
-    assert [items.ids[k] for k, *_ in leakage.passages(" ".join(part), items)] == [1]
+    assert [items.ids[k] for k, *_ in leakage.passages([" ".join(part)], items)[0]] == [1]

@@ -14,24 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracewake.session import cut_lineage
+
 #: Letters and digits of a shingle. Spacing may differ inside and between words, so shingles run across them; eight are about a word and a half.
 GRAM = 8
-#: Bins of a signature (one-permutation hashing: a shingle's hash names its bin and competes for that bin's minimum); characters of a strip (a block of a text is two strips); characters and step of the item windows that are searched.
-BINS, STRIP, WINDOW, STEP = 64, 80, 110, 8
-#: Share of a window's shingles that a block must be able to hold, and the chance of finding such a block.
+#: Bins of a signature (one-permutation hashing: a shingle's hash names its bin and competes for that bin's minimum); letters of a strip
+#: (a domain is a block of two strips of a text, so that it holds any passage of a strip's length); letters and step of the windows of items, which are the queries.
+BINS, STRIP, WINDOW, STEP = 256, 112, 112, 28
+#: Domains are parted by size; each part has its own number of equal bins for each size of query.
+PARTS = (28, 56, 112, 224)
+#: Containment: the share of a window's own shingles that a domain must hold to be searched, and of a passage's shingles to be one; chance of finding a domain that holds as much.
 CONTAINED, CHANCE = 0.25, 0.999
-#: Words of an item that a document must hold running, less what edits at both ends may hide; share of all shingles of these words to be found; what a shingle of the item that is skipped costs a chain.
-WORDS, SHARE, SKIP = 16, 0.2, 0.2
-#: Shingles running that other items have too: fewer are a frame or a name, as many or more an instruction.
-INSTRUCTION = 32
-#: Bytes of item text up to which the searched side is sent to every task.
-MOST_ITEM_BYTES = 8 << 20
+#: Words running that a document must hold: twenty, less two at either end that edits may hide; what a shingle of the item that is skipped costs a chain.
+WORDS, SKIP = 16, 0.2
+#: Shingles running that another item has in the same order: so many are an instruction. A shingle is an item's own if no more than this share of all items, or that item alone, has it.
+INSTRUCTION, OWN = 32, 0.01
+#: Bytes of item text that are sent to every task at once; more are searched in parts.
+MOST_ITEM_BYTES = 2 << 20
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|\\[nrt]")
 _KEEP = re.compile(r"[^\W_]+")
-_SHIFT = np.uint64(58)
-_LOW = np.uint64((1 << 58) - 1)
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(GRAM)], dtype=np.uint64)
+_SHIFT = np.uint64(56)
+_LOW = np.uint64((1 << 56) - 1)
+_LONG = GRAM + INSTRUCTION - 1
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(_LONG)], dtype=np.uint64)
 
 
 def squeeze(text: str | None) -> tuple[str, list[int]]:
@@ -44,14 +50,16 @@ def squeeze(text: str | None) -> tuple[str, list[int]]:
     return "".join(words), starts
 
 
-def shingles(squeezed: str) -> np.ndarray:
+def _codes(squeezed: str) -> np.ndarray:
+    return np.frombuffer(squeezed.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def shingles(squeezed: str, size: int = GRAM) -> np.ndarray:
     """A 64-bit hash of every shingle."""
-    codes = np.frombuffer(squeezed.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) < GRAM:
-        return np.empty(0, np.uint64)
-    n = len(codes) - GRAM + 1
+    codes = _codes(squeezed)
+    n = max(0, len(codes) - size + 1)
     h = np.zeros(n, np.uint64)
-    for i, p in enumerate(_POWERS):
+    for i, p in enumerate(_POWERS[:size]):
         h += codes[i : i + n] * p
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -69,10 +77,13 @@ def signatures(h: np.ndarray, domain: np.ndarray, count: int) -> np.ndarray:
 _BIN_KEYS = np.arange(BINS, dtype=np.uint64) << _SHIFT
 
 
-def needed(size: int) -> int:
-    """Equal bins that a domain of ``size`` shingles shows, but for one case in a thousand, if it contains enough of a window."""
-    common = CONTAINED * WINDOW
-    union = max(size, common) + WINDOW - common
+def needed(query: int, size: int) -> int:
+    """Equal bins that a domain of up to ``size`` shingles shows, but for one case in a thousand, if it contains enough of a query of so many.
+
+    The containment asked for is a similarity by the sizes of both: common shingles over those of either.
+    """
+    common = CONTAINED * query
+    union = max(size, common) + query - common
     filled = int(BINS * (1 - math.exp(-union / BINS)))
     similar = common / union
     below, m = 0.0, 0
@@ -84,99 +95,170 @@ def needed(size: int) -> int:
     return max(1, filled)
 
 
+#: Equal bins by size of query and part of domains.
+_NEEDED = np.array([[needed(max(1, q), part) for part in PARTS] for q in range(WINDOW + 1)])
+
+
 @dataclass
 class Items:
-    """The searched side: signatures of the windows of all items, and all their shingles with positions and kinds: 2 if no other item has it, 1 if others have it, 0 in an instruction."""
+    """The searched side.
+
+    ``keys`` are the signature bins of all windows, ``windows`` the window of each, ``owners`` and ``sizes`` the item and the number of own shingles of each window. ``grams`` are all shingles with item, position
+    and kind: 2 if it is the item's own, 1 if many items have it, 0 in an instruction. ``starts`` are the places of each item's words, ``flags`` and ``gram_flags`` tell quickly that a key or a shingle is unknown.
+    """
 
     ids: np.ndarray
     keys: np.ndarray
+    windows: np.ndarray
     owners: np.ndarray
+    sizes: np.ndarray
     grams: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     starts: list[np.ndarray]
-    limits: dict[int, int]
-
-
-def build_items(rows: list[tuple]) -> Items:
-    """``rows`` are (id, text). Shingles that two items share may be an instruction's or a manner's and are evidence for neither."""
-    texts = [(i, *squeeze(t)) for i, t in {r[0]: r[1] for r in rows if r[0] is not None}.items()]
-    hashed = [shingles(s) for _, s, _ in texts]
-    all_grams = np.concatenate([np.unique(h) for h in hashed]) if hashed else np.empty(0, np.uint64)
-    values, counts = np.unique(all_grams, return_counts=True)
-    shared = values[counts > 1]
-    keys, owners, grams = [], [], []
-    for k, h in enumerate(hashed):
-        own = ~np.isin(h, shared)
-        edges = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-        runs = np.diff(edges, append=len(own))
-        kinds = np.where(own, 2, np.repeat(runs < INSTRUCTION, runs))
+    flags: np.ndarray
+    gram_flags: np.ndarray
+    #: Shingles that the shortest passage of each item must show.
+    least: np.ndarray
+
+
+_FLAGS = 1 << 22
+
+
+def _flag(keys: np.ndarray) -> np.ndarray:
+    return ((keys ^ (keys >> _SHIFT)) & np.uint64(_FLAGS - 1)).astype(np.int64)
+
+
+def hashes_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, and distinct shingles as long as an instruction."""
+    squeezed = squeeze(text)[0]
+    return np.unique(shingles(squeezed)), np.unique(shingles(squeezed, _LONG))
+
+
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
+
+
+def build_items(rows: list[tuple], counts: tuple | None = None, total: int | None = None) -> Items:
+    """``rows`` are (id, text). ``counts`` are the shingles, their numbers of items, and the long shingles that more than one of all ``total`` items have; if not given, these rows are all.
+
+    What many items have, or two have running, may be an instruction or a manner and is evidence for none.
+    """
+    rows = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}, key=lambda r: (str(r[0]), r[1]))
+    texts = [squeeze(t) for _, t in rows]
+    if counts is None:
+        by: dict = {}
+        for i, t in rows:
+            by.setdefault(i, []).append(hashes_of(t))
+        short, number = _counted([np.unique(np.concatenate([x[0] for x in each])) for each in by.values()])
+        long, held = _counted([np.unique(np.concatenate([x[1] for x in each])) for each in by.values()])
+        counts, total = (short[number > 1], number[number > 1], long[held > 1]), len(by)
+    common = counts[0][counts[1] > max(1, int(OWN * (total or 0)))]
+    keys, windows, owners, sizes, grams = [], [], [], [], []
+    for k, (squeezed, _) in enumerate(texts):
+        h = shingles(squeezed)
+        edge = np.zeros(len(h) + 1, int)
+        run = np.flatnonzero(np.isin(shingles(squeezed, _LONG), counts[2]))
+        np.add.at(edge, run, 1)
+        np.add.at(edge, run + INSTRUCTION, -1)
+        kinds = np.where(np.cumsum(edge)[:-1] > 0, 0, np.where(np.isin(h, common), 1, 2))
         grams.append((h, np.full(len(h), k), np.arange(len(h)), kinds))
-        found = [np.empty(0, np.uint64)]
         for a in range(0, max(1, len(h) - WINDOW + STEP), STEP):
-            part = h[a : a + WINDOW][own[a : a + WINDOW]]
+            part = np.unique(h[a : a + WINDOW][kinds[a : a + WINDOW] == 2])
             if len(part):
                 sign = signatures(part, np.zeros(len(part), np.int64), 1)[0]
-                found.append((sign | _BIN_KEYS)[sign != _LOW])
-        found = np.unique(np.concatenate(found))
-        keys.append(found)
-        owners.append(np.full(len(found), k))
-    keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint64), np.empty(0, int))
+                found = (sign | _BIN_KEYS)[sign != _LOW]
+                keys.append(found)
+                windows.append(np.full(len(found), len(owners)))
+                owners.append(k)
+                sizes.append(len(part))
+    keys, windows = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (windows, int)))
     order = np.argsort(keys, kind="stable")
     values, whose, places, kinds = (np.concatenate(x) for x in zip(*grams)) if grams else (np.empty(0, np.uint64), *[np.empty(0, int)] * 3)
     by = np.lexsort((places, whose, values))
-    return Items(np.array([t[0] for t in texts], dtype=object), keys[order], owners[order], (values[by], whose[by], places[by], kinds[by]), [np.array(t[2]) for t in texts], {n: needed(1 << n) for n in range(12)})
+    flags, gram_flags = np.zeros(_FLAGS, bool), np.zeros(_FLAGS, bool)
+    flags[_flag(keys)] = True
+    gram_flags[_flag(values)] = True
+    least = np.array([CONTAINED * ((st[WORDS - 1 :] - st[: len(st) - WORDS + 1]).min() - GRAM) if len(st) >= WORDS else np.inf for st in (np.array(t[1]) for t in texts)])
+    return Items(
+        np.array([r[0] for r in rows], dtype=object), keys[order], windows[order].astype(np.int32), np.array(owners, int), np.array(sizes, int),
+        (values[by], whose[by].astype(np.int32), places[by].astype(np.int32), kinds[by].astype(np.int8)), [np.array(t[1]) for t in texts], flags, gram_flags, least,
+    )
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges, the number of the range and the place of each element."""
+    many = hi - lo
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
 
 
-def candidates(h: np.ndarray, items: Items) -> list[int]:
-    """Items of which some block of the text may contain a window.
+def candidates(hashes: list[np.ndarray], items: Items) -> list[list[int]]:
+    """Of each text, the items of which some domain may contain a window.
 
-    A text up to a block is one domain, a longer one is cut into blocks that overlap by half, so that any
-    passage of a window's length lies in one. Domains are parted by size; each part has its own number of equal bins.
+    Every domain is parted by its size; it meets the windows with which it shares a bin, and those count with which it
+    shows as many equal bins as its part and the size of the window ask for.
     """
-    if not len(h) or not len(items.keys):
-        return []
-    count = -(-len(h) // STRIP)
-    strips = signatures(h, np.arange(len(h)) // STRIP, count)
-    blocks = np.minimum(strips[:-1], strips[1:]) if count > 1 else strips
+    found: list[list[int]] = [[] for _ in hashes]
+    lengths = np.array([len(h) for h in hashes])
+    if not lengths.sum() or not len(items.keys):
+        return found
+    strips = -(-lengths // STRIP)
+    first = np.concatenate([[0], np.cumsum(strips)])
+    text = np.repeat(np.arange(len(hashes)), strips)
+    place = np.concatenate([np.arange(n) for n in lengths])
+    least = signatures(np.concatenate(hashes), np.repeat(first[:-1], lengths) + place // STRIP, int(first[-1]))
+    # A strip and the next of the same text are a block; the last strip of a longer text lies in the block before.
+    last = np.zeros(len(text), bool)
+    last[first[1:][strips > 0] - 1] = True
+    pair = np.flatnonzero(~last)
+    alone = np.flatnonzero(last & (strips[text] == 1))
+    blocks = np.concatenate([np.minimum(least[pair], least[pair + 1]), least[alone]])
+    owner = np.concatenate([text[pair], text[alone]])
+    size = np.concatenate([np.minimum(2 * STRIP, lengths[text[pair]] - (pair - first[text[pair]]) * STRIP), lengths[text[alone]]])
+    part = np.searchsorted(PARTS, size)
     flat = (blocks | _BIN_KEYS).ravel()
-    flat[blocks.ravel() == _LOW] = np.uint64(2**64 - 1)
-    lo, hi = np.searchsorted(items.keys, flat), np.searchsorted(items.keys, flat, side="right")
-    many = hi - lo
-    if not many.any():
-        return []
-    hit = np.repeat(np.arange(len(flat)) // BINS, many)
-    owner = items.owners[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
-    pair, count = np.unique(hit * len(items.ids) + owner, return_counts=True)
-    size = min(len(h), 2 * STRIP)
-    return np.unique(pair[count >= items.limits[min(11, max(0, size - 1).bit_length())]] % len(items.ids)).tolist()
-
-
-def passages(text: str | None, items: Items) -> list[tuple[int, int, float]]:
-    """``(item, words, share)`` of every item of which the text holds a passage."""
-    h = shingles(squeeze(text)[0])
-    likely = candidates(h, items)
-    if not likely:
-        return []
-    values, whose, places, kinds = items.grams
-    lo, hi = np.searchsorted(values, h), np.searchsorted(values, h, side="right")
-    many = hi - lo
-    text_at = np.repeat(np.arange(len(h)), many)
-    at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    found = []
-    for k in likely:
-        of = whose[at] == k
-        words, share = longest_passage(text_at[of], places[at[of]], kinds[at[of]], items.starts[k])
-        if words >= WORDS and share >= SHARE:
-            found.append((k, words, share))
+    likely = np.flatnonzero(items.flags[_flag(flat)] & (blocks.ravel() != _LOW))
+    lo, hi = np.searchsorted(items.keys, flat[likely]), np.searchsorted(items.keys, flat[likely], side="right")
+    which, at = _spread(lo, hi)
+    if not len(at):
+        return found
+    met, equal = np.unique((likely[which] // BINS) * np.int64(len(items.owners)) + items.windows[at], return_counts=True)
+    block, window = met // len(items.owners), met % len(items.owners)
+    good = equal >= _NEEDED[np.minimum(items.sizes[window], WINDOW), part[block]]
+    for t, k in sorted(set(zip(owner[block[good]].tolist(), items.owners[window[good]].tolist()))):
+        found[t].append(k)
     return found
 
 
+def passages(texts: list[str | None], items: Items) -> list[list[tuple[int, int, float]]]:
+    """``(item, words, share)`` of every item of which each text holds a passage."""
+    hashes = [shingles(squeeze(t)[0]) for t in texts]
+    values, whose, places, kinds = items.grams
+    out = []
+    for h, likely in zip(hashes, candidates(hashes, items)):
+        out.append([])
+        if not likely:
+            continue
+        known = np.flatnonzero(items.gram_flags[_flag(h)])
+        which, at = _spread(np.searchsorted(values, h[known]), np.searchsorted(values, h[known], side="right"))
+        text_at, met = known[which], whose[at]
+        shown = np.bincount(met, minlength=len(items.ids))
+        for k in likely:
+            if shown[k] < items.least[k]:
+                continue
+            of = met == k
+            words, share = longest_passage(text_at[of], places[at[of]].astype(int), kinds[at[of]], items.starts[k])
+            if words >= WORDS and share >= CONTAINED:
+                out[-1].append((k, words, share))
+    return out
+
+
 def longest_passage(text_at: np.ndarray, item_at: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[int, float]:
     """Words of the longest running passage of the item in the text, and the share of its shingles found.
 
     Shingles at which text and item agree, in text order, are chained while both go on together: steps of at
     most 90 characters whose lengths differ by at most 30, about what a few changed words leave. Each goes on from the
     chain that has found most and skipped least, or begins one. A chain counts from its first own shingle to its last and as far as
-    shared ones join these without a gap, but for an instruction's; in between every shingle counts. Of chains that hold SHARE of their shingles the longest is returned.
+    shared ones join these without a gap, but for an instruction's; in between every shingle counts. Of chains that hold CONTAINED of their shingles the longest is returned.
     """
     own = kinds == 2
     if not own.any() or len(starts) < WORDS:
@@ -190,7 +272,7 @@ def longest_passage(text_at: np.ndarray, item_at: np.ndarray, kinds: np.ndarray,
     inside = (item_at >= lead[own].min()) & (item_at <= trail[own].max())
     text_at, item_at, own, lead, trail = (x[inside] for x in (text_at, item_at, own, lead, trail))
     # The shortest run of so many words, less what counts as within a chain, needs so many shingles.
-    if len(np.unique(item_at)) < SHARE * ((starts[WORDS - 1 :] - starts[: len(starts) - WORDS + 1]).min() - GRAM):
+    if len(np.unique(item_at)) < CONTAINED * ((starts[WORDS - 1 :] - starts[: len(starts) - WORDS + 1]).min() - GRAM):
         return 0, 0.0
     n = len(text_at)
     score, count = np.ones(n), np.ones(n, int)
@@ -222,33 +304,88 @@ def longest_passage(text_at: np.ndarray, item_at: np.ndarray, kinds: np.ndarray,
     share = np.where(known, (upto - before + item_at[first] - start + stop - item_at[last]) / np.maximum(1, stop - start + 1), 0)
     # A word counts if half of it, or so, lies within the chain.
     words = np.where(known, np.searchsorted(starts, stop + GRAM - 2) - np.searchsorted(starts, start - 2), 0)
-    best = np.lexsort((share, words, share >= SHARE))[-1]
+    best = np.lexsort((share, words, share >= CONTAINED))[-1]
     return int(words[best]), float(share[best])
 
 
-def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def _shared_hashes(items: DataFrame, item: str, text: str) -> DataFrame:
+    """``long, h, n``: shingles that more than one item has, short and long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, t in enumerate(batch.column(1).to_pylist()):
+                both = hashes_of(t)
+                for long, h in enumerate(both):
+                    name = batch.column(0).take(pa.array(np.full(len(h), j)))
+                    yield pa.RecordBatch.from_arrays([name, pa.array(np.full(len(h), bool(long))), pa.array(h.view(np.int64))], names=["i", "long", "h"])
+
+    kind = items.schema[item].dataType.simpleString()
+    each = items.select(item, text).mapInArrow(run, f"i {kind}, long boolean, h long")
+    return each.groupBy("long", "h").agg(F.count_distinct("i").alias("n")).filter("n > 1")
+
+
+def leaked(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
     """``doc, item, n_words, share``: every document that holds a passage of an item, whole or in part.
 
-    Case, punctuation, spacing (also inside words), mark-up and some words may differ. What two items share
-    is evidence for neither, but counts within a passage. Null and empty texts hold nothing; repeated items count once, repeated documents each.
-    The items are a bounded set that goes to every task: their bytes are summed first, and more than MOST_ITEM_BYTES is an error. No document is shuffled.
-    """
-    bytes_ = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if bytes_ > MOST_ITEM_BYTES:
-        raise ValueError(f"items of {bytes_} bytes; search them in parts of at most {MOST_ITEM_BYTES}")
-    rows = [(r[0], r[1]) for r in items.select(item, item_text).distinct().orderBy(item, item_text).collect()]
-    known = documents.sparkSession.sparkContext.broadcast(build_items(rows))
+    Case, punctuation, spacing (also inside words), mark-up and some words may differ. What many items share
+    is evidence for none, but counts within a passage. Null and empty texts hold nothing; repeated items count once, an item with several texts leaks with any of them, repeated documents count each.
 
+    Items are sent to every task, ``most_bytes`` of their text at once. More are searched in parts by a hash of their id, each against all documents; how
+    many items share a shingle is counted over all of them beforehand, so that the result is that of one part. No document is shuffled.
+    """
+    known = items.filter(F.col(item).isNotNull() & (F.length(item_text) > 0)).select(item, item_text).distinct()
+    size = known.agg(F.sum(F.octet_length(item_text)).alias("b"), F.count_distinct(item).alias("n")).first()
+    parts = max(1, -(-(size["b"] or 0) // most_bytes))
+    if parts == 1:
+        return _search(documents, build_items([tuple(r) for r in known.collect()]), items, doc, text, item)
+    shared = cut_lineage(_shared_hashes(known, item, item_text))
+    numbered = cut_lineage(known.withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts))))
+    out = None
+    for p in range(parts):
+        rows = [(r[0], r[1]) for r in numbered.filter(F.col("part") == p).select(item, item_text).collect()]
+        own = _part_counts(shared, documents.sparkSession, rows)
+        found = _search(documents, build_items(rows, own, size["n"]), items, doc, text, item)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _part_counts(shared: DataFrame, spark, rows: list[tuple]) -> tuple:
+    """Of the shingles of a part's items, those that other items share."""
+    both = [hashes_of(t) for _, t in rows]
+    wanted = [np.unique(np.concatenate([b[long] for b in both] or [np.empty(0, np.uint64)])).view(np.int64) for long in (0, 1)]
+    table = pa.table({"long": np.repeat([False, True], [len(w) for w in wanted]), "h": np.concatenate(wanted)})
+    found = shared.join(spark.createDataFrame(table), ["long", "h"]).toArrow()
+    long, h, n = (found.column(c).to_numpy() for c in ("long", "h", "n"))
+    return h[~long].view(np.uint64), n[~long], h[long].view(np.uint64)
+
+
+def _search(documents: DataFrame, built: Items, items: DataFrame, doc: str, text: str, item: str) -> DataFrame:
+    known = documents.sparkSession.sparkContext.broadcast(built)
     item_type = to_arrow_type(items.schema[item].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
         for batch in batches:
-            out = [(j, own.ids[k], w, s) for j, t in enumerate(batch.column(1).to_pylist()) for k, w, s in passages(t, own)]
-            docs = batch.column(0).take(pa.array([o[0] for o in out], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [docs, pa.array([o[1] for o in out], item_type), pa.array([o[2] for o in out], pa.int32()), pa.array([float(o[3]) for o in out], pa.float64())], names=[doc, item, "n_words", "share"]
-            )
+            texts = batch.column(1).to_pylist()
+            start = 0
+            while start < len(texts):
+                # Texts are taken together up to some length, which saves calls and bounds memory.
+                stop, held = start, 0
+                while stop < len(texts) and (stop == start or held + len(texts[stop]) <= 1 << 18):
+                    held += len(texts[stop])
+                    stop += 1
+                best: dict = {}
+                for j, found in enumerate(passages(texts[start:stop], own)):
+                    for k, w, s in found:
+                        best[start + j, own.ids[k]] = max(best.get((start + j, own.ids[k]), (0, 0.0)), (w, s))
+                start = stop
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([at[0] for at in best], pa.int64())), pa.array([at[1] for at in best], item_type), pa.array([v[0] for v in best.values()], pa.int32()),
+                        pa.array([float(v[1]) for v in best.values()], pa.float64()),
+                    ],
+                    names=[doc, item, "n_words", "share"],
+                )
 
     schema = f"{doc} {documents.schema[doc].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, n_words int, share double"
     return documents.select(doc, text).filter(F.col(text).isNotNull()).mapInArrow(run, schema)
