@@ -142,6 +142,17 @@ def test_subjects(spark):
     held = range(300, 900)
     assert np.mean([found.get(d, set()) == truth[d] for d in held]) > 0.95
     assert not set(found) & {5000, 5001, 5002, 5003}
+    told = {r["function"]: r for r in subjects.function_accuracies(df, spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string"), areas).collect()}
+    assert set(told) == {"lexicon", "address", "section", "source"} and told["lexicon"]["coverage"] > 0.5 and told["address"]["coverage"] > 0.2 and min(told["lexicon"]["accuracy"], told["address"]["accuracy"]) > 0.7
     empty = spark.createDataFrame([], "doc_id long, subject string, labelled_by string")
+    assert subjects.function_accuracies(df, empty, areas).count() == 4
     assert subjects.assign_subjects(df, empty, areas).count() == 0
     assert subjects.assign_subjects(df.limit(0), empty, areas.limit(0)).count() == 0
+
+
+def test_each_function_names_subjects_by_itself():
+    lexicon, address, section = subjects.Vocabulary({"court filing": 0}), subjects.Vocabulary({"drum loop": 1}), subjects.Vocabulary({"seat map": 2})
+    votes = lambda t: subjects.votes_of(t, lexicon, address, section)
+    assert votes("x. See `drumLoop` and DrumLoopStream. A drum loop is heard.") == [(1, 0, 0, 1, 0)]
+    assert votes("x. A seat map.\n# Seat map\nThe court filing.") == [(0, 1, 0, 0, 0), (2, 0, 1, 0, 1)]
+    assert votes("x. a drum. loop of the court; filing") == [] and votes(None) == [] and votes("") == []

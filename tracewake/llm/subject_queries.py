@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewake.llm.subjects import assign_subjects
+from tracewake.llm.subjects import assign_subjects, function_accuracies
 from tracewake.session import table
 
 
@@ -22,5 +22,10 @@ def p9_composition(spark, root):
     return _assigned(spark, root).groupBy("subject").agg(F.count("*").alias("n_documents")).join(F.broadcast(total)).select("subject", "n_documents", (F.col("n_documents") / F.col("all")).alias("share"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_composition": p9_composition}
+def p9_functions(spark, root):
+    """Coverage and learned accuracy of each labelling function."""
+    return function_accuracies(*(table(spark, root, t) for t in ("documents", "subject_label", "subject_area")))
+
+
+QUERIES = {"p9_found": p9_found, "p9_composition": p9_composition, "p9_functions": p9_functions}
 SQL: dict[str, str] = {}
