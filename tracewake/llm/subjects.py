@@ -21,20 +21,24 @@ LABELLED_DOCUMENTS = 20_000
 TERM_WORDS, TERM_DOCUMENTS, TERM_SHARE = 4, 3, 0.7
 #: Characters of a labelled document beyond which the lexicon is not learned from it, and terms of all vocabularies that are sent to every task at most.
 LABELLED_CHARACTERS, MOST_TERMS = 50_000, 2_000_000
+#: Subjects that a count is coded with.
+_SUBJECTS = 1 << 20
 #: Least posterior probability of a subject that is assigned.
 ASSIGNED = 0.5
 #: Labelling functions that read the text, each with a vocabulary of its own, and the mark of its terms.
 READERS = {"lexicon": "L", "address": "A", "section": "S"}
 
 _HUMP = re.compile(r"(?<=[a-zß-ÿ])(?=[A-Z])")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+|\n")
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+|\s\|\s")
 _ADDRESS = re.compile(r"`|[a-zß-ÿ][A-Z]|\w[_/]\w")
 _SECTION = re.compile(r"\s*(?:#{1,6}\s|[-*+|]\s|\d+[.)]\s|\w+(?:\(\w+\))?:\s)")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(_HUMP.sub(" ", text).lower())
+def lines_of(texts: list[str]) -> list[str]:
+    """The words of each text in lower case, between single blanks; identifiers are taken apart. The texts have no line breaks."""
+    each = " ".join(_WORD.findall(_HUMP.sub(" ", "\n".join(texts)).lower())).split("\n")
+    return [f" {t.strip(' ')} " for t in each]
 
 
 def parts_of(text: str) -> list[tuple[str, str, bool]]:
@@ -42,14 +46,10 @@ def parts_of(text: str) -> list[tuple[str, str, bool]]:
 
     Words stand between blanks, those of separate identifiers in separate lines.
     """
-    found = []
-    for sentence in _SENTENCE.split(text):
-        if sentence:
-            address = ""
-            if _ADDRESS.search(sentence):
-                address = "\n".join(" " + " ".join(words_of(p)) + " " for p in sentence.split() if _ADDRESS.search(p))
-            found.append((" " + " ".join(words_of(sentence)) + " ", address, not found or bool(_SECTION.match(sentence))))
-    return found
+    sentences = [s for s in _SENTENCE.split(text) if s]
+    spans = [" ".join(p for p in s.split() if _ADDRESS.search(p)) if _ADDRESS.search(s) else "" for s in sentences]
+    addresses = ["\n".join(lines_of(p.split(" "))) if p else "" for p in spans]
+    return [(w, a, k == 0 or bool(_SECTION.match(s))) for k, (s, w, a) in enumerate(zip(sentences, lines_of(sentences), addresses))]
 
 
 def terms_of(words: str) -> Iterator[str]:
@@ -108,8 +108,6 @@ def learn_vocabularies(documents: DataFrame, labels: DataFrame, subjects: list[s
             n: Counter = Counter()
             for t, named in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 numbers = [number[s] for s in named]
-                n[("", -1)] += 1
-                n.update(("", s) for s in numbers)
                 found = set()
                 for words, addresses, heading in parts_of(t):
                     found.update("L" + x for x in terms_of(words))
@@ -123,15 +121,17 @@ def learn_vocabularies(documents: DataFrame, labels: DataFrame, subjects: list[s
 
     read = documents.select(doc, text).filter(F.length(text) <= LABELLED_CHARACTERS).join(F.broadcast(hand), doc)
     counted = read.select(text, "subjects").mapInArrow(count, "term string, subject int, n long")
-    terms = counted.groupBy("term", "subject").agg(F.sum("n").alias("n")).groupBy("term").agg(
-        F.max(F.when(F.col("subject") == -1, F.col("n"))).alias("all"), F.max(F.when(F.col("subject") >= 0, F.struct("n", (-F.col("subject")).alias("s")))).alias("top"), F.collect_list(F.struct("subject", "n")).alias("each")
-    )
-    terms = cut_lineage(terms.filter((F.col("all") >= TERM_DOCUMENTS) & ((F.col("term") == "") | (F.col("top.n") >= TERM_SHARE * F.col("all")))).withColumn("each", F.when(F.col("term") == "", F.col("each"))))
-    total = terms.filter("term = ''").first()
-    if total is None:
+    # Partitioned by term, both aggregations stay in place. A subject and its count make one number, of which the greatest is the first of the most frequent.
+    counts = counted.repartition("term").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+    coded = F.when(F.col("subject") >= 0, F.col("n") * _SUBJECTS + (_SUBJECTS - 1 - F.col("subject")))
+    terms = counts.groupBy("term").agg(F.max(F.when(F.col("subject") == -1, F.col("n"))).alias("c"), F.max(coded).alias("code"))
+    terms = terms.select("term", "c", F.floor(F.col("code") / _SUBJECTS).alias("k"), (_SUBJECTS - 1 - F.col("code") % _SUBJECTS).cast("int").alias("s"))
+    terms = cut_lineage(terms.filter((F.col("c") >= TERM_DOCUMENTS) & (F.col("term") != "") & (F.col("k") >= TERM_SHARE * F.col("c"))))
+    labelled = read.agg(F.count("*").alias("all"), *[F.count_if(F.array_contains("subjects", s)).alias(f"n{i}") for i, s in enumerate(subjects)]).first()
+    if not labelled["all"]:
         return {name: {} for name in READERS}
-    base = {r["subject"]: r["n"] / total["all"] for r in total["each"] if r["subject"] >= 0}
-    candidates = terms.filter("term <> '' AND top IS NOT NULL").select("term", F.col("all").alias("c"), F.col("top.n").alias("k"), (-F.col("top.s")).alias("s"))
+    base = {i: labelled[f"n{i}"] / labelled["all"] for i in range(len(subjects)) if labelled[f"n{i}"]}
+    candidates = terms
     tests = {r[0]: max(2, r[1]) for r in candidates.groupBy(F.substring("term", 1, 1)).count().collect()}
     prior = F.create_map(*[F.lit(x) for s, q in base.items() for x in (s, min(q, 0.999))])[F.col("s")]
     share = F.least(F.col("k") / F.col("c"), F.lit(1 - 1e-12))
