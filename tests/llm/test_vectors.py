@@ -31,6 +31,19 @@ def test_recall_against_brute_force(spark):
     assert all(abs(r["similarity"] - s[int(r["key"][1:]), int(r["neighbour"][1:])]) < 1e-4 for r in found)
 
 
+def test_recall_of_the_default_setting_with_hundreds_of_lists(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(150, 32))
+    x = centres[rng.choice(150, 6000, p=[0.3] + [0.7 / 149] * 149)] + 0.35 * rng.normal(size=(6000, 32))
+    rows = [("m", f"h{i:05d}", 32, [float(v) for v in r]) for i, r in enumerate(x)]
+    found = nearest(spark.createDataFrame(rows, SCHEMA), 10, queries=F.substring("key", 2, 5).cast("int") % 20 == 0, list_rows=24).collect()
+    got: dict = {}
+    for r in found:
+        got.setdefault(int(r["key"][1:]), set()).add(int(r["neighbour"][1:]))
+    best, _ = brute(x, 10)
+    assert np.mean([len(got.get(i, set()) & set(best[i])) / 10 for i in range(0, 6000, 20)]) >= 0.9
+
+
 def test_graph_finds_the_nearest_centroid():
     x = clustered(4000, 16, 1)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -40,13 +53,10 @@ def test_graph_finds_the_nearest_centroid():
     assert np.mean(ids[:, 0] == (x[:1000] @ index.centroids.T).argmax(1)) > 0.97
 
 
-def test_blocks_keep_every_pair(spark, monkeypatch):
-    from tracewake.llm import neighbours
-
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 20)
+def test_blocks_keep_every_pair(spark):
     x = clustered(120, 8, 2)
     rows = [("m", f"h{i:03d}", 8, [float(v) for v in r]) for i, r in enumerate(x)]
-    found = nearest(spark.createDataFrame(rows, SCHEMA), 5, list_rows=1000).collect()
+    found = nearest(spark.createDataFrame(rows, SCHEMA), 5, list_rows=1000, block_rows=20).collect()
     best, _ = brute(x, 5)
     assert {(int(r["key"][1:]), int(r["neighbour"][1:])) for r in found} == {(i, j) for i in range(120) for j in best[i]}
 
@@ -83,3 +93,16 @@ def test_every_queried_copy_has_neighbours(spark):
             assert all(got[c] == ["c000", "c001", "c002"] for c in due if c != "c055")
             assert got["c055"] == ["c000", "c001", "c002"]
     assert {r["key"] for r in nearest(df, 3, copies=True).select("key").distinct().collect()} == set(copies) | set(others)
+
+
+def test_large_lists_get_lists_of_their_own(spark):
+    x = clustered(4000, 16, 5)
+    rows = [("m", f"h{i:05d}", 16, [float(v) for v in r]) for i, r in enumerate(x)]
+    found = nearest(spark.createDataFrame(rows, SCHEMA), 10, queries=F.substring("key", 2, 5).cast("int") % 20 == 0, list_rows=64, max_lists=3, split_rows=300, query_lists=8, query_ratio=1.3).collect()
+    best, s = brute(x, 10)
+    got: dict = {}
+    for r in found:
+        got.setdefault(int(r["key"][1:]), set()).add(int(r["neighbour"][1:]))
+    assert set(got) == set(range(0, 4000, 20)) and {len(v) for v in got.values()} == {10}
+    assert np.mean([len(got[i] & set(best[i])) / 10 for i in got]) >= 0.9
+    assert all(abs(r["similarity"] - s[int(r["key"][1:]), int(r["neighbour"][1:])]) < 1e-4 for r in found)

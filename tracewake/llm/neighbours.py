@@ -17,8 +17,9 @@ SAMPLE_ROWS = 24_000
 #: Vectors that a posting list is meant to hold, before replication, and the most lists of a model.
 LIST_ROWS = 256
 MAX_LISTS = 4096
-#: A list expected to hold more members than this is searched in blocks.
-BLOCK_ROWS = 4096
+#: Members of a list from which it gets lists of its own, so that work stays in proportion where lists grow, and
+#: members that a list is expected to hold from which it is searched in pairs of blocks, so that no task holds it all.
+SPLIT_ROWS, BLOCK_ROWS = 4096, 65_536
 #: Neighbours of a centroid in the graph, and the width of its search.
 DEGREE, BEAM = 20, 8
 
@@ -72,7 +73,7 @@ class Index:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def fit_index(sample: np.ndarray, rows: int, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> Index:
+def fit_index(sample: np.ndarray, rows: int, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, block_rows: int = BLOCK_ROWS) -> Index:
     """Balanced spherical k-means on ``sample`` (unit vectors) of a collection of ``rows``."""
     rng = np.random.default_rng(20)
     lists = int(min(max(1, rows // list_rows), max_lists, max(1, len(sample) // 4)))
@@ -97,7 +98,7 @@ def fit_index(sample: np.ndarray, rows: int, list_rows: int = LIST_ROWS, max_lis
     degree = max(1, min(DEGREE, lists - 1))
     graph = np.argsort(-near, axis=1)[:, :degree]
     count = min(lists, max(48, 4 * int(lists**0.5)))
-    return Index(centroids, graph, np.sort(rng.choice(lists, count, replace=False)), np.ceil(share * rows * 2 / BLOCK_ROWS).clip(1).astype(int))
+    return Index(centroids, graph, np.sort(rng.choice(lists, count, replace=False)), np.ceil(share * rows * 2 / block_rows).clip(1).astype(int))
 
 
 def _unit(vectors: pa.Array, dimensions: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -159,7 +160,7 @@ def prepared(rows: DataFrame, model: str, key: str, vector: str, dimensions: str
     )
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> dict[str, Index]:
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, block_rows: int = BLOCK_ROWS) -> dict[str, Index]:
     """An index for each model of ``rows`` (as from :func:`prepared`), fitted on executors.
 
     Each model's sample holds about ``sample_rows`` rows chosen by a hash of the key. Only centroids
@@ -174,7 +175,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_R
     def one(table: pa.Table) -> pa.Table:
         name = table.column("model")[0].as_py()
         x = unpack(table.column("unit").to_pylist())
-        index = fit_index(x, counts[name], list_rows)
+        index = fit_index(x, counts[name], list_rows, max_lists, block_rows)
         dump = [getattr(index, f).astype(t).tobytes() for f, t in (("centroids", np.float32), ("graph", np.int32), ("entries", np.int32), ("blocks", np.int32))]
         return pa.table({"model": [name], "dims": [x.shape[1]], **{f"p{i}": pa.array([d], pa.binary()) for i, d in enumerate(dump)}})
 
@@ -240,7 +241,66 @@ def _post(rows: DataFrame, indexes, lists: int, member_ratio: float, query_lists
 FOUND = "model string, key string, neighbour string, similarity double"
 
 
-def _search_cells(cells: DataFrame, k: int, least: float) -> DataFrame:
+def _best(z: np.ndarray, own: np.ndarray, y: np.ndarray, owner: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, members and cosines of the ``k`` best members of each query ``z`` among vectors ``y`` of members ``owner``, in ascending order; ``own`` is the member that a query is itself."""
+    found: list[list] = [[], [], []]
+    # A member that has several vectors is as similar as the best of them.
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
+    names = owner[starts]
+    for a in range(0, len(z) if len(y) else 0, 1024):
+        sims = np.round((z[a : a + 1024] @ y.T).astype(np.float64), 6)
+        if len(starts) < len(y):
+            sims = np.maximum.reduceat(sims, starts, axis=1)
+        self_ = own[a : a + 1024]
+        at = np.searchsorted(names, self_)
+        same = np.flatnonzero((at < len(names)) & (names[np.minimum(at, len(names) - 1)] == self_))
+        sims[same, at[same]] = -3
+        floor = np.full(len(sims), least)
+        if sims.shape[1] > k:
+            floor = np.maximum(floor, -np.partition(-sims, k - 1, axis=1)[:, k - 1])
+        row, col = np.nonzero((sims >= floor[:, None]) & (sims > -2))
+        for out, values in zip(found, _first(a + row, names[col], sims[row, col], k)):
+            out.append(values)
+    return tuple(np.concatenate(x) if x else np.empty(0, int) for x in found)
+
+
+def _first(row: np.ndarray, member: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row; among ties the lower member, which has the smaller key."""
+    order = np.lexsort((member, -sims, row))
+    row, member, sims = row[order], member[order], sims[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], member[kept], sims[kept]
+
+
+def _best_by_lists(z, own, y, owner, k: int, least: float, settings: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same through lists of the members' own, fitted here."""
+    lists, member_ratio, query_lists, query_ratio, list_rows = settings
+    rng = np.random.default_rng(len(y))
+    index = fit_index(y if len(y) <= SAMPLE_ROWS else y[np.sort(rng.choice(len(y), SAMPLE_ROWS, replace=False))], len(y), list_rows)
+
+    def lists_of(x: np.ndarray, most: int, ratio: float) -> list[np.ndarray]:
+        ids, sims = index.search(x, max(BEAM, most))
+        far = np.sqrt(np.maximum(0, 2 - 2 * sims))
+        row, col = np.nonzero((np.arange(ids.shape[1]) < most) & (far <= ratio * far[:, :1] + 1e-6) & (ids >= 0))
+        to = ids[row, col]
+        order = np.lexsort((row, to))
+        cuts = np.searchsorted(to[order], np.arange(len(index.centroids) + 1))
+        return [row[order][cuts[i] : cuts[i + 1]] for i in range(len(index.centroids))]
+
+    if not len(z):
+        return _best(z, own, y, owner, k, least)
+    parts = [
+        (q, _best(z[q], own[q], y[m], owner[m], k, least)) for m, q in zip(lists_of(y, lists, member_ratio), lists_of(z, query_lists, query_ratio)) if len(m) and len(q)
+    ]
+    row, member, sims = (np.concatenate([q[r[0]] if i == 0 else r[i] for q, r in parts] or [np.empty(0, int)]) for i in range(3))
+    # A border member is in several lists.
+    order = np.lexsort((-sims, member, row))
+    row, member, sims = row[order], member[order], sims[order]
+    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (member[1:] != member[:-1])]) if len(row) else np.empty(0, bool)
+    return _first(row[fresh], member[fresh], sims[fresh], k)
+
+
+def _search_cells(cells: DataFrame, k: int, least: float, split: int, settings: tuple) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         name = table.column("model")[0].as_py()
         keys = np.array(table.column("key").to_pylist(), dtype=object)
@@ -250,31 +310,13 @@ def _search_cells(cells: DataFrame, k: int, least: float) -> DataFrame:
         order = np.argsort(keys[member].astype(str), kind="stable")
         names, y = keys[member][order], x[member][order]
         asked, z = keys[query], x[query]
-        out: list[list] = [[], [], []]
-        # A key that has several vectors is one member, as similar as the best of them.
-        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.empty(0, int)
-        names = names[starts]
+        fresh = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.empty(0, bool)
+        owner, names = np.cumsum(fresh) - 1, names[fresh]
         number = {n: i for i, n in enumerate(names)}
-        for a in range(0, len(z) if len(y) else 0, 1024):
-            sims = np.round((z[a : a + 1024] @ y.T).astype(np.float64), 6)
-            if len(starts) < len(y):
-                sims = np.maximum.reduceat(sims, starts, axis=1)
-            own = np.array([number.get(n, -1) for n in asked[a : a + 1024]])
-            sims[np.flatnonzero(own >= 0), own[own >= 0]] = -3
-            floor = np.full(len(sims), least)
-            if sims.shape[1] > k:
-                floor = np.maximum(floor, -np.partition(-sims, k - 1, axis=1)[:, k - 1])
-            row, col = np.nonzero((sims >= floor[:, None]) & (sims > -2))
-            # Members are sorted by key, so a stable sort puts the smaller key first among ties.
-            rank = np.lexsort((col, -sims[row, col], row))
-            row, col = row[rank], col[rank]
-            start = np.searchsorted(row, row)
-            kept = np.arange(len(row)) - start < k
-            row, col = row[kept], col[kept]
-            out[0] += asked[a + row].tolist()
-            out[1] += names[col].tolist()
-            out[2] += sims[row, col].tolist()
-        return pa.table({"model": pa.array([name] * len(out[0]), pa.string()), "key": pa.array(out[0], pa.string()), "neighbour": pa.array(out[1], pa.string()), "similarity": pa.array(out[2], pa.float64())})
+        own = np.array([number.get(n, -1) for n in asked], int)
+        row, col, sims = _best_by_lists(z, own, y, owner, k, least, settings) if len(y) > split else _best(z, own, y, owner, k, least)
+        row, col = row.astype(int), col.astype(int)
+        return pa.table({"model": pa.array([name] * len(row), pa.string()), "key": pa.array(asked[row].tolist(), pa.string()), "neighbour": pa.array(names[col].tolist(), pa.string()), "similarity": pa.array(sims.astype(np.float64))})
 
     return cells.groupBy("model", "cell").applyInArrow(one, FOUND)
 
@@ -290,10 +332,13 @@ def nearest(
     least: float = -1.0,
     lists: int = 4,
     member_ratio: float = 1.15,
-    query_lists: int = 4,
-    query_ratio: float = 1.2,
+    query_lists: int = 8,
+    query_ratio: float = 1.3,
     sample_rows: int = SAMPLE_ROWS,
     list_rows: int = LIST_ROWS,
+    max_lists: int = MAX_LISTS,
+    split_rows: int = SPLIT_ROWS,
+    block_rows: int = BLOCK_ROWS,
     copies: bool = False,
 ) -> DataFrame:
     """``model, key, neighbour, similarity, rank``: up to ``k`` rows of the same model most similar to each row by cosine.
@@ -301,14 +346,16 @@ def nearest(
     Every vector is a member of its nearest list and of further ones, up to ``lists``, whose centroid is at most
     ``member_ratio`` times as far (border vectors are thus replicated); it asks the lists within ``query_ratio``.
     ``queries``, a condition on the key column, limits who asks, never who answers. Neighbours under ``least`` are
-    left out before the results of the lists meet. Ties go to the smaller key.
+    left out before the results of the lists meet. Ties go to the smaller key. There are up to ``max_lists`` lists; where the data outgrow these, a list
+    of more than ``split_rows`` members is searched through lists of its own, and one
+    expected to hold more than ``block_rows`` in pairs of blocks.
 
     Repeated rows count once; a key with several vectors is as similar as its best. Of rows with one direction only the k + 1 smallest keys are members and ask: no
     other can be among anyone's k nearest when ties go to the smaller key. With ``copies`` one asker for each direction asks for its further keys that ``queries`` admits, and what it finds is
     given to each of them, so that every such key has its rows; without, they have none. Vectors of one model but different dimensions are kept apart. Null, zero, non-finite and wrongly long vectors take part in nothing; an empty table gives an empty result.
     """
     base = prepared(rows, model, key, vector, dimensions)
-    indexes = fit(base, sample_rows, list_rows)
+    indexes = fit(base, sample_rows, list_rows, max_lists, block_rows)
     spark = rows.sparkSession
     first = Window.partitionBy("model", "class").orderBy("key")
     placed = base.withColumn("place", F.dense_rank().over(first))
@@ -324,7 +371,7 @@ def nearest(
         asking = asking.unionByName(for_all.withColumn("query", F.lit(True)).withColumn("member", F.lit(False)))
     cells = _post(asking, spark.sparkContext.broadcast(indexes), lists, member_ratio, query_lists, query_ratio)
     # An asker for others does not know itself; one row more, since a key that has several vectors may be found for itself.
-    found = _search_cells(cells, k + copies, least)
+    found = _search_cells(cells, k + copies, least, split_rows, (lists, member_ratio, query_lists, query_ratio, list_rows))
     if copies:
         who = further.select("model", asker.alias("asker"), F.col("key").alias("copy")).distinct()
         theirs = found.filter(F.col("key").startswith("\x1e")).withColumnRenamed("key", "asker").join(who, ["model", "asker"]).filter("copy <> neighbour")

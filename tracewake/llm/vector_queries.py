@@ -11,7 +11,8 @@ LEAST = 0.95
 
 
 def p4_found(spark, root):
-    found = nearest(table(spark, root, "semantic_embedding"), k=10, least=LEAST)
+    # Neighbours as near as LEAST lie in the nearest few lists.
+    found = nearest(table(spark, root, "semantic_embedding"), k=10, least=LEAST, query_lists=4, query_ratio=1.2)
     return mutual_pairs(found, LEAST).select(F.col("model").alias("model_id"), F.col("a").alias("input_hash_a"), F.col("b").alias("input_hash_b"))
 
 
