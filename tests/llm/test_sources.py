@@ -169,6 +169,21 @@ def test_classifiers_find_unmarked_files(spark):
     right = sum((v in found) == t for v, t in truth.items())
     assert right / len(truth) >= 0.97
     assert handwritten.not_handwritten(versions.limit(0), arts.limit(0), contents.limit(0), repositories.limit(0)).count() == 0
+    told = {r["measure"]: r["value"] for r in handwritten.held_out_report(versions, arts, contents, repositories).collect()}
+    assert told["held_out"] > 0 and told["found_marked"] >= 0.9 * told["marked"] and {f"from_{c}" for c in handwritten.CLASSES} <= set(told)
+    assert handwritten.held_out_report(versions.limit(0), arts, contents, repositories).count() == 0
+
+
+def test_margins_are_chosen_where_scores_are_rare():
+    import numpy as np
+
+    assert 0.3 <= handwritten.border(np.array([-0.5, -0.1, 0.0, 0.05, 0.8, 0.9])) <= 0.6
+    assert 0.2 <= handwritten.known_border(np.array([-0.4, 0.2, 0.7, 0.9]), np.array([False, False, True, True])) < 0.7
+
+
+def test_telling_parts_of_paths_are_masked():
+    parts = handwritten.parts_of("vendor/x/__generated__/ledger.min.gen.ts", "own", 1)
+    assert not any(p.split(":")[1] in handwritten._TELLING for p in parts) and "w:ledger" in parts and "d:x" in parts
 
 
 @pytest.mark.parametrize("n", [3, 12, 30])

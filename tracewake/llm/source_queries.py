@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewake.llm.handwritten import not_handwritten
+from tracewake.llm.handwritten import held_out_report, not_handwritten
 from tracewake.llm.syntax import invalid_rates, invalid_versions
 from tracewake.session import table
 
@@ -33,5 +33,10 @@ def p5_reasons(spark, root):
     return _not_handwritten(spark, root).groupBy("reason").agg(F.count("*").alias("n_versions"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_reasons": p5_reasons}
+def p5_validation(spark, root):
+    """What the classifiers do on repositories that were held out."""
+    return held_out_report(*(table(spark, root, t) for t in ("artifact_version", "artifact", "content", "repository")))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_validation": p5_validation}
 SQL: dict[str, str] = {}
