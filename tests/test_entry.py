@@ -3,7 +3,7 @@ import os
 import __spark_entry__ as entry
 import pytest
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_every_sql_has_a_query():
@@ -26,19 +26,30 @@ def test_queries_plan(spark):
 #: Core queries whose rows are compared with their SQL.
 COMPARED = (
     "p1_found", "p1_change_rates", "lexical_search_ranked", "import_edges", "deterministic_rank", "semantic_rank", "rrf_fuse", "hybrid_h1", "hybrid_h2", "hybrid_h3", "evidence_topk", "tfidf_rank", "open_questions", "excerpts", "query_texts",
-    "commit_selection", "recall_mrr", "paired_difference", "decision", "grounding_guards", "method_status",
+    "commit_selection", "recall_mrr", "paired_difference", "decision", "grounding_guards", "method_status", "evidence_bundle", "chunk_reconstruction",
+    "assembly_cases", "assembly_metrics", "assembly_primary", "assembly_sensitivity", "assembly_decision",
 )
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 @pytest.mark.parametrize("name", COMPARED)
 def test_rows_equal_those_of_the_sql(spark, name):
+    compare(spark, name, DATA)
+
+
+@pytest.mark.skipif(not os.path.exists(LARGER), reason="no test data")
+@pytest.mark.parametrize("name", ("workspace_edges", "incoming_relationships", "search_hybrid", "construct_evidence", "inconsistent_candidates", "investigate_changes", "change_h2_rank"))
+def test_rows_of_real_snapshots(spark, name):
+    compare(spark, name, LARGER)
+
+
+def compare(spark, name, data):
     import duckdb
 
     con = duckdb.connect()
-    for file in os.listdir(DATA):
-        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{DATA}/{file}'")
-    found = entry.queries()[name](spark, DATA)
+    for file in os.listdir(data):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{data}/{file}'")
+    found = entry.queries()[name](spark, data)
     columns = sorted(found.columns)
     wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     number = lambda v: round(float(v), 6) if isinstance(v, float) else v

@@ -158,3 +158,35 @@ def linked(pairs: DataFrame, edge: DataFrame) -> DataFrame:
     """Rows ``a, b`` of ``pairs`` joined by an edge in either direction."""
     ways = edge.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edge.select("target_id", "source_id")).distinct()
     return pairs.join(ways, ["a", "b"], "left_semi")
+
+
+def relationships(edge: DataFrame, files: DataFrame, wanted: DataFrame, by: list[str], direction: str) -> DataFrame:
+    """Edges into (``incoming``) or out of (``outgoing``) the ``wanted`` artifacts (``by, artifact_id``), with version, path and kind of both ends.
+
+    Which artifacts import a file and which tests do, or what a file imports; by source path, target path and kind where order matters.
+    """
+    if direction not in ("incoming", "outgoing"):
+        raise ValueError("direction is incoming or outgoing")
+    end = "target_id" if direction == "incoming" else "source_id"
+    kept = edge.withColumnRenamed("kind", "relationship").join(wanted.select(*by, F.col("artifact_id").alias(end)).distinct(), [*by, end], "left_semi")
+    for side in ("source", "target"):
+        named = files.select(*by, F.col("artifact_id").alias(f"{side}_id"), F.col("version_id").alias(f"{side}_version_id"), F.col("path").alias(f"{side}_path"), F.col("kind").alias(f"{side}_kind"))
+        kept = kept.join(named, [*by, f"{side}_id"])
+    return kept.select(*by, "relationship", *[f"{s}_{c}" for s in ("source", "target") for c in ("id", "version_id", "path", "kind")])
+
+
+#: Fixed value: UTF-16 units of a declaration that evidence shows.
+DECLARATION_CHARACTERS = 500
+
+
+def edge_declarations(resolved: DataFrame, files: DataFrame, contents: DataFrame, by: list[str]) -> DataFrame:
+    """``by, source_id, target_id, declarations``: specifier, lines and excerpt of every import declaration behind an edge, in source order.
+
+    ``resolved`` has ``by, source_id, specifier, target_id`` as from :func:`resolve_imports`; a source that cannot be read to its end has none.
+    """
+    found = contents.select(F.lower("sha256").alias("sha256"), "text", F.explode(import_declarations(F.col("text"))).alias("d"))
+    shown = found.select("sha256", F.col("d.specifier").alias("specifier"), "d.start", "d.start_line", "d.end_line", text.excerpt(F.substr("text", F.col("d.start") + 1, F.col("d.end") - F.col("d.start")), DECLARATION_CHARACTERS).alias("excerpt"))
+    sources = files.select(*by, F.col("artifact_id").alias("source_id"), "sha256")
+    each = resolved.join(sources, [*by, "source_id"]).join(shown.dropDuplicates(["sha256", "start"]), ["sha256", "specifier"])
+    listed = F.sort_array(F.collect_set(F.struct("start", "specifier", "start_line", "end_line", "excerpt")))
+    return each.groupBy(*by, "source_id", "target_id").agg(F.transform(listed, lambda d: d.dropFields("start")).alias("declarations"))

@@ -66,3 +66,26 @@ def lexical_rank(matches: DataFrame, by: list[str]) -> DataFrame:
     rows = matches.withColumn("category", text.lexical_category(F.size("matched_terms"), F.size("path_terms")))
     order = Window.partitionBy(*by).orderBy(text.precedence(F.col("category"), text.LEXICAL), *strength_order())
     return rows.withColumn("rank", F.row_number().over(order))
+
+
+def index_matches(files: DataFrame, terms: DataFrame, content_index: DataFrame, path_index: DataFrame, by: list[str]) -> DataFrame:
+    """Matches of many queries at once by the stored index: ``by, artifact_id`` with sorted ``content_terms, path_terms, matched_terms``.
+
+    ``files`` has ``by, artifact_id, sha256``, ``terms`` has ``by, term``, the indexes ``token, sha256`` and ``token, artifact_id``. The index is
+    cut to the terms of any query first; no text is read.
+    """
+    asked = terms.select(*by, F.col("term").alias("token")).distinct()
+    wanted = asked.select("token").distinct()
+    contents, paths = (index.join(wanted, "token", "left_semi").distinct() for index in (content_index, path_index))
+    where = files.select(*by, "artifact_id", "sha256").distinct()
+    found = where.join(contents, "sha256").select(*by, "artifact_id", "token", F.lit(True).alias("in_content")).unionByName(where.join(paths, "artifact_id").select(*by, "artifact_id", "token", F.lit(False).alias("in_content")))
+    hits = found.join(asked, [*by, "token"], "left_semi")
+    terms_where = lambda condition: F.sort_array(F.collect_set(F.when(condition, F.col("token"))))
+    return hits.groupBy(*by, "artifact_id").agg(terms_where(F.col("in_content")).alias("content_terms"), terms_where(~F.col("in_content")).alias("path_terms"), F.sort_array(F.collect_set("token")).alias("matched_terms"))
+
+
+def index_counts(contents: DataFrame, marked: DataFrame) -> DataFrame:
+    """``to_index, reused``: contents that an indexing run has to read, and those whose mark it finds."""
+    known = marked.select("sha256").distinct().withColumn("known", F.lit(True))
+    rows = contents.select("sha256").distinct().join(known, "sha256", "left")
+    return rows.agg(F.count_if(F.col("known").isNull()).alias("to_index"), F.count_if("known").alias("reused"))

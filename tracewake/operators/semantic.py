@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -126,13 +127,48 @@ def check_compatible(known: DataFrame, model: str, dimensions: int) -> None:
         raise ValueError(f"embeddings of {model} exist with other than {dimensions} dimensions")
 
 
-def chunk_similarity(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks with ``similarity`` to the query of their ``model_id``. Each embedding is compared once, however many chunks share it."""
+def chunk_similarity(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with ``similarity`` to the query of their ``model_id``. Each embedding is compared once, however many chunks share it.
+
+    With ``by``, columns of chunks and queries, every group has a query of its own, and chunks meet that of their group.
+    """
     valid = embeddings.filter(vectors.is_valid(F.col("vector"), F.col("dimensions"))).dropDuplicates(["model_id", "input_hash"])
-    scored = valid.join(F.broadcast(queries.select("model_id", F.col("vector").alias("query"))), "model_id").select(
-        "model_id", "input_hash", vectors.cosine(F.col("vector"), F.col("query")).alias("similarity")
-    )
-    return chunks.dropDuplicates(["model_id", "snapshot_id", "artifact_id", "chunk_index"]).join(scored, ["model_id", "input_hash"])
+    each = chunks.dropDuplicates(["model_id", "snapshot_id", "artifact_id", "chunk_index"])
+    asked = queries.select("model_id", *by, F.col("vector").alias("query"))
+    if by:
+        return each.join(asked, ["model_id", *by]).join(valid.select("model_id", "input_hash", "vector"), ["model_id", "input_hash"]).withColumn("similarity", vectors.cosine(F.col("vector"), F.col("query"))).drop("vector", "query")
+    scored = valid.join(asked, "model_id").select("model_id", "input_hash", vectors.cosine(F.col("vector"), F.col("query")).alias("similarity"))
+    return each.join(scored, ["model_id", "input_hash"])
+
+
+#: UTF-16 units of a chunk that evidence shows, and the least limit that chunking is tried again with.
+CHUNK_CHARACTERS, LEAST_LIMIT = 1000, 100
+
+
+def reconstruct_chunks(files: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Chunks (``artifact_id, chunk_index, input_hash``) with ``chunk_text``: the source text of the embedded input, null if it cannot be made again.
+
+    ``files`` has ``artifact_id, path, text``. A file is cut again at ``most`` units and, as indexing does after a rejection, at halves of it, until an input has the stored hash.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def again(paths: pd.Series, texts: pd.Series, index: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for p, t, i, h in zip(paths, texts, index, wanted):
+            limit, found = most, None
+            while found is None and t is not None and limit >= LEAST_LIMIT:
+                try:
+                    inputs = embedding_inputs(p, t, limit)
+                except ValueError:
+                    break
+                if i < len(inputs) and hashlib.sha256(inputs[i].encode("utf-8", "replace")).hexdigest() == h:
+                    found = inputs[i].split("\n\n", 1)[1]
+                limit //= 2
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    rows = chunks.drop("path", "text").join(files.select("artifact_id", "path", "text"), "artifact_id")
+    return rows.withColumn("chunk_text", again("path", "text", "chunk_index", "input_hash")).drop("path", "text")
 
 
 def best_chunks(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewake.plans import assembly_queries, change_queries, detail_queries, evaluation_queries, retrieval_queries
+from tracewake.plans import assembly_queries, change_queries, detail_queries, evaluation_queries, retrieval_queries, snapshot_queries
 
-MODULES = (change_queries, retrieval_queries, evaluation_queries, detail_queries, assembly_queries)
+MODULES = (change_queries, retrieval_queries, evaluation_queries, detail_queries, assembly_queries, snapshot_queries)
 
 
 def core_queries() -> dict:

@@ -332,6 +332,17 @@ def evidence_bundle(spark, root):
     return evidence.evidence_rows(best, named, _matches(files), chunks, by, fusion.K, "word-counts").select("version_id", "ordinal", "type", "id", "sentence")
 
 
+def chunk_reconstruction(spark, root):
+    """How many files were cut into embedding inputs, and how many their reconstructed chunks give back whole."""
+    files = _docs(spark, root).filter("text IS NOT NULL").select("artifact_id", "path", "text")
+    chunks = semantic.chunk_files(files, 1200).select("artifact_id", "chunk_index", "input_hash")
+    made = semantic.reconstruct_chunks(files, chunks, 1200)
+    each = made.groupBy("artifact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]), "").alias("all"))
+    # Lines end with a line feed in chunks, the last one too.
+    same = each.join(files, "artifact_id").select(((F.col("all") == F.col("text")) | (F.col("all") == F.concat("text", F.lit("\n")))).alias("same"))
+    return same.agg(F.count("*").alias("n_files"), F.count_if("same").alias("n_rebuilt"))
+
+
 def tfidf_rank(spark, root):
     found = _matches(_docs(spark, root))
     weighed = lexical.lexical_rank(found, ["snapshot_id"]).join(term_weights(found, ["snapshot_id"]), ["snapshot_id", "artifact_id"])
@@ -359,7 +370,7 @@ QUERIES = {
     for f in (
         tokenize_documents, searchable_terms, content_token_index, document_frequency, path_token_index, snapshot_listing, lexical_search_ranked, lexical_categories, file_policy, exclusion_histogram, path_classes, content_sha,
         content_dedup, unindexed_contents, artifact_ids, snapshot_compare, module_resolution, import_edges, structural_signals, signal_counts, import_scan, snapshot_import_edges, deterministic_rank, cosine_chunks, best_chunk,
-        semantic_rank, rrf_fuse, rrf_k10, hybrid_h1, hybrid_h3, eligible_rank, evidence_topk, fusion_contributions, evidence_bundle, tfidf_rank, evidence_tiers, markdown_split, chunk_documents,
+        semantic_rank, rrf_fuse, rrf_k10, hybrid_h1, hybrid_h3, eligible_rank, evidence_topk, fusion_contributions, evidence_bundle, tfidf_rank, evidence_tiers, markdown_split, chunk_documents, chunk_reconstruction,
     )
 }
 _TRUTH = ", ".join(f"count(*) FILTER (WHERE least(coalesce(deterministic_rank, 2147483647), coalesce(semantic_rank, 2147483647)) <= {k}) AS found_{k}" for k in (1, 3, 5, 10, 20))
@@ -401,6 +412,14 @@ SQL = {
     "eligible_rank": f"WITH {_fused_sql()} SELECT artifact_id, rank, row_number() OVER (PARTITION BY snapshot_id ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed)",
     "evidence_topk": f"WITH {_fused_sql()} SELECT artifact_id, path, row_number() OVER (PARTITION BY snapshot_id ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed) QUALIFY eligible_rank <= 20",
     "fusion_contributions": f"WITH {_fused_sql()} SELECT 'fusion:' || artifact_id || ':k60' AS evidence_id, round(coalesce(1.0::DOUBLE / (60 + deterministic_rank), 0), 9) AS deterministic, round(coalesce(1.0::DOUBLE / (60 + semantic_rank), 0), 9) AS semantic FROM fused",
+    "evidence_bundle": f"""WITH {_fused_sql()}, best AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY rank) AS eligible_rank FROM fused WHERE artifact_id NOT IN (SELECT changed_id FROM changed) QUALIFY eligible_rank <= 20),
+      r AS (SELECT b.artifact_id AS version_id, 1 AS o, 'structural' AS type, 'structural:' || signal || ':' || CASE WHEN signal = 'outgoing-import' THEN f.path || '>' || b.path ELSE b.path || '>' || f.path END AS id,
+          'By its imports the file ' || CASE signal {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in evidence.RELATIONS.items())} END || ' ' || f.path || '.' AS sentence FROM best b JOIN signals s USING (artifact_id) JOIN files f ON f.artifact_id = s.changed_id
+        UNION ALL SELECT artifact_id, 2, 'lexical', 'lexical:' || artifact_id, printf('Query terms found: %d in all, %d in the text, %d in the path: %s.', len(matched_terms), len(content_terms), len(path_terms), array_to_string(matched_terms, ', ')) FROM best JOIN matched USING (artifact_id)
+        UNION ALL SELECT artifact_id, 3, 'semantic', 'semantic:' || artifact_id || ':word-counts:0', printf('Closest is chunk 1 of 1, with cosine %.3f.', similarity) FROM best JOIN sem USING (artifact_id)
+        UNION ALL SELECT artifact_id, 4, 'fusion', 'fusion:' || artifact_id || ':k60', printf('Place %d, score %.4f: ranks %s by terms and imports and %s by similarity, k 60.', rank, rrf_score, coalesce(deterministic_rank::VARCHAR, 'none'), coalesce(semantic_rank::VARCHAR, 'none')) FROM best)
+      SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY o, id) AS ordinal, type, id, sentence FROM r""",
+    "chunk_reconstruction": "SELECT count(*) AS n_files, count(*) AS n_rebuilt FROM documents WHERE text IS NOT NULL",
     "tfidf_rank": f"""WITH {_DOCS}, {_MATCHES}, d AS (SELECT snapshot_id, artifact_id, unnest(matched_terms) AS term FROM matched), f AS (SELECT snapshot_id, term, count(DISTINCT artifact_id) AS df FROM d GROUP BY 1, 2),
       w AS (SELECT artifact_id, round(sum(ln(10000.0::DOUBLE / df)), 9) AS tfidf FROM d JOIN f USING (snapshot_id, term) GROUP BY 1), k AS (SELECT *, {_LEXCAT} AS category FROM matched JOIN w USING (artifact_id))
       SELECT artifact_id, tfidf, row_number() OVER (PARTITION BY snapshot_id ORDER BY {_ORDER["lex"].format("category")}, tfidf DESC, length(path), path) AS rank FROM k""",

@@ -62,7 +62,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder named by spark.checkpoint.dir.
 
     The copy lives on shared storage, so it outlives any executor. Only where neither the
-    session nor its context names a folder, as in local tests, is a temporary one made.
+    session nor its context names a folder, as in local tests, is a temporary one made. Its files are
+    deleted when no frame that reads them is left.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -73,4 +74,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "tracewake-checkpoints")
         context.setCheckpointDir(named)
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
