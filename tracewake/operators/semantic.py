@@ -80,6 +80,39 @@ def embedding_inputs(path: str, text: str, most: int) -> list[str]:
     return [f"search_document: File: {path} (Chunk {i})\n\n{c}" for i, c in enumerate(_fill(parts_of(path, text), budget, by_lines))]
 
 
+#: Fixed values of the older input format: units up to which a file stays whole, and units below which parts are joined.
+OLD_WHOLE, OLD_PART = 28_672, 25_000
+
+
+def _packed(parts, size: Callable[[str], int], larger: Callable[[str], list[str]]) -> list[str]:
+    """Neighbours joined while they stay below OLD_PART; a part above it is handed on."""
+    found, held = [], ""
+    for part in parts:
+        if _units(held) + size(part) < OLD_PART:
+            held += part
+            continue
+        found += [held] if held else []
+        over = _units(part) > OLD_PART
+        found += larger(part) if over else []
+        held = "" if over else part
+    return found + ([held] if held else [])
+
+
+def older_inputs(path: str, text: str) -> list[str]:
+    """The inputs of one file in the older format, whose parts are larger and whose lines are never cut."""
+    whole = f"search_document: File: {path}\n\n{text}"
+    if _units(whole) <= OLD_WHOLE:
+        return [whole]
+    by_lines = lambda part: _packed(_lines(part), lambda line: _units(line) - 1, lambda line: [line])
+    return [f"search_document: File: {path} (Chunk {i})\n\n{c}" for i, c in enumerate(_packed(parts_of(path, text), _units, by_lines))]
+
+
+def first_hits(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Of each path its most similar chunk, with ``rank`` by similarity and path."""
+    best = scored.groupBy(*by, "path").agg(F.max("similarity").alias("similarity"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "path")))
+
+
 def chunk_files(files: DataFrame, most: int, path: str = "path", text: str = "text") -> DataFrame:
     """Adds ``chunk_index, input, input_hash`` to each file, a row for each input. Packing is greedy, so it runs per file in Python; files are independent."""
 

@@ -7,31 +7,38 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracewake.functions import text as texts
-from tracewake.operators import evidence, fusion, graph, ingest, lexical, report
+from tracewake.functions import vectors
+from tracewake.operators import graph, ingest, lexical, report, search
 from tracewake.session import local_session, table
 
 
-def investigate(spark, root: str, snapshot: int, description: str, changed: list[str], limit: int = 20) -> dict:
-    """The files of a ready snapshot most worth a look when ``changed`` paths change, by terms and imports."""
+def investigate(spark, root: str, snapshot: int, description: str, changed: list[str], limit: int = 20, embed=None, model: str | None = None) -> dict:
+    """The files of a ready snapshot most worth a look when ``changed`` paths change, by terms, imports and similarity.
+
+    ``embed`` turns a text into a vector of ``model``. Without it the change is compared by the stored vector of the first chunk, by hash, of the changed files.
+    """
     ingest.require_ready(table(spark, root, "repository_snapshot"), snapshot)
     by = ["snapshot_id"]
     files = ingest.snapshot_artifacts(table(spark, root, "artifact_version").filter(F.col("snapshot_id") == snapshot), table(spark, root, "artifact"))
-    contents = table(spark, root, "content").join(files.select(F.col("sha256")).distinct(), "sha256", "left_semi")
-    words = spark.range(1).select(texts.query_terms(texts.lexical_query_text(F.lit(description), F.array(*[F.lit(p) for p in changed]))).alias("t")).first()["t"]
-    matches = lexical.lexical_matches(files, contents, words)
+    contents = table(spark, root, "content").withColumn("sha256", F.lower("sha256")).join(files.select("sha256").distinct(), "sha256", "left_semi")
     found = graph.content_imports(contents).filter("specifier IS NOT NULL").distinct()
     imports = files.join(found, "sha256").select(*by, F.col("artifact_id").alias("source_id"), F.col("path").alias("source_path"), "specifier")
     edges = graph.edges(graph.resolve_imports(imports, files, by), files, by)
-    seeds = files.filter(F.col("path").isin(changed))
-    signals = graph.structural_signals(edges, seeds, by)
-    ranked = fusion.deterministic_rank(fusion.deterministic_candidates(matches, graph.signal_counts(signals, by), files, by), by)
-    none = ranked.limit(0).select(*by, "artifact_id", "version_id", "path", "rank")
-    fused = fusion.fuse(ranked, none, by)
-    best = evidence.top(fused, seeds, by, limit)
-    named = signals.join(files.select(*by, F.col("artifact_id").alias("changed_id"), F.col("path").alias("changed_path")), [*by, "changed_id"])
-    chunks = none.select(*by, "artifact_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("best_chunk_index"), F.lit(1).alias("n_chunks"))
-    return report.investigation(best, evidence.evidence_rows(best, named, matches, chunks, by, fusion.K, "none"), description, changed, limit)
+    chunks = table(spark, root, "semantic_chunk").filter(F.col("snapshot_id") == snapshot)
+    model = model or chunks.agg(F.min("model_id")).first()[0] or "none"
+    embeddings = table(spark, root, "semantic_embedding").filter(F.col("model_id") == model)
+    chunks = chunks.filter(F.col("model_id") == model)
+    seeds = files.filter(F.col("path").isin(changed)).select(*by, "artifact_id")
+    if embed:
+        words = f"search_query: Change Description: {description}\nFiles Modified:\n" + "\n".join(f"- {p}" for p in changed)
+        queries = spark.createDataFrame([(snapshot, model, [float(x) for x in embed(words)])], "snapshot_id long, model_id string, vector array<float>")
+    else:
+        good = embeddings.filter(vectors.is_valid(F.col("vector"), F.col("dimensions")))
+        queries = chunks.join(seeds, [*by, "artifact_id"], "left_semi").join(good, ["model_id", "input_hash"]).groupBy(*by, "model_id").agg(F.min_by("vector", "input_hash").alias("vector"))
+    corpus = search.Corpus(files, lexical.content_tokens(contents), lexical.path_tokens(files.select(F.col("artifact_id").alias("id"), "path")), edges, chunks, embeddings, by)
+    changes = spark.createDataFrame([(snapshot, description, changed)], "snapshot_id long, description string, changed array<string>")
+    best, rows = search.construct_evidence(search.search_hybrid(corpus, changes, queries), corpus, changes, model, limit)
+    return report.investigation(best, rows, description, changed, limit)
 
 
 def main(argv: list[str] | None = None) -> int:

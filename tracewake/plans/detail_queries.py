@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewake.functions import paths, text
-from tracewake.operators import evaluate, evidence, fusion, graph, history, validate
+from tracewake.functions import dates, paths, text
+from tracewake.operators import catalog, evaluate, evidence, fusion, graph, history, validate
 from tracewake.plans import change_queries as ch
 from tracewake.plans import evaluation_queries as ev
 from tracewake.plans import retrieval_queries as rt
@@ -56,6 +56,23 @@ def change_query_texts(spark, root):
     return rows.select("base_snapshot_id", "target_snapshot_id", text.lexical_query_text(what, F.col("changed")).alias("lexical"), text.semantic_query_text(what, F.col("changed")).alias("semantic"))
 
 
+def normalised_times(spark, root):
+    """Times written with one of three offsets, as UTC with milliseconds."""
+    n = (F.col("doc_id") % 3).cast("int")
+    written = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.array(F.lit("Z"), F.lit(".250+02:00"), F.lit("-05:30"))[n])
+    return table(spark, root, "documents").filter("created_at IS NOT NULL").select("doc_id", dates.normalise_timestamp(written).alias("utc"))
+
+
+def excluded_listing(spark, root):
+    return table(spark, root, "excluded_entry").select("snapshot_id", "path", "reason").distinct()
+
+
+def content_lookup(spark, root):
+    """Lengths of the contents of each file's newest version."""
+    newest = table(spark, root, "artifact_version").groupBy("artifact_id").agg(F.max_by("content_sha256", "id").alias("sha256"))
+    return catalog.content_of(table(spark, root, "content"), newest).select("sha256", F.length("text").alias("n_chars"))
+
+
 def legacy_terms(spark, root):
     return table(spark, root, "documents").select("doc_id", F.explode(text.legacy_terms(F.coalesce("text", F.lit("")))).alias("term"))
 
@@ -142,7 +159,7 @@ def manifest_checks(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, change_query_texts, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
+    for f in (hybrid_h2, provenance_counts, open_questions, excerpts, query_texts, change_query_texts, normalised_times, excluded_listing, content_lookup, legacy_terms, legacy_substrings, change_descriptions, tree_diff, history_reachable, method_status, method_status_counts, method_status_commits, record_checks, manifest_checks)
 }
 _METHODS = "SELECT commit, CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, CASE commit % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'not_run' END AS status FROM judged WHERE reason IS NULL"
 SQL = {
@@ -157,6 +174,9 @@ SQL = {
       SELECT snapshot_id, 'Snapshot ' || snapshot_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Snapshot ' || snapshot_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
     "change_query_texts": ch._SQL + """, c AS (SELECT base_snapshot_id, target_snapshot_id, list_sort(list(DISTINCT path)) AS changed FROM found GROUP BY 1, 2)
       SELECT base_snapshot_id, target_snapshot_id, 'Change ' || target_snapshot_id || ' ' || array_to_string([regexp_extract(p, '[^/]*$') for p in changed], ' ') AS lexical, 'search_query: Change Description: Change ' || target_snapshot_id || chr(10) || 'Files Modified:' || chr(10) || array_to_string(['- ' || p for p in changed], chr(10)) AS semantic FROM c""",
+    "normalised_times": "SELECT doc_id, strftime(date_trunc('second', created_at) - CASE doc_id % 3 WHEN 1 THEN INTERVAL 2 HOUR WHEN 2 THEN -INTERVAL 330 MINUTE ELSE INTERVAL 0 HOUR END, '%Y-%m-%dT%H:%M:%S') || CASE doc_id % 3 WHEN 1 THEN '.250Z' ELSE '.000Z' END AS utc FROM documents WHERE created_at IS NOT NULL",
+    "excluded_listing": "SELECT DISTINCT snapshot_id, path, reason FROM excluded_entry",
+    "content_lookup": "SELECT DISTINCT lower(sha256) AS sha256, length(text) AS n_chars FROM content WHERE lower(sha256) IN (SELECT arg_max(lower(content_sha256), id) FROM artifact_version GROUP BY artifact_id)",
     "legacy_terms": f"SELECT doc_id, unnest(list_distinct([t for t in regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') if length(t) >= 3 AND NOT list_contains({rt.STOP}, t)])) AS term FROM documents",
     "legacy_substrings": "SELECT doc_id, n_terms FROM (SELECT doc_id, contains(lower(text), 'snapshot')::INT + contains(lower(text), 'pipe')::INT + contains(lower(text), 'receipt')::INT AS n_terms FROM documents WHERE text IS NOT NULL) WHERE n_terms > 0",
     "change_descriptions": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' WHEN 3 THEN 'renamed from old/' || doc_id || ' (' || (doc_id % 51 + 50) || '% similar)' ELSE 'type changed' END AS description, CASE WHEN doc_id % 5 = 3 THEN 2 ELSE 1 END AS n_paths FROM documents",
