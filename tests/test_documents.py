@@ -104,6 +104,22 @@ def test_reports():
     assert "## 1. `a`" in report.markdown({"description": "d", "changed": ["x"], "candidates": [{"rank": 1, "path": "a", "evidence": [{"text": "t"}]}]})
 
 
+def test_evaluation_report():
+    row = {"stratum": "test", "series": "hybrid", "population": 2, "mrr20_sum": 3, "mrr20_lower": 0.5, "mrr20_upper": 1.0}
+    text = report.evaluation([row | {"series": "hybrid - sibling", "mrr20_sum": 0, "mrr20_lower": -0.00001}, row], [{"method": "hybrid", "status": "succeeded", "n_commits": 2}], {"outcome": "mixed", "rule": "x"}, ["mrr20"], 2)
+    assert "**mixed**" in text and text.index("| hybrid | 0.7500 [0.5000, 1.0000] |") < text.index("| hybrid - sibling | 0.0000 [0.0000, 1.0000] |")
+
+
+def test_frozen_copy(spark, tmp_path):
+    from tracewake.operators import ingest
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, t string")
+    digests = ingest.freeze({"one": df, "none": df.limit(0)}, str(tmp_path / "copy"), {"by": "test"})
+    assert digests["one"] == ingest.table_digest(spark.read.parquet(str(tmp_path / "copy/one")), ["id"]).first()["digest"] and set(digests) == {"one", "none"}
+    with pytest.raises(FileExistsError):
+        ingest.freeze({"one": df}, str(tmp_path / "copy"), {})
+
+
 def test_streaming_index(spark, rows, tmp_path):
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
     schema = "sha256 string, text string"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewake.functions.random import mulberry32
-from tracewake.operators import evaluate
+from tracewake.operators import evaluate, search
 
 #: Strata in the order in which they draw, the ranking methods, and those that are compared with the first.
 STRATA = ("test", "doc", "test-with-link", "test-without-link")
@@ -14,6 +14,24 @@ METHODS = ("hybrid", "deterministic", "semantic", "sibling", "no-description")
 BASELINES = ("sibling", "deterministic", "semantic")
 
 
+def five_arms(corpus: search.Corpus, changes: DataFrame, queries: DataFrame, bare_queries: DataFrame, inputs: DataFrame, tests: DataFrame, depth: int = evaluate.DEPTH) -> DataFrame:
+    """``by, method, path, position``: the first ``depth`` of each arm's ranking of each change, its inputs removed.
+
+    One hybrid search gives three arms; a second one, with an empty description and the vectors of ``bare_queries``, the fourth; tests named after inputs are the fifth.
+    ``inputs`` and ``tests`` have ``by, path``.
+    """
+    by = corpus.by
+    run = search.search_hybrid(corpus, changes, queries)
+    bare = search.search_hybrid(corpus, changes.withColumn("description", F.lit("")), bare_queries)
+    siblings = evaluate.sibling_tests(inputs, tests, by, depth=2**31 - 1)
+    lists = {"hybrid": run.fused, "deterministic": run.deterministic, "semantic": run.semantic, "sibling": siblings, "no-description": bare.fused}
+    every = None
+    for method in METHODS:
+        ranked = lists[method].select(*by, F.lit(method).alias("method"), "path", "rank")
+        every = ranked if every is None else every.unionByName(ranked)
+    return evaluate.scored_ranking(every, inputs, [*by, "method"], depth).select(*by, "method", "path", "position")
+
+
 def method_cases(cases: DataFrame, failures: DataFrame) -> DataFrame:
     """``commit, method, status``: every method of every case; a failure at the stage of preparation means that it was not run.
 

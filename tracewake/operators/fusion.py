@@ -65,10 +65,11 @@ def tiered(fused: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("tier_rank", F.row_number().over(order))
 
 
-def score_then_tier(fused: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``h2_rank``: by score, then by the evidence tier (``tier``, none last), then by path."""
-    order = Window.partitionBy(*by).orderBy(F.desc("rrf_score"), F.coalesce("tier", F.lit(99)), "path", "artifact_id")
-    return fused.withColumn("h2_rank", F.row_number().over(order))
+def score_then_level(fused: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``level`` (place of the deterministic category from 1, null without one) and ``h2_rank``: by score, then by level, none last, then by path."""
+    level = F.when(F.col("deterministic_category").isNotNull(), text.precedence(F.col("deterministic_category")))
+    order = Window.partitionBy(*by).orderBy(F.desc("rrf_score"), F.coalesce("level", F.lit(99)), "path", "artifact_id")
+    return fused.withColumn("level", level).withColumn("h2_rank", F.row_number().over(order))
 
 
 def union_coverage(fused: DataFrame, truth: DataFrame, by: list[str], ks=(1, 3, 5, 10, 20)) -> DataFrame:

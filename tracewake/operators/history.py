@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewake.functions import text
+from tracewake.operators.lexical import lexical_rank
 from tracewake.session import cut_lineage
 
 #: Fixed value: the collection size that the term weight assumes.
@@ -119,7 +121,16 @@ def evidence_tier(structural, lexical_terms, path_terms):
     return F.when(structural, 1).when((path_terms > 0) | (lexical_terms >= 3), 2).when(lexical_terms > 0, 3).otherwise(4)
 
 
+def tfidf_rank(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Matches with ``category, tfidf, rank``: by category, weight, length of the path and path."""
+    weighed = lexical_rank(matches, by).drop("rank").join(term_weights(matches, by), [*by, "artifact_id"]).withColumn("tfidf", F.round("tfidf", 9))
+    order = Window.partitionBy(*by).orderBy(text.precedence(F.col("category"), text.LEXICAL), F.desc("tfidf"), text.utf16_length(F.col("path")), "path", "artifact_id")
+    return weighed.withColumn("rank", F.row_number().over(order))
+
+
 def provenance(candidates: DataFrame) -> DataFrame:
-    """How many candidates have structural evidence only, lexical only, or both; input has booleans ``structural, lexical``."""
+    """How many candidates have structural evidence only, lexical only, or both, and how many changed themselves or did not; input has booleans ``structural, lexical, changed``."""
     s, t = F.col("structural"), F.col("lexical")
-    return candidates.agg(F.count_if(s & ~t).alias("only_structural"), F.count_if(~s & t).alias("only_lexical"), F.count_if(s & t).alias("both"))
+    return candidates.agg(
+        F.count_if(s & ~t).alias("only_structural"), F.count_if(~s & t).alias("only_lexical"), F.count_if(s & t).alias("both"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged")
+    )

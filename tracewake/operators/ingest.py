@@ -101,3 +101,18 @@ def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in range(4)]).select(
         "n_rows", F.sha2(F.concat_ws(":", "n_rows", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("digest")
     )
+
+
+def freeze(tables: dict[str, DataFrame], folder: str, manifest: dict) -> dict[str, str]:
+    """Writes tables once, as :func:`publish` does, and gives the digest of each, which must be the same before and after.
+
+    A table that changed while it was copied is an error; readers of the copy can check it against the digests.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    take = lambda df: tuple(table_digest(df, sorted(df.columns)[:1]).first())
+    before = {name: take(df) for name, df in tables.items()}
+    publish(tables, folder, manifest | {"digests": {name: d[1] for name, d in before.items()}})
+    for name, known in before.items():
+        if take(spark.read.parquet(f"{folder}/{name}").select(*tables[name].columns)) != known:
+            raise ValueError(f"{name} is not what it was before it was copied")
+    return {name: d[1] for name, d in before.items()}

@@ -89,3 +89,10 @@ def index_counts(contents: DataFrame, marked: DataFrame) -> DataFrame:
     known = marked.select("sha256").distinct().withColumn("known", F.lit(True))
     rows = contents.select("sha256").distinct().join(known, "sha256", "left")
     return rows.agg(F.count_if(F.col("known").isNull()).alias("to_index"), F.count_if("known").alias("reused"))
+
+
+def substring_matches(rows: DataFrame, terms: list[str], name: str = "text") -> DataFrame:
+    """Rows whose text holds a term anywhere, letter case aside, with sorted ``terms``; null texts hold none."""
+    lower = F.lower(name)
+    held = F.array_compact(F.array(*[F.when(lower.contains(t.lower()), F.lit(t)) for t in sorted(set(terms))]))
+    return rows.filter(F.col(name).isNotNull()).withColumn("terms", held).filter(F.size("terms") > 0)

@@ -52,3 +52,22 @@ def pack_batches(sizes: list[int], budget: int) -> list[list[int]]:
         out[-1].append(i)
         held += size
     return out
+
+
+def evaluation(statistics: list[dict], status: list[dict], decision: dict, metrics: list[str], scale: int) -> str:
+    """An evaluation as Markdown, from its results alone.
+
+    ``statistics`` are rows with ``stratum, series, population`` and of each metric its exact sum and both ends of its interval; ``status`` counts by ``method, status``.
+    Strata without members are named as such by having no table.
+    """
+    out = ["# Evaluation\n", f"Decision: **{decision['outcome']}** (rule {decision['rule']}).\n", "| method | status | commits |", "|---|---|---|"]
+    out += [f"| {r['method']} | {r['status']} | {r['n_commits']} |" for r in sorted(status, key=lambda r: (r["method"], r["status"]))]
+    by: dict = {}
+    for r in statistics:
+        by.setdefault(r["stratum"], []).append(r)
+    for stratum, rows in by.items():
+        out += ["", f"## {stratum} ({rows[0]['population']} commits)\n", "| series | " + " | ".join(metrics) + " |", "|---|" + "---|" * len(metrics)]
+        for r in sorted(rows, key=lambda r: (" - " in r["series"], r["series"])):
+            rate = lambda m: r[f"{m}_sum"] / (scale * r["population"])  # noqa: B023, E731
+            out.append(f"| {r['series']} | " + " | ".join(f"{cell(rate(m))} [{cell(r[f'{m}_lower'])}, {cell(r[f'{m}_upper'])}]" for m in metrics) + " |")
+    return "\n".join(out) + "\n"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +69,15 @@ def parts_of(path: str, text: str) -> list[str]:
     return _lines(text)
 
 
+def split_parts(path: Column, text: Column) -> Column:
+    """The parts of a text as :func:`parts_of` cuts it, those that are not empty, without leaving the JVM."""
+    lower = F.lower(path)
+    ends = lambda suffixes: reduce(lambda a, b: a | b, (lower.endswith(s) for s in suffixes))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.concat(line, F.lit("\n")))
+    cut = F.when(ends(MARKDOWN), F.split(text, r"(?m)(?=^#+ )")).when(ends(CODE), F.split(text, r"(?m)(?=^\s*(?:export |function |class ))")).otherwise(lines)
+    return F.filter(cut, lambda p: F.length(p) > 0)
+
+
 def embedding_inputs(path: str, text: str, most: int) -> list[str]:
     """The inputs of one file: the whole, or numbered pieces of at most ``most`` UTF-16 units."""
     whole = f"search_document: File: {path}\n\n{text}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,27 @@ def record_violations(results: DataFrame, ranking: DataFrame, inputs: DataFrame)
     return xor.unionByName(held)
 
 
+def results_violations(statistics: DataFrame, metrics: DataFrame, scale: int) -> DataFrame:
+    """``stratum, series, problem`` of statistics that their metrics do not bear out.
+
+    Of each series of a method: its population and exact sums must be those of the metrics. Of all: recall must not fall as more is looked at (differences aside), no sum may exceed the whole population, and an interval must not end before it begins.
+    """
+    names = [c.removesuffix("_sum") for c in statistics.columns if c.endswith("_sum")]
+    own = metrics.groupBy("stratum", F.col("method").alias("series")).agg(F.count("*").alias("__n"), *[F.sum(m).alias(f"__{m}") for m in names])
+    rows = statistics.join(own, ["stratum", "series"], "left")
+    difference = F.col("series").contains(" - ")
+    recalls = sorted((m for m in names if m.startswith("recall")), key=lambda m: int(m.removeprefix("recall")))
+    any_of = lambda conditions: reduce(lambda a, b: a | b, conditions, F.lit(False))
+    problem = (
+        F.when(~difference & F.col("__n").isNull(), "no metrics of such a series").when(~difference & (F.col("population") != F.col("__n")), "the population is another")
+        .when(any_of(~difference & (F.col(f"{m}_sum") != F.col(f"__{m}")) for m in names), "a sum is another")
+        .when(any_of(F.abs(f"{m}_sum") > F.col("population") * F.lit(scale) for m in names), "a sum exceeds the population")
+        .when(~difference & any_of(F.col(f"{a}_sum") > F.col(f"{b}_sum") for a, b in zip(recalls, recalls[1:])), "recall falls as more is looked at")
+        .when(any_of(F.col(f"{m}_lower") > F.col(f"{m}_upper") for m in names), "an interval ends before it begins")
+    )
+    return rows.select("stratum", "series", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 #: Limits of a report.
 MOST_STATEMENT, MOST_FINDINGS, MOST_CITATIONS = 1000, 10, 20
 CLASSIFICATIONS = ("likely_affected", "potentially_affected", "no_impact_indicated", "insufficient_evidence")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewake.operators import assemble, evaluate
+from tracewake.operators import assemble, evaluate, validate
 from tracewake.plans.evaluation_queries import SECOND_SEED, SEED, draws_sql
 
 COMMITS, OTHERS = 30, 30
@@ -92,6 +92,17 @@ def assembly_sensitivity(spark, root):
     return _columns(assemble.sensitivity(metrics, status, cases, SECOND_SEED))
 
 
+def assembly_checks(spark, root):
+    """Statistics some of which were altered: the checks name each."""
+    cases, status, _, metrics = _assembled(spark, "complete")
+    found = assemble.primary(metrics, status, cases, SEED)
+    at = lambda stratum, series: (F.col("stratum") == stratum) & (F.col("series") == series)
+    change = {"population": (at("doc", "hybrid"), F.col("population") + 1), "recall3_sum": (at("test", "semantic"), F.col("recall3_sum") + 1), "mrr20_lower": (at("test", "hybrid - sibling"), F.col("mrr20_upper") + 1), "recall5_sum": (at("doc", "hybrid - semantic"), F.lit(evaluate.SCALE).cast("long") * 1000)}
+    for column, (where, value) in change.items():
+        found = found.withColumn(column, F.when(where, value).otherwise(F.col(column)))
+    return validate.results_violations(found, metrics, evaluate.SCALE)
+
+
 def assembly_decision(spark, root):
     """The decision of both scenarios."""
     out = None
@@ -102,7 +113,7 @@ def assembly_decision(spark, root):
     return out
 
 
-QUERIES = {f.__name__: f for f in (assembly_cases, assembly_metrics, assembly_primary, assembly_sensitivity, assembly_decision)}
+QUERIES = {f.__name__: f for f in (assembly_cases, assembly_metrics, assembly_primary, assembly_sensitivity, assembly_checks, assembly_decision)}
 
 _WORK = f"""c AS (SELECT i AS commit, i % 11 <> 10 AS links_known FROM range({COMMITS}) r(i)),
 t0 AS (SELECT commit, links_known, unnest([x for x in [CASE WHEN commit % 3 = 0 THEN {{'path': 'docs/m' || commit || '.md', 'kind': 'doc'}} END, {{'path': 'test/m' || commit || '.test.ts', 'kind': 'test'}}, CASE WHEN commit % 5 = 0 THEN {{'path': 'test/n' || commit || '.test.ts', 'kind': 'test'}} END] if x IS NOT NULL]) AS x FROM c),
@@ -141,5 +152,6 @@ SQL = {
     "assembly_metrics": f"WITH {_status('failures')} SELECT * FROM metrics",
     "assembly_primary": _statistics("complete", ("hybrid", *assemble.BASELINES), assemble.BASELINES, SEED, "true"),
     "assembly_sensitivity": _statistics("failures", ("hybrid", "no-description"), ("no-description",), SECOND_SEED, "commit NOT IN (8, 9)"),
+    "assembly_checks": "SELECT * FROM (VALUES ('doc', 'hybrid', 'the population is another'), ('test', 'semantic', 'a sum is another'), ('test', 'hybrid - sibling', 'an interval ends before it begins'), ('doc', 'hybrid - semantic', 'a sum exceeds the population')) v(stratum, series, problem)",
     "assembly_decision": "SELECT 'complete' AS scenario, 'supported' AS rule, 'supported' AS outcome UNION ALL SELECT 'failures', 'incomplete-run', 'inconclusive'",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewake.functions import dates, paths, text
-from tracewake.operators import catalog, evaluate, evidence, fusion, graph, history, validate
+from tracewake.operators import catalog, evaluate, evidence, fusion, graph, history, lexical, validate
 from tracewake.plans import change_queries as ch
 from tracewake.plans import evaluation_queries as ev
 from tracewake.plans import retrieval_queries as rt
@@ -15,16 +15,14 @@ _WORDS = ["snapshot", "pipe", "Receipt"]
 
 
 def hybrid_h2(spark, root):
-    by = ["snapshot_id"]
-    det, fused = rt._deterministic(spark, root)[3], rt._fused(spark, root)[3]
-    structural = (F.col("n_test_to_source") + F.col("n_incoming_import") + F.col("n_outgoing_import")) > 0
-    tiers = det.select(*by, "artifact_id", history.evidence_tier(structural, F.size("matched_terms"), F.size("path_terms")).alias("tier"))
-    return fusion.score_then_tier(fused.join(tiers, [*by, "artifact_id"], "left"), by).select("artifact_id", "tier", "h2_rank")
+    return fusion.score_then_level(rt._fused(spark, root)[3], ["snapshot_id"]).select("artifact_id", "level", "h2_rank")
 
 
 def provenance_counts(spark, root):
-    det = rt._deterministic(spark, root)[3]
-    return history.provenance(det.select(((F.col("n_test_to_source") + F.col("n_incoming_import") + F.col("n_outgoing_import")) > 0).alias("structural"), (F.size("matched_terms") > 0).alias("lexical")))
+    _, changed, _, det = rt._deterministic(spark, root)
+    told = det.join(changed.select("snapshot_id", "artifact_id", F.lit(True).alias("changed")), ["snapshot_id", "artifact_id"], "left")
+    structural = (F.col("n_test_to_source") + F.col("n_incoming_import") + F.col("n_outgoing_import")) > 0
+    return history.provenance(told.select(structural.alias("structural"), (F.size("matched_terms") > 0).alias("lexical"), F.coalesce("changed", F.lit(False)).alias("changed")))
 
 
 def open_questions(spark, root):
@@ -78,8 +76,7 @@ def legacy_terms(spark, root):
 
 
 def legacy_substrings(spark, root):
-    hit = [F.lower("text").contains(w.lower()).cast("int") for w in _WORDS]
-    return table(spark, root, "documents").filter("text IS NOT NULL").select("doc_id", sum(hit[1:], hit[0]).alias("n_terms")).filter("n_terms > 0")
+    return lexical.substring_matches(table(spark, root, "documents"), _WORDS).select("doc_id", F.size("terms").alias("n_terms"))
 
 
 def change_descriptions(spark, root):
@@ -163,8 +160,8 @@ QUERIES = {
 }
 _METHODS = "SELECT commit, CASE commit % 2 WHEN 0 THEN 'hybrid' ELSE 'semantic' END AS method, CASE commit % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'not_run' END AS status FROM judged WHERE reason IS NULL"
 SQL = {
-    "hybrid_h2": f"WITH {rt._fused_sql()}, t AS (SELECT artifact_id, CASE WHEN incoming OR outgoing THEN 1 WHEN len(path_terms) > 0 OR len(matched_terms) >= 3 THEN 2 WHEN len(matched_terms) > 0 THEN 3 ELSE 4 END AS tier FROM det) SELECT artifact_id, tier, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, coalesce(tier, 99), path, artifact_id) AS h2_rank FROM fused LEFT JOIN t USING (artifact_id)",
-    "provenance_counts": f"WITH {rt._DET} SELECT count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) = 0) AS only_structural, count(*) FILTER (WHERE NOT (incoming OR outgoing) AND len(matched_terms) > 0) AS only_lexical, count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) > 0) AS both FROM det",
+    "hybrid_h2": f"WITH {rt._fused_sql()}, l AS (SELECT *, CASE WHEN deterministic_category IS NOT NULL THEN {rt._ORDER['det'].format('deterministic_category')} END AS level FROM fused) SELECT artifact_id, level, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, coalesce(level, 99), path, artifact_id) AS h2_rank FROM l",
+    "provenance_counts": f"WITH {rt._DET} SELECT count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) = 0) AS only_structural, count(*) FILTER (WHERE NOT (incoming OR outgoing) AND len(matched_terms) > 0) AS only_lexical, count(*) FILTER (WHERE (incoming OR outgoing) AND len(matched_terms) > 0) AS both, count(*) FILTER (WHERE artifact_id IN (SELECT changed_id FROM changed)) AS changed, count(*) FILTER (WHERE artifact_id NOT IN (SELECT changed_id FROM changed)) AS unchanged FROM det",
     "open_questions": f"""WITH {rt._fused_sql()}, x AS (SELECT u.*, coalesce(c.incoming, false) AS i, coalesce(c.outgoing, false) AS o, coalesce(len(m.matched_terms), 0) AS mt, coalesce(len(m.content_terms), 0) AS ct FROM fused u LEFT JOIN counts c USING (artifact_id) LEFT JOIN matched m USING (artifact_id))
       SELECT CASE WHEN i THEN 'source' WHEN o THEN 'target' ELSE 'none' END AS open_question, count(*) AS n, sum((NOT i AND NOT o)::INT + (o AND NOT i)::INT + (i OR o)::INT + (mt > 0 AND ct = 0)::INT + (deterministic_rank IS NULL)::INT + (semantic_rank IS NULL)::INT)::BIGINT AS n_limitations FROM x GROUP BY 1""",
     "excerpts": """WITH w AS (SELECT doc_id, text, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units,

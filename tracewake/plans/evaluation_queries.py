@@ -219,7 +219,9 @@ def referential_checks(spark, root):
 
 
 def identity_conflicts(spark, root):
-    return validate.identity_conflicts(table(spark, root, "artifact_version").select("snapshot_id", "artifact_id", F.col("id").alias("version_id")), ["snapshot_id", "artifact_id"], "version_id")
+    """Paths that stand for several artifacts of a repository if letter case is left out."""
+    rows = table(spark, root, "artifact").select("repository_id", F.lower("path").alias("path"), "id")
+    return validate.identity_conflicts(rows, ["repository_id", "path"], "id")
 
 
 def content_integrity(spark, root):
@@ -295,6 +297,6 @@ SQL = {
       UNION ALL SELECT 'chunk without embedding', count(*) FROM semantic_chunk WHERE input_hash NOT IN (SELECT input_hash FROM semantic_embedding)
       UNION ALL SELECT 'order without customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     "grounding_guards": f"SELECT * FROM (SELECT DISTINCT id, [{', '.join(f"'{c[4]}'" for c in CLAIMS)}][id % {len(CLAIMS)} + 1] AS problem FROM artifact) WHERE problem <> ''",
-    "identity_conflicts": "SELECT snapshot_id, artifact_id, count(DISTINCT id) AS n_identities FROM artifact_version GROUP BY 1, 2 HAVING count(DISTINCT id) > 1",
+    "identity_conflicts": "SELECT repository_id, lower(path) AS path, count(DISTINCT id) AS n_identities FROM artifact GROUP BY 1, 2 HAVING count(DISTINCT id) > 1",
     "content_integrity": "SELECT count(*) AS n_contents, count(*) FILTER (WHERE sha256(text) <> lower(sha256)) AS n_wrong_digest, count(*) FILTER (WHERE strlen(text) <> byte_length) AS n_wrong_length FROM content",
 }

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewake.functions import paths, text, vectors
-from tracewake.operators import evidence, fusion, graph, ingest, lexical, semantic
-from tracewake.operators.history import evidence_tier, term_weights
+from tracewake.operators import evidence, fusion, graph, history, ingest, lexical, semantic
+from tracewake.operators.history import evidence_tier
 from tracewake.operators.snapshots import diff_snapshots
 from tracewake.session import table
 
@@ -332,6 +331,12 @@ def evidence_bundle(spark, root):
     return evidence.evidence_rows(best, named, _matches(files), chunks, by, fusion.K, "word-counts").select("version_id", "ordinal", "type", "id", "sentence")
 
 
+def code_split(spark, root):
+    """Parts of every content as a code file: from one declaration to the next."""
+    part = F.explode(semantic.split_parts(F.lit("a.ts"), F.coalesce("text", F.lit(""))))
+    return table(spark, root, "content").select(F.lower("sha256").alias("sha256"), part.alias("part")).groupBy("sha256").agg(F.count("*").alias("n_parts"), F.sum(F.length("part")).alias("n_chars"))
+
+
 def chunk_reconstruction(spark, root):
     """How many files were cut into embedding inputs, and how many their reconstructed chunks give back whole."""
     files = _docs(spark, root).filter("text IS NOT NULL").select("artifact_id", "path", "text")
@@ -344,10 +349,7 @@ def chunk_reconstruction(spark, root):
 
 
 def tfidf_rank(spark, root):
-    found = _matches(_docs(spark, root))
-    weighed = lexical.lexical_rank(found, ["snapshot_id"]).join(term_weights(found, ["snapshot_id"]), ["snapshot_id", "artifact_id"])
-    order = Window.partitionBy("snapshot_id").orderBy(text.precedence(F.col("category"), text.LEXICAL), F.desc(F.round("tfidf", 9)), F.length("path"), "path")
-    return weighed.select("artifact_id", F.round("tfidf", 9).alias("tfidf"), F.row_number().over(order).alias("rank"))
+    return history.tfidf_rank(_matches(_docs(spark, root)), ["snapshot_id"]).select("artifact_id", "tfidf", "rank")
 
 
 def evidence_tiers(spark, root):
@@ -357,7 +359,7 @@ def evidence_tiers(spark, root):
 
 
 def markdown_split(spark, root):
-    part = F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?m)(?=^#+ )"), lambda p: F.length(p) > 0))
+    part = F.explode(semantic.split_parts(F.lit("a.md"), F.coalesce("text", F.lit(""))))
     return table(spark, root, "documents").select("doc_id", part.alias("part")).groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("part")).alias("n_chars"))
 
 
@@ -370,7 +372,7 @@ QUERIES = {
     for f in (
         tokenize_documents, searchable_terms, content_token_index, document_frequency, path_token_index, snapshot_listing, lexical_search_ranked, lexical_categories, file_policy, exclusion_histogram, path_classes, content_sha,
         content_dedup, unindexed_contents, artifact_ids, snapshot_compare, module_resolution, import_edges, structural_signals, signal_counts, import_scan, snapshot_import_edges, deterministic_rank, cosine_chunks, best_chunk,
-        semantic_rank, rrf_fuse, rrf_k10, hybrid_h1, hybrid_h3, eligible_rank, evidence_topk, fusion_contributions, evidence_bundle, tfidf_rank, evidence_tiers, markdown_split, chunk_documents, chunk_reconstruction,
+        semantic_rank, rrf_fuse, rrf_k10, hybrid_h1, hybrid_h3, eligible_rank, evidence_topk, fusion_contributions, evidence_bundle, tfidf_rank, evidence_tiers, markdown_split, code_split, chunk_documents, chunk_reconstruction,
     )
 }
 _TRUTH = ", ".join(f"count(*) FILTER (WHERE least(coalesce(deterministic_rank, 2147483647), coalesce(semantic_rank, 2147483647)) <= {k}) AS found_{k}" for k in (1, 3, 5, 10, 20))
@@ -419,6 +421,7 @@ SQL = {
         UNION ALL SELECT artifact_id, 3, 'semantic', 'semantic:' || artifact_id || ':word-counts:0', printf('Closest is chunk 1 of 1, with cosine %.3f.', similarity) FROM best JOIN sem USING (artifact_id)
         UNION ALL SELECT artifact_id, 4, 'fusion', 'fusion:' || artifact_id || ':k60', printf('Place %d, score %.4f: ranks %s by terms and imports and %s by similarity, k 60.', rank, rrf_score, coalesce(deterministic_rank::VARCHAR, 'none'), coalesce(semantic_rank::VARCHAR, 'none')) FROM best)
       SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY o, id) AS ordinal, type, id, sentence FROM r""",
+    "code_split": r"SELECT lower(sha256) AS sha256, sum(1 + length(regexp_replace(array_to_string(regexp_extract_all(chr(10) || text, '\n\s*(?:export |function |class )'), ''), '[^\n]', '', 'g')) - (regexp_matches(text, '^\s*(?:export |function |class )'))::INT)::BIGINT AS n_parts, sum(length(text))::BIGINT AS n_chars FROM content WHERE length(text) > 0 GROUP BY 1",
     "chunk_reconstruction": "SELECT count(*) AS n_files, count(*) AS n_rebuilt FROM documents WHERE text IS NOT NULL",
     "tfidf_rank": f"""WITH {_DOCS}, {_MATCHES}, d AS (SELECT snapshot_id, artifact_id, unnest(matched_terms) AS term FROM matched), f AS (SELECT snapshot_id, term, count(DISTINCT artifact_id) AS df FROM d GROUP BY 1, 2),
       w AS (SELECT artifact_id, round(sum(ln(10000.0::DOUBLE / df)), 9) AS tfidf FROM d JOIN f USING (snapshot_id, term) GROUP BY 1), k AS (SELECT *, {_LEXCAT} AS category FROM matched JOIN w USING (artifact_id))

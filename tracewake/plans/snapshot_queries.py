@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewake.functions import paths, vectors
-from tracewake.operators import fusion, graph, history, lexical, search
+from tracewake.operators import assemble, fusion, graph, lexical, search
 from tracewake.plans import change_queries as ch
+from tracewake.plans import evaluation_queries as ev
 from tracewake.plans import retrieval_queries as rt
 from tracewake.session import cut_lineage, table
 
@@ -132,18 +133,24 @@ def index_counters(spark, root):
 
 
 def change_h2_rank(spark, root):
-    """Each change's candidates by score, then evidence tier."""
-    run = _run(spark, root)
-    structural = (F.col("n_test_to_source") + F.col("n_incoming_import") + F.col("n_outgoing_import")) > 0
-    tiers = run.deterministic.select(*BY, "artifact_id", history.evidence_tier(structural, F.size("matched_terms"), F.size("path_terms")).alias("tier"))
-    return fusion.score_then_tier(run.fused.join(tiers, [*BY, "artifact_id"], "left"), BY).select("snapshot_id", "artifact_id", "tier", "h2_rank")
+    """Each change's candidates by score, then level of the category."""
+    return fusion.score_then_level(_run(spark, root).fused, BY).select("snapshot_id", "artifact_id", "level", "h2_rank")
+
+
+def five_arms(spark, root):
+    """The first twenty of each evaluation arm for every change, after its changed source files."""
+    corpus, changes, queries = _search(spark, root)
+    is_input = (paths.kind(F.col("path")) == "code") & ~paths.is_test(F.col("path"))
+    inputs = changes.select(*BY, F.explode("changed").alias("path")).filter(is_input)
+    tests = corpus.files.filter(paths.is_test(F.col("path"))).select(*BY, "path")
+    return assemble.five_arms(corpus, changes, queries, queries, inputs, tests).select("snapshot_id", "method", "path", "position")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         change_lexical_matches, change_deterministic_rank, change_semantic_rank, search_hybrid, construct_evidence, inconsistent_candidates, investigate_changes, workspace_edges, incoming_relationships, outgoing_relationships,
-        edge_declarations, index_counters, change_h2_rank,
+        edge_declarations, index_counters, change_h2_rank, five_arms,
     )
 }
 
@@ -198,7 +205,18 @@ _ALL = f"WITH {_FILES}, {_CHANGES}, {_resolved('files', 'snapshot_id')}, {_MATCH
 _TREE = f"""WITH newest AS (SELECT artifact_id, max(id) AS version_id, arg_max(lower(content_sha256), id) AS sha256 FROM artifact_version GROUP BY 1),
 tree AS (SELECT path, min((id, kind))[1] AS artifact_id, min((id, kind))[2] AS kind FROM artifact WHERE path IS NOT NULL GROUP BY 1), files AS (SELECT * FROM tree JOIN newest USING (artifact_id)), {_resolved("files", "")}"""
 _BOTH = "SELECT e.kind AS relationship, s.path AS source_path, t.path AS target_path, s.version_id AS source_version_id, t.version_id AS target_version_id FROM edges e JOIN files s ON s.artifact_id = e.source_id JOIN files t ON t.artifact_id = e.target_id"
+_BARE = _ALL.replace("'Fix receipt and voucher session '", "''")
+_INPUT = f"{rt._KIND} = 'code' AND path NOT LIKE '%.test.%' AND path NOT LIKE '%.spec.%'"
+_ARM_INPUTS = f"SELECT snapshot_id, path FROM (WITH {_FILES}, {_CHANGES} SELECT snapshot_id, unnest(changed) AS path FROM changes) WHERE {_INPUT}"
+_ARM_TESTS = f"SELECT DISTINCT f.snapshot_id, path FROM (WITH {_FILES} SELECT * FROM files) f WHERE path LIKE '%.test.%' OR path LIKE '%.spec.%'"
+_SIBLINGS = (
+    ev._SIBLING.replace("WITH a AS (SELECT DISTINCT repository_id AS r, path FROM artifact WHERE kind = 'code' AND path IS NOT NULL)", f"WITH a_in AS (SELECT DISTINCT snapshot_id AS r, path FROM ({_ARM_INPUTS})), a_t AS (SELECT snapshot_id AS r, path FROM ({_ARM_TESTS}))")
+    .replace("FROM a WHERE path NOT LIKE '%.test.%' AND path NOT LIKE '%.spec.%'", "FROM a_in").replace("FROM a WHERE path LIKE '%.test.%' OR path LIKE '%.spec.%'", "FROM a_t").replace(" QUALIFY rank <= 20", "")
+)
 SQL = {
+    "five_arms": f"""WITH lists AS (SELECT 'hybrid' AS method, * FROM ({_ALL} SELECT snapshot_id, path, rank FROM fused) UNION ALL SELECT 'deterministic', * FROM ({_ALL} SELECT snapshot_id, path, rank FROM det) UNION ALL SELECT 'semantic', * FROM ({_ALL} SELECT snapshot_id, path, rank FROM sem)
+      UNION ALL SELECT 'no-description', * FROM ({_BARE} SELECT snapshot_id, path, rank FROM fused) UNION ALL SELECT 'sibling', repository_id, path, rank FROM ({_SIBLINGS})), inputs AS ({_ARM_INPUTS})
+      SELECT snapshot_id, method, path, row_number() OVER (PARTITION BY snapshot_id, method ORDER BY rank) AS position FROM lists WHERE (snapshot_id, path) NOT IN (SELECT (snapshot_id, path) FROM inputs) QUALIFY position <= 20""",
     "change_lexical_matches": _ALL + " SELECT snapshot_id, artifact_id, len(content_terms) AS n_content, len(path_terms) AS n_path, array_to_string(matched_terms, ' ') AS terms FROM matched",
     "change_deterministic_rank": _ALL + " SELECT snapshot_id, artifact_id, category, rank FROM det",
     "change_semantic_rank": _ALL + " SELECT snapshot_id, artifact_id, round(similarity, 6) AS similarity, rank FROM sem",
@@ -212,5 +230,5 @@ SQL = {
     "incoming_relationships": f"{_TREE} {_BOTH} WHERE e.target_id % 2 = 0",
     "outgoing_relationships": f"{_TREE} {_BOTH} WHERE e.source_id % 2 = 0",
     "index_counters": "SELECT count(*) FILTER (WHERE s >= '8') AS to_index, count(*) FILTER (WHERE s < '8') AS reused FROM (SELECT DISTINCT lower(sha256) AS s FROM content)",
-    "change_h2_rank": _ALL + ", tiers AS (SELECT snapshot_id, artifact_id, CASE WHEN incoming OR outgoing THEN 1 WHEN len(path_terms) > 0 OR len(matched_terms) >= 3 THEN 2 WHEN len(matched_terms) > 0 THEN 3 ELSE 4 END AS tier FROM det) SELECT snapshot_id, artifact_id, tier, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, coalesce(tier, 99), path, artifact_id) AS h2_rank FROM fused LEFT JOIN tiers USING (snapshot_id, artifact_id)",
+    "change_h2_rank": _ALL + f", l AS (SELECT *, CASE WHEN deterministic_category IS NOT NULL THEN {rt._ORDER['det'].format('deterministic_category')} END AS level FROM fused) SELECT snapshot_id, artifact_id, level, row_number() OVER (PARTITION BY snapshot_id ORDER BY rrf_score DESC, coalesce(level, 99), path, artifact_id) AS h2_rank FROM l",
 }
