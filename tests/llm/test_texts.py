@@ -69,6 +69,14 @@ def test_chunks_cut_where_they_should(spark, rows):
 def test_token_spans():
     assert chunking.plan_token_spans([3, 3, 3, 3], [2], 7, 0) == [(0, 2), (2, 4)]
     assert chunking.plan_token_spans([9, 1], [], 5, 0) == [(0, 1), (1, 2)]
+    assert chunking.plan_token_spans([2, 2, 2, 2, 2], [3], 6, 2) == [(0, 3), (2, 5)]
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.randint(1, 9) for _ in range(rng.randint(1, 60))]
+        limit, overlap = rng.randint(9, 30), rng.randint(0, 8)
+        found = chunking.plan_token_spans(lengths, sorted(rng.sample(range(1, len(lengths) + 1), rng.randint(0, len(lengths)))), limit, overlap)
+        assert found[0][0] == 0 and found[-1][1] == len(lengths) and all(0 < sum(lengths[a:b]) <= limit for a, b in found)
+        assert all(a < c <= b and sum(lengths[c:b]) <= overlap for (a, b), (c, _) in zip(found, found[1:]))
 
 
 PASSAGE = "Renaming VendrarPort to RosvexKit leaves signed lookup and eager transfer without header, so KelnexLoop balances nothing. Only KelnexLoop knows that remote index may pick BirulPort again today."

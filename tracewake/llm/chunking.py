@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import pandas as pd
@@ -47,53 +47,53 @@ def _patterns(kind: str):
     return tuple((name, re.compile(p)) for name, p in BOUNDARIES[kind])
 
 
-def plan_spans(text: str | None, path: str | None, limit: int | None, overlap: int | None) -> list[tuple[int, int, str]]:
-    """``(start, end, boundary)`` in code points of the chunks of one text; see :func:`chunk_rows`."""
-    if not text:
-        return []
-    size = len(text)
-    if limit is None or limit < 1 or size <= limit:
-        return [(0, size, "end")]
-    overlap = min(max(overlap or 0, 0), limit - 1)
-    sorted_ends = [(name, [m.end() for m in pattern.finditer(text)]) for name, pattern in _patterns(kind_of(path))]
+def plan_offsets(sums: Sequence[int], tiers: Sequence[tuple[str, Sequence[int]]], limit: int, overlap: int, hard: Callable[[int, int], int] = lambda start, end: end) -> list[tuple[int, int, str]]:
+    """``(start, end, boundary)`` of chunks of tokens whose lengths have the prefix sums ``sums`` (from 0).
+
+    ``tiers`` are sorted token numbers at which a chunk may end, the strongest kind first. The last token under the limit and, in each tier, the last boundary up to it are
+    found by binary search; one that leaves the chunk at least half full comes before any other. The next chunk begins at the first token that lies no more than ``overlap`` before the
+    end. Without a boundary a chunk is cut at the limit, or where ``hard`` moves that; a token longer than the limit stands alone.
+    """
+    count = len(sums) - 1
     spans, start = [], 0
-    while start + limit < size:
-        most = start + limit
+    while sums[count] - sums[start] > limit:
+        at = sums[start]
+        most = max(bisect_right(sums, at + limit) - 1, start + 1)
         end, boundary = 0, ""
-        for least in (start + max(overlap, limit // 2), start + overlap):
-            for name, ends in sorted_ends:
+        for least in (at + max(overlap, limit // 2), at + overlap):
+            for name, ends in tiers:
                 i = bisect_right(ends, most)
-                if i and ends[i - 1] > least:
+                if i and sums[ends[i - 1]] > least:
                     end, boundary = ends[i - 1], name
                     break
             if end:
                 break
         if not end:
-            end, boundary = most, "hard"
-            if text[end - 1] == "\r" and text[end] == "\n" and end - 1 > start + overlap:
-                end -= 1
+            end, boundary = hard(start, most), "hard"
         spans.append((start, end, boundary))
-        start = end - overlap
-    return [*spans, (start, size, "end")]
+        if end == count:
+            return spans
+        start = max(bisect_left(sums, sums[end] - overlap), start + 1)
+    return [*spans, (start, count, "end")]
 
 
-def plan_token_spans(lengths: list[int], boundaries: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Token ranges whose summed ``lengths`` stay under ``limit``; ``boundaries`` are sorted token offsets.
+def plan_spans(text: str | None, path: str | None, limit: int | None, overlap: int | None) -> list[tuple[int, int, str]]:
+    """``(start, end, boundary)`` in code points of the chunks of one text; see :func:`chunk_rows`."""
+    if not text:
+        return []
+    size = len(text)
+    if limit is None or limit < 1 or size <= limit:
+        return [(0, size, "end")]
+    overlap = min(max(overlap or 0, 0), limit - 1)
+    tiers = [(name, [m.end() for m in pattern.finditer(text)]) for name, pattern in _patterns(kind_of(path))]
+    between = lambda start, end: end - (text[end - 1] == "\r" and text[end] == "\n" and end - 1 > start + overlap)
+    # Every code point is a token of length one, so its prefix sums are the positions.
+    return plan_offsets(range(size + 1), tiers, limit, overlap, between)
 
-    For items measured in units of tokens. Prefix sums turn the limit into a binary search; a token longer than the limit stands alone.
-    """
-    sums = [0, *accumulate(lengths)]
-    spans, start, count = [], 0, len(lengths)
-    while start < count:
-        most = max(bisect_right(sums, sums[start] + limit) - 1, start + 1)
-        if most >= count:
-            return [*spans, (start, count)]
-        i = bisect_right(boundaries, most)
-        end = boundaries[i - 1] if i and boundaries[i - 1] > start and sums[boundaries[i - 1]] - sums[start] > overlap else most
-        spans.append((start, end))
-        back = bisect_right(sums, sums[end] - overlap - 1) if overlap else end
-        start = min(max(back, start + 1), end)
-    return spans
+
+def plan_token_spans(lengths: list[int], boundaries: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Token ranges whose summed ``lengths`` stay under ``limit``; ``boundaries`` are sorted token numbers."""
+    return [(a, b) for a, b, _ in plan_offsets([0, *accumulate(lengths)], [("boundary", boundaries)], limit, overlap)]
 
 
 @F.pandas_udf(SPANS)
