@@ -23,6 +23,12 @@ def document_frequency(tokens: DataFrame, of: str = "sha256") -> DataFrame:
     return tokens.groupBy("token").agg(F.countDistinct(of).alias("document_frequency"))
 
 
+def content_frequency(contents: DataFrame) -> DataFrame:
+    """``token, document_frequency`` over distinct contents. Contents are made distinct by their token lists, so neither texts nor pairs of token and content are shuffled."""
+    each = contents.select(F.lower("sha256").alias("sha256"), text.tokenize(F.col("text")).alias("tokens")).dropDuplicates(["sha256"])
+    return each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("document_frequency"))
+
+
 def unindexed(contents: DataFrame, marked: DataFrame) -> DataFrame:
     """Contents without a completion mark; the mark also covers contents without any token."""
     return contents.join(marked.select("sha256"), "sha256", "left_anti")

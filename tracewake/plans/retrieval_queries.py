@@ -139,7 +139,11 @@ def content_token_index(spark, root):
 
 
 def document_frequency(spark, root):
-    return lexical.document_frequency(content_token_index(spark, root))
+    return lexical.content_frequency(table(spark, root, "content"))
+
+
+def path_frequency(spark, root):
+    return lexical.document_frequency(path_token_index(spark, root), "artifact_id")
 
 
 def path_token_index(spark, root):
@@ -370,7 +374,7 @@ def chunk_documents(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_documents, searchable_terms, content_token_index, document_frequency, path_token_index, snapshot_listing, lexical_search_ranked, lexical_categories, file_policy, exclusion_histogram, path_classes, content_sha,
+        tokenize_documents, searchable_terms, content_token_index, document_frequency, path_frequency, path_token_index, snapshot_listing, lexical_search_ranked, lexical_categories, file_policy, exclusion_histogram, path_classes, content_sha,
         content_dedup, unindexed_contents, artifact_ids, snapshot_compare, module_resolution, import_edges, structural_signals, signal_counts, import_scan, snapshot_import_edges, deterministic_rank, cosine_chunks, best_chunk,
         semantic_rank, rrf_fuse, rrf_k10, hybrid_h1, hybrid_h3, eligible_rank, evidence_topk, fusion_contributions, evidence_bundle, tfidf_rank, evidence_tiers, markdown_split, code_split, chunk_documents, chunk_reconstruction,
     )
@@ -381,6 +385,7 @@ SQL = {
     "searchable_terms": f"SELECT doc_id, unnest([t for t in {tokens_sql('text')} if length(t) >= 3 AND NOT list_contains({STOP}, t)]) AS term FROM documents",
     "content_token_index": f"SELECT unnest({tokens_sql('text')}) AS token, lower(sha256) AS sha256 FROM content",
     "document_frequency": f"SELECT token, count(DISTINCT sha256) AS document_frequency FROM (SELECT unnest({tokens_sql('text')}) AS token, lower(sha256) AS sha256 FROM content) GROUP BY 1",
+    "path_frequency": f"SELECT token, count(DISTINCT id) AS document_frequency FROM (SELECT unnest({tokens_sql('path')}) AS token, id FROM artifact) GROUP BY 1",
     "path_token_index": f"SELECT unnest({tokens_sql('path')}) AS token, id AS artifact_id FROM (SELECT DISTINCT id, path FROM artifact)",
     "snapshot_listing": f"SELECT snapshot_id, version_id, path, sha256 FROM {_READY}",
     "lexical_search_ranked": _LEXICAL + " SELECT * FROM r",
