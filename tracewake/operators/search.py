@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewake.functions import text
 from tracewake.operators import evidence, fusion, graph, lexical, semantic
+from tracewake.session import cut_lineage
 
 
 @dataclass
@@ -66,6 +67,11 @@ def search_hybrid(corpus: Corpus, changes: DataFrame, queries: DataFrame, k: int
     return Run(matches, signals, best, deterministic, ranked, fusion.fuse(deterministic, ranked, by, k), k)
 
 
+def settled(run: Run) -> Run:
+    """The run with its rankings written down, for steps that read them several times."""
+    return Run(*(cut_lineage(df) for df in (run.matches, run.signals, run.best, run.deterministic, run.semantic, run.fused)), run.k)
+
+
 def inconsistent_candidates(fused: DataFrame, run: Run, corpus: Corpus) -> DataFrame:
     """``by, artifact_id, problem`` of candidates that the snapshot or the run's own rankings do not bear out; none of a sound run.
 
@@ -106,7 +112,7 @@ def construct_evidence(run: Run, corpus: Corpus, changes: DataFrame, model: str,
 def investigate_changes(corpus: Corpus, changes: DataFrame, queries: DataFrame, model: str, limit: int = 20) -> DataFrame:
     """``by, eligible_rank, artifact_id, path, n_evidence, limitations, open_question``: the files most worth a look for each change, with what their evidence cannot show."""
     by = corpus.by
-    run = search_hybrid(corpus, changes, queries)
+    run = settled(search_hybrid(corpus, changes, queries))
     best, rows = construct_evidence(run, corpus, changes, model, limit)
     none = F.array().cast("array<string>")
     counted = rows.groupBy(*by, "version_id").agg(F.count("*").alias("n_evidence"))

@@ -37,7 +37,7 @@ def investigate(spark, root: str, snapshot: int, description: str, changed: list
         queries = chunks.join(seeds, [*by, "artifact_id"], "left_semi").join(good, ["model_id", "input_hash"]).groupBy(*by, "model_id").agg(F.min_by("vector", "input_hash").alias("vector"))
     corpus = search.Corpus(files, lexical.content_tokens(contents), lexical.path_tokens(files.select(F.col("artifact_id").alias("id"), "path")), edges, chunks, embeddings, by)
     changes = spark.createDataFrame([(snapshot, description, changed)], "snapshot_id long, description string, changed array<string>")
-    best, rows = search.construct_evidence(search.search_hybrid(corpus, changes, queries), corpus, changes, model, limit)
+    best, rows = search.construct_evidence(search.settled(search.search_hybrid(corpus, changes, queries)), corpus, changes, model, limit)
     return report.investigation(best, rows, description, changed, limit)
 
 

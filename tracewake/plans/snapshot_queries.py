@@ -71,7 +71,7 @@ def search_hybrid(spark, root):
 def construct_evidence(spark, root):
     """The twenty best candidates of every change that did not change, each checked against its snapshot, and their evidence by type."""
     corpus, changes, queries = _search(spark, root)
-    run = search.search_hybrid(corpus, changes, queries)
+    run = search.settled(search.search_hybrid(corpus, changes, queries))
     best, rows = search.construct_evidence(run, corpus, changes, MODEL)
     counted = rows.groupBy("snapshot_id", "version_id").agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("structural", "lexical", "semantic", "fusion")])
     return best.join(counted, ["snapshot_id", "version_id"]).select("snapshot_id", "artifact_id", "eligible_rank", "n_structural", "n_lexical", "n_semantic", "n_fusion")
