@@ -214,6 +214,8 @@ _SIBLINGS = (
     .replace("FROM a WHERE path NOT LIKE '%.test.%' AND path NOT LIKE '%.spec.%'", "FROM a_in").replace("FROM a WHERE path LIKE '%.test.%' OR path LIKE '%.spec.%'", "FROM a_t").replace(" QUALIFY rank <= 20", "")
 )
 SQL = {
+    # A query of the retrieval module over the same files, of those that some dialect of the scanner reads.
+    "snapshot_import_edges": f"WITH {_FILES}, {_resolved('files', 'snapshot_id')} SELECT snapshot_id, source_id, target_id, kind FROM edges WHERE source_id IN (SELECT artifact_id FROM files WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx)$'))",
     "five_arms": f"""WITH lists AS (SELECT 'hybrid' AS method, * FROM ({_ALL} SELECT snapshot_id, path, rank FROM fused) UNION ALL SELECT 'deterministic', * FROM ({_ALL} SELECT snapshot_id, path, rank FROM det) UNION ALL SELECT 'semantic', * FROM ({_ALL} SELECT snapshot_id, path, rank FROM sem)
       UNION ALL SELECT 'no-description', * FROM ({_BARE} SELECT snapshot_id, path, rank FROM fused) UNION ALL SELECT 'sibling', repository_id, path, rank FROM ({_SIBLINGS})), inputs AS ({_ARM_INPUTS})
       SELECT snapshot_id, method, path, row_number() OVER (PARTITION BY snapshot_id, method ORDER BY rank) AS position FROM lists WHERE (snapshot_id, path) NOT IN (SELECT (snapshot_id, path) FROM inputs) QUALIFY position <= 20""",
