@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from tracewake.functions import paths, text
 from tracewake.operators import graph, lexical, search, semantic
 
 FILES = [(1, "src/billing.ts"), (2, "src/invoice.ts"), (3, "test/billing.test.ts"), (4, "src/ledger.ts"), (5, "src/other.ts")]
@@ -66,6 +67,33 @@ def test_search_and_investigation(spark, corpus, rows):
     assert search.investigate_changes(c, changes.limit(0), queries.limit(0), "m").count() == 0
 
 
+def test_matches_are_the_same_by_lists_of_tokens(spark, corpus, rows):
+    c, _, contents = corpus
+    terms = search.change_terms(change(spark)[0], BY)
+    # A content in two rows, an artifact with two contents, and one whose content is unknown.
+    files = c.files.unionByName(c.files.filter("artifact_id = 2").withColumn("sha256", F.lit("s5"))).unionByName(c.files.filter("artifact_id = 3").withColumn("sha256", F.lit(None).cast("string")))
+    lists = lexical.index_matches(files, terms, lexical.content_token_lists(contents.unionByName(contents)), c.path_index, BY)
+    assert rows(lists) == rows(lexical.index_matches(files, terms, c.content_index, c.path_index, BY))
+    assert rows(lists.filter("artifact_id = 2").select("content_terms", "path_terms", "matched_terms")) == [(["billing", "reservation"], [], ["billing", "reservation"])]
+
+
+def test_imports_meet_files_at_stems(spark, rows):
+    names = ["src/a", "src/a.js", "src/.js", "src/a.d.ts", "src/index", "src/a/index.js", "index", "src/a.json", "a.jsx.js"]
+    specifiers = [n if n.endswith(".js") else f"{n}{e}" for n in names for e in ("", ".js")]
+    met = spark.createDataFrame([(n, s) for n, s in zip(sorted(names * 2, key=names.index), specifiers)], "joined string, specifier string")
+    apart = met.select("joined", F.inline(paths.candidates(F.col("joined"), F.col("specifier")))).filter(paths.stem(F.col("joined")) != paths.stem(F.col("path")))
+    assert apart.count() == 0
+    files = spark.createDataFrame([(i, p) for i, p in enumerate(["src/x.ts", "src/a.tsx", "src/a/index.ts", "src/a.js.ts", "src/a.ts", "src/b.js", "src/b.ts", "src/a.css"])], "artifact_id long, path string")
+    imports = files.filter("artifact_id = 0").select(F.col("artifact_id").alias("source_id"), F.col("path").alias("source_path"), F.explode(F.array(*[F.lit(s) for s in ("./a", "./a.js", "./b.js", "./a/index", "./a.css", "./x", "./none")])).alias("specifier"))
+    assert rows(graph.resolve_imports(imports, files, []).select("specifier", "target_id")) == [("./a", 4), ("./a.css", 7), ("./a.js", 3), ("./a/index", 2), ("./b.js", 5)]
+
+
+def test_digest_keys_are_apart(spark):
+    hexes = spark.createDataFrame([("ab" * 32,), ("AB" * 32,), ("ab",), ("x" * 32,), ("",)], "s string")
+    assert hexes.select(text.digest_key(F.col("s")).alias("k")).distinct().count() == 5
+    assert hexes.limit(1).select(F.length(text.digest_key(F.col("s")))).first()[0] == 32
+
+
 def test_chunks_are_made_again(spark):
     body = "# a\n" + "x" * 900 + "\n## b\n" + "y" * 500
     files = spark.createDataFrame([(1, "a.md", body), (2, "b.txt", None), (3, "c.md", "short")], "artifact_id long, path string, text string")

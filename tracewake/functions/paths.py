@@ -112,6 +112,11 @@ def candidates(joined: Column, specifier: Column) -> Column:
     return F.concat(F.array(*plain), F.when(fallback, F.array(*typed)).otherwise(F.slice(F.array(*typed), 1, 0)))
 
 
+def stem(path: Column) -> Column:
+    """The path without whatever :func:`candidates` may put at its end: what an import is joined to and every path it may mean have the same."""
+    return F.regexp_replace(path, r"(?:\.[jt]sx?|/index)+\z", "")
+
+
 def is_portable(path: Column) -> Column:
     """A relative path without drive, backslash, NUL, and empty or dot segments."""
     bad = F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))

@@ -114,8 +114,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, by: list[str]) -> Data
     """
     relative = imports.filter(F.col("specifier").startswith("."))
     joined = paths.join_relative(F.col("source_path"), F.col("specifier"))
-    tried = relative.select(*by, "source_id", "specifier", F.inline(paths.candidates(joined, F.col("specifier"))))
-    hits = tried.join(files.select(*by, "path", F.col("artifact_id").alias("target_id")), [*by, "path"])
+    # One row an import and one a file meet at their stems; which of the candidates a file is, if any, is told then.
+    tried = relative.select(*by, "source_id", "specifier", joined.alias("__joined")).withColumn("__stem", paths.stem(F.col("__joined")))
+    met = tried.join(files.select(*by, "path", F.col("artifact_id").alias("target_id")).withColumn("__stem", paths.stem(F.col("path"))), [*by, "__stem"])
+    hits = met.withColumn("priority", F.array_min(F.filter(paths.candidates(F.col("__joined"), F.col("specifier")), lambda c: c["path"] == F.col("path"))["priority"])).filter("priority IS NOT NULL")
     best = hits.groupBy(*by, "source_id", "specifier").agg(F.min_by("target_id", "priority").alias("target_id"))
     return best.filter("source_id <> target_id")
 

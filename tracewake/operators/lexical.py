@@ -13,6 +13,11 @@ def content_tokens(contents: DataFrame) -> DataFrame:
     return contents.select(F.explode(text.tokenize(F.col("text"))).alias("token"), F.lower("sha256").alias("sha256"))
 
 
+def content_token_lists(contents: DataFrame) -> DataFrame:
+    """``sha256, tokens``: the index by content, with the distinct tokens of each in one row."""
+    return contents.select(F.lower("sha256").alias("sha256"), text.tokenize(F.col("text")).alias("tokens"))
+
+
 def path_tokens(artifacts: DataFrame) -> DataFrame:
     """``token, artifact_id``."""
     rows = artifacts.filter(F.col("path").isNotNull()).dropDuplicates(["id"])
@@ -77,17 +82,19 @@ def lexical_rank(matches: DataFrame, by: list[str]) -> DataFrame:
 def index_matches(files: DataFrame, terms: DataFrame, content_index: DataFrame, path_index: DataFrame, by: list[str]) -> DataFrame:
     """Matches of many queries at once by the stored index: ``by, artifact_id`` with sorted ``content_terms, path_terms, matched_terms``.
 
-    ``files`` has ``by, artifact_id, sha256``, ``terms`` has ``by, term``, the indexes ``token, sha256`` and ``token, artifact_id``. The index is
-    cut to the terms of any query first; no text is read.
+    ``files`` has ``by, artifact_id, sha256``, ``terms`` has ``by, term``, the indexes ``token, sha256`` or ``tokens, sha256``, and ``token, artifact_id``. No text is read.
+    Tokens of a content or a path move in one row, and meet the terms of its query there, so nothing grows with files times tokens.
     """
-    asked = terms.select(*by, F.col("term").alias("token")).distinct()
-    wanted = asked.select("token").distinct()
-    contents, paths = (index.join(wanted, "token", "left_semi").distinct() for index in (content_index, path_index))
-    where = files.select(*by, "artifact_id", "sha256").distinct()
-    found = where.join(contents, "sha256").select(*by, "artifact_id", "token", F.lit(True).alias("in_content")).unionByName(where.join(paths, "artifact_id").select(*by, "artifact_id", "token", F.lit(False).alias("in_content")))
-    hits = found.join(asked, [*by, "token"], "left_semi")
-    terms_where = lambda condition: F.sort_array(F.collect_set(F.when(condition, F.col("token"))))
-    return hits.groupBy(*by, "artifact_id").agg(terms_where(F.col("in_content")).alias("content_terms"), terms_where(~F.col("in_content")).alias("path_terms"), F.sort_array(F.collect_set("token")).alias("matched_terms"))
+    none = F.array().cast("array<string>")
+    asked = terms.groupBy(*by).agg(F.collect_set("term").alias("__asked"))
+    contents, paths = (index if "tokens" in index.columns else index.groupBy(key).agg(F.collect_set("token").alias("tokens")) for index, key in ((content_index, "sha256"), (path_index, "artifact_id")))
+    held = lambda: F.coalesce(F.array_intersect("tokens", "__asked"), none)
+    rows = files.select(*by, "artifact_id", "sha256").join(asked, by).join(paths, "artifact_id", "left").withColumn("__path", held()).drop("tokens")
+    rows = rows.join(contents, "sha256", "left").select(*by, "artifact_id", "__path", held().alias("__content")).filter((F.size("__path") > 0) | (F.size("__content") > 0))
+    # An artifact may have several contents, and a content several rows of the index.
+    every = lambda name: F.sort_array(F.array_distinct(F.flatten(F.collect_list(name))))
+    found = rows.groupBy(*by, "artifact_id").agg(every("__content").alias("content_terms"), every("__path").alias("path_terms"))
+    return found.withColumn("matched_terms", F.sort_array(F.array_union("content_terms", "path_terms")))
 
 
 def index_counts(contents: DataFrame, marked: DataFrame) -> DataFrame:

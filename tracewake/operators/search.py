@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from tracewake.session import cut_lineage
 class Corpus:
     """The indexed side: all frames have the columns ``by`` that name a snapshot.
 
-    files: ``by, artifact_id, version_id, path, kind, sha256``; content_index: ``token, sha256``; path_index: ``token, artifact_id``;
+    files: ``by, artifact_id, version_id, path, kind, sha256``; content_index: ``token, sha256`` or ``tokens, sha256``; path_index: ``token, artifact_id``;
     edges: ``by, source_id, target_id, kind``; chunks: ``model_id, by, artifact_id, chunk_index, input_hash``; embeddings: ``model_id, input_hash, dimensions, vector``.
     """
 
@@ -48,30 +49,28 @@ def change_terms(changes: DataFrame, by: list[str], symbols: bool = False) -> Da
     return changes.select(*by, F.explode(text.query_terms(query, F.col("symbols") if symbols else None)).alias("term"))
 
 
-def search_hybrid(corpus: Corpus, changes: DataFrame, queries: DataFrame, k: int = fusion.K) -> Run:
+def search_hybrid(corpus: Corpus, changes: DataFrame, queries: DataFrame, k: int = fusion.K, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Run:
     """Terms and imports, similarity, and their fusion, for each change in its snapshot.
 
     ``changes`` has ``by, description, changed`` (paths) and perhaps ``symbols``; ``queries`` has ``by, model_id, vector``, the embedded change. Each stage is partitioned by
-    snapshot; changed files rank like all others, and a caller that does not want them leaves them out of the result.
+    snapshot; changed files rank like all others, and a caller that does not want them leaves them out of the result. ``keep`` is given each ranking before the next is made of it:
+    with :func:`cut_lineage`, for steps that read the run several times, every part of the search is done once and leaves only what it found.
     """
     by = corpus.by
     matches = lexical.index_matches(corpus.files, change_terms(changes, by, "symbols" in changes.columns), corpus.content_index, corpus.path_index, by)
+    matches = keep(matches.drop("matched_terms")).withColumn("matched_terms", F.sort_array(F.array_union("content_terms", "path_terms")))
     seeds = corpus.files.join(changes.select(*by, F.explode("changed").alias("path")).distinct(), [*by, "path"], "left_semi")
-    signals = graph.structural_signals(corpus.edges, seeds, by)
+    signals = keep(graph.structural_signals(corpus.edges, seeds, by))
     scoped = corpus.files.join(changes.select(*by).distinct(), by, "left_semi")
     deterministic = fusion.deterministic_rank(fusion.deterministic_candidates(matches, graph.signal_counts(signals, by), scoped, by).filter("version_id IS NOT NULL AND (size(matched_terms) > 0 OR n_test_to_source + n_incoming_import + n_outgoing_import > 0)"), by)
+    deterministic = keep(deterministic.select(*by, "artifact_id", "version_id", "path", "category", "rank"))
     scored = semantic.chunk_similarity(corpus.chunks, corpus.embeddings, queries, tuple(by)).withColumn("similarity", F.round("similarity", 9))
-    best = semantic.best_chunks(scored, by)
+    best = keep(semantic.best_chunks(scored, by))
     named = best.join(scoped.select(*by, "artifact_id", "version_id", "path"), [*by, "artifact_id"])
-    ranked = semantic.semantic_rank(named, by)
+    ranked = keep(semantic.semantic_rank(named, by))
     return Run(matches, signals, best, deterministic, ranked, fusion.fuse(deterministic, ranked, by, k), k)
 
 
-def settled(run: Run) -> Run:
-    """The run with its rankings written down, for steps that read them several times."""
-    return Run(*(cut_lineage(df) for df in (run.matches, run.signals, run.best, run.deterministic, run.semantic, run.fused)), run.k)
-
-
 def inconsistent_candidates(fused: DataFrame, run: Run, corpus: Corpus) -> DataFrame:
     """``by, artifact_id, problem`` of candidates that the snapshot or the run's own rankings do not bear out; none of a sound run.
 
@@ -106,13 +105,14 @@ def construct_evidence(run: Run, corpus: Corpus, changes: DataFrame, model: str,
     checked = best.join(bad, [*by, "artifact_id"], "left")
     checked = checked.withColumn("path", F.when(F.col("__problem").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("candidate "), F.col("path"), F.lit(": "), F.col("__problem"))).cast("string"))).drop("__problem")
     named = run.signals.join(corpus.files.select(*by, F.col("artifact_id").alias("changed_id"), F.col("path").alias("changed_path")), [*by, "changed_id"])
+    checked = cut_lineage(checked)
     return checked, evidence.evidence_rows(checked, named, run.matches, run.best, by, run.k, model)
 
 
 def investigate_changes(corpus: Corpus, changes: DataFrame, queries: DataFrame, model: str, limit: int = 20) -> DataFrame:
     """``by, eligible_rank, artifact_id, path, n_evidence, limitations, open_question``: the files most worth a look for each change, with what their evidence cannot show."""
     by = corpus.by
-    run = settled(search_hybrid(corpus, changes, queries))
+    run = search_hybrid(corpus, changes, queries, keep=cut_lineage)
     best, rows = construct_evidence(run, corpus, changes, model, limit)
     none = F.array().cast("array<string>")
     counted = rows.groupBy(*by, "version_id").agg(F.count("*").alias("n_evidence"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tracewake.functions import paths, vectors
+from tracewake.functions import paths, text, vectors
 from tracewake.operators import assemble, fusion, graph, lexical, search
 from tracewake.plans import change_queries as ch
 from tracewake.plans import evaluation_queries as ev
@@ -15,13 +17,20 @@ BY = ["snapshot_id"]
 MODEL = "least"
 
 
+def _key(sha256):
+    return text.digest_key(F.lower(sha256))
+
+
 def _files(spark, root):
-    kinds = table(spark, root, "artifact").groupBy(F.col("id").alias("artifact_id")).agg(F.min("kind").alias("kind"))
-    return rt._ready_files(spark, root).drop("kind").join(kinds, "artifact_id")
+    """Files of the ready snapshots, each with the path and kind of its artifact."""
+    ready = table(spark, root, "repository_snapshot").filter("status = 'ready'").select(F.col("id").alias("snapshot_id")).distinct()
+    named = table(spark, root, "artifact").groupBy(F.col("id").alias("artifact_id")).agg(F.min("path").alias("path"), F.min("kind").alias("kind"))
+    versions = table(spark, root, "artifact_version").select("snapshot_id", "artifact_id", F.col("id").alias("version_id"), _key("content_sha256").alias("sha256"))
+    return versions.join(ready, "snapshot_id", "left_semi").dropDuplicates(["version_id"]).join(named, "artifact_id").select(*BY, "artifact_id", "version_id", "path", "kind", "sha256")
 
 
-def _imports(spark, root, files, by):
-    found = graph.content_imports(table(spark, root, "content")).filter("specifier IS NOT NULL").distinct()
+def _imports(spark, root, files, by, key=F.lower):
+    found = graph.content_imports(table(spark, root, "content").filter(F.contains("text", F.lit("import")))).filter("specifier IS NOT NULL").select(key("sha256").alias("sha256"), "specifier").distinct()
     return files.join(found, "sha256").select(*by, F.col("artifact_id").alias("source_id"), F.col("path").alias("source_path"), "specifier")
 
 
@@ -34,17 +43,25 @@ def _model(spark, root):
 
 def _search(spark, root):
     """Changes are the change sets that led to a snapshot; the query vector of each is that of the first chunk, by hash, of the files that changed."""
-    changes = ch.p1_found(spark, root).groupBy(F.col("target_snapshot_id").alias("snapshot_id")).agg(F.sort_array(F.collect_set("path")).alias("changed")).withColumn("description", F.lit("Fix receipt and voucher session"))
-    files = cut_lineage(_files(spark, root))
-    edges = graph.edges(graph.resolve_imports(_imports(spark, root, files, BY), files, BY), files, BY)
+    found = ch.p1_found(spark, root).groupBy(F.col("target_snapshot_id").alias("snapshot_id")).agg(F.sort_array(F.collect_set("path")).alias("changed"))
+    changes = cut_lineage(found).withColumn("description", F.lit("Fix receipt and voucher session"))
+    files = cut_lineage(_files(spark, root).join(changes, BY, "left_semi"))
+    edges = graph.edges(graph.resolve_imports(_imports(spark, root, files, BY, _key), files, BY), files, BY)
     embeddings = _model(spark, root)
     chunks = table(spark, root, "semantic_chunk")
     seeds = files.join(changes.select(*BY, F.explode("changed").alias("path")), [*BY, "path"], "left_semi").select(*BY, "artifact_id")
     queries = chunks.join(seeds, [*BY, "artifact_id"], "left_semi").join(embeddings, ["model_id", "input_hash"]).groupBy(*BY, "model_id").agg(F.min_by("vector", "input_hash").alias("vector"))
-    corpus = search.Corpus(files, lexical.content_tokens(table(spark, root, "content")), lexical.path_tokens(table(spark, root, "artifact")), edges, chunks, embeddings, BY)
+    contents = lexical.content_token_lists(table(spark, root, "content")).withColumn("sha256", _key("sha256"))
+    corpus = search.Corpus(files, contents, lexical.path_tokens(table(spark, root, "artifact")), edges, chunks, embeddings, BY)
     return corpus, changes, queries
 
 
+def _settled(spark, root):
+    """The search with its edges written down, of which the search and the checks of what it found are made."""
+    corpus, changes, queries = _search(spark, root)
+    return replace(corpus, edges=cut_lineage(corpus.edges)), changes, queries
+
+
 def _run(spark, root):
     return search.search_hybrid(*_search(spark, root))
 
@@ -70,8 +87,8 @@ def search_hybrid(spark, root):
 
 def construct_evidence(spark, root):
     """The twenty best candidates of every change that did not change, each checked against its snapshot, and their evidence by type."""
-    corpus, changes, queries = _search(spark, root)
-    run = search.settled(search.search_hybrid(corpus, changes, queries))
+    corpus, changes, queries = _settled(spark, root)
+    run = search.search_hybrid(corpus, changes, queries, keep=cut_lineage)
     best, rows = search.construct_evidence(run, corpus, changes, MODEL)
     counted = rows.groupBy("snapshot_id", "version_id").agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("structural", "lexical", "semantic", "fusion")])
     return best.join(counted, ["snapshot_id", "version_id"]).select("snapshot_id", "artifact_id", "eligible_rank", "n_structural", "n_lexical", "n_semantic", "n_fusion")
@@ -88,7 +105,7 @@ def inconsistent_candidates(spark, root):
 
 def investigate_changes(spark, root):
     """What a reader gets for every change: files in order, with what their evidence cannot show."""
-    corpus, changes, queries = _search(spark, root)
+    corpus, changes, queries = _settled(spark, root)
     found = search.investigate_changes(corpus, changes, queries, MODEL)
     return found.select("snapshot_id", "artifact_id", "eligible_rank", "n_evidence", F.array_join("limitations", " ").alias("limitations"), "open_question")
 

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: With it, Spark deletes the shuffle files of an execution when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str | int = "*", app: str = "tracewake", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -63,7 +65,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The copy lives on shared storage, so it outlives any executor. Only where neither the
     session nor its context names a folder, as in local tests, is a temporary one made. Its files are
-    deleted when no frame that reads them is left.
+    deleted when no frame that reads them is left, the shuffle files that it was made from at once.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -75,4 +77,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = os.path.join(tempfile.gettempdir(), "tracewake-checkpoints")
         context.setCheckpointDir(named)
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        # A plan knows from its making what becomes of its shuffle files, so it is made anew.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
