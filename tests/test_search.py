@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 from tracewake.functions import paths, text
@@ -67,6 +69,28 @@ def test_search_and_investigation(spark, corpus, rows):
     assert search.investigate_changes(c, changes.limit(0), queries.limit(0), "m").count() == 0
 
 
+def counted(df, seen):
+    """The same rows, each of them counted whenever it is read."""
+
+    def run(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_every_part_of_an_investigation_is_done_once(spark, corpus):
+    c, _, contents = corpus
+    texts, edges = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    lists = replace(c, content_index=lexical.content_token_lists(counted(contents, texts)), edges=counted(c.edges, edges))
+    changes, queries = change(spark)
+    # Edges are read into and out of what changed, and once more by the check.
+    found = search.investigate_changes(lists, changes, queries, "m").collect()
+    assert texts.value == len(TEXTS) and edges.value <= 3 * c.edges.count()
+    assert sorted(found, key=repr) == sorted(search.investigate_changes(c, changes, queries, "m").collect(), key=repr)
+
+
 def test_matches_are_the_same_by_lists_of_tokens(spark, corpus, rows):
     c, _, contents = corpus
     terms = search.change_terms(change(spark)[0], BY)
