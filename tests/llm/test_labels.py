@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tracewake.llm import consensus, subjects
 
@@ -105,6 +106,22 @@ def test_more_annotators_than_are_sent(spark, monkeypatch):
     assert max(abs(a[w] - b[w]) for w in a) < 0.05
 
 
+@pytest.mark.parametrize("tells", [True, False])
+def test_the_way_of_the_matrices_changes_nothing(spark, monkeypatch, tells):
+    for name, value in (("PENALTIES", (10.0,)), ("TRIAL_ROUNDS", 2), ("TOLERANCE", 1e-3)):
+        monkeypatch.setattr(consensus, name, value)
+    folder = ["api", "jobs", "docs", "legacy"]
+    _, data = crowd(8, 100, lambda t, rng: f"{folder[t] if tells else rng.choice(folder)}/a.ts", each=3, people=6)
+    # One item is judged by one annotator only, of whom nobody else tells anything.
+    data += [record(len(data) + 1, "alone", 1000, consensus.LABELS[1])]
+    df = spark.createDataFrame(data, RECORD)
+    sent, joined = consensus.fit_consensus(df), consensus.fit_consensus(df, sent=2)
+    assert sent.model.rounds == joined.model.rounds and abs(sent.model.likelihood - joined.model.likelihood) < 1e-9
+    assert np.allclose(sent.model.weights, joined.model.weights, atol=1e-9) and np.allclose(sent.model.evidence, joined.model.evidence, atol=1e-9)
+    a, b = ({r["annotator_id"]: r for r in f.annotators.collect()} for f in (sent, joined))
+    assert a.keys() == b.keys() and all(np.allclose(a[w]["matrix"], b[w]["matrix"], atol=1e-9) and abs(a[w]["reliability"] - b[w]["reliability"]) < 1e-9 for w in a)
+
+
 TERMS = {"law": ["court filing", "notary seal", "breach notice"], "music": ["drum loop", "key signature", "choir part"], "travel": ["seat map", "ferry crossing", "hotel night"]}
 
 

@@ -261,42 +261,70 @@ def classifier(items: DataFrame, model: Model) -> Solver | None:
     return Solver(curves.sum(0), PENALTIES[best])
 
 
-def _fit(items: DataFrame, annotators: int) -> Model:
-    models = first_models(items, annotators)
-    while not all(m.converged for m in models):
-        open_ = [m for m in models if not m.converged]
-        sums = total(items, lambda batch, open_=open_: [a for m in open_ for a in m.sums(batch)], [s for m in open_ for s in m.shapes()])
-        for i, m in enumerate(open_):
-            m.update(sums[5 * i : 5 * i + 5])
-        if max(m.rounds for m in models) >= WARN_ROUNDS:
-            break
-    model = max(models, key=lambda m: m.likelihood)
-    solver = classifier(items, model)
-    model.converged = solver is None and model.converged
-    while not model.converged and model.rounds < 2 * WARN_ROUNDS:
-        model.update(total(items, model.sums, model.shapes()), solver)
-    return model
+class Sent:
+    """Fits whose annotators' matrices are sent to every task."""
+
+    def __init__(self, items: DataFrame, annotators: int):
+        self.items, self.models = items, first_models(items, annotators)
+
+    def step(self, models: list[Model], solver=None) -> None:
+        """One round of each of these models, in one pass over the items."""
+        sums = total(self.items, lambda batch: [a for m in models for a in m.sums(batch)], [s for m in models for s in m.shapes()])
+        for i, m in enumerate(models):
+            m.update(sums[5 * i : 5 * i + 5], solver)
+
+    def read_by(self, model: Model) -> DataFrame:
+        return self.items
 
 
 class Joined:
-    """The same fit where annotators are too many to be sent: their matrices lie in a table by annotator."""
+    """The same fits where annotators are too many to be sent: the matrices of each model lie in a table by annotator."""
 
     def __init__(self, known: DataFrame, items: DataFrame):
-        self.said = cut_lineage(known.select(F.xxhash64("case_id", "version").alias("item"), "case_id", "version", "annotator_id", "label"))
-        self.items, self.table = items, None
+        self.said = cut_lineage(known.select("case_id", "version", "annotator_id", "label"))
+        self.items, self.models = items, [Model(np.zeros((0, K, K))) for _ in range(3)]
+        self.tables = dict(zip(map(id, self.models), self.first_tables()))
+        self.heard = {id(m): self.hear(m) for m in self.models}
 
-    def heard(self) -> DataFrame:
+    def of_items(self, other: DataFrame) -> DataFrame:
+        """Every judgement with the row of ``other`` about its item."""
+        same = F.col("a.case_id").eqNullSafe(F.col("b.case_id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
+        return self.said.alias("a").join(other.alias("b"), same).select("a.annotator_id", "a.label", *[F.col(f"b.{c}") for c in other.columns if c not in ("case_id", "version")])
+
+    def cells(self, rows: DataFrame, weight) -> DataFrame:
+        """``annotator_id, c0`` and so on: sums by true and given label of the judgements' weights, of which there is one for each true label."""
+        return cut_lineage(rows.groupBy("annotator_id").agg(*[F.sum(F.when(F.col("label") == s, weight(t)).otherwise(0.0)).alias(f"c{t * K + s}") for t in range(K) for s in range(K)]))
+
+    @staticmethod
+    def smoothed(cells: DataFrame) -> DataFrame:
+        """``annotator_id, matrix``, as :func:`smoothed` draws them."""
+        pooled = np.array([x or 0.0 for x in cells.agg(*[F.sum(f"c{i}") for i in range(K * K)]).first()]).reshape(K, K) + 1
+        pooled = PSEUDO * pooled / pooled.sum(1, keepdims=True)
+        row = [sum((F.col(f"c{t * K + s}") for s in range(1, K)), F.col(f"c{t * K}")) + PSEUDO for t in range(K)]
+        return cells.select("annotator_id", F.array(*[(F.col(f"c{t * K + s}") + float(pooled[t, s])) / row[t] for t in range(K) for s in range(K)]).alias("matrix"))
+
+    def first_tables(self) -> list[DataFrame]:
+        """The matrices of :func:`first_models`."""
+        diagonal_of = lambda right: F.array(*[right if s == t else (1 - right) / (K - 1) for t in range(K) for s in range(K)])
+        counts = self.said.groupBy("case_id", "version").agg(*[F.count_if(F.col("label") == k).alias(f"n{k}") for k in range(K)])
+        others = F.greatest(sum((F.col(f"n{k}") for k in range(1, K)), F.col("n0")) - 1, F.lit(1))
+        seen = self.cells(self.of_items(counts), lambda t: (F.col(f"n{t}") - (F.col("label") == t).cast("int")) / others)
+        agreed = (sum((F.col(f"c{k * K + k}") for k in range(1, K)), F.col("c0")) + 1) / (sum((F.col(f"c{i}") for i in range(1, K * K)), F.col("c0")) + 3)
+        top = seen.agg(F.max(agreed)).first()[0]
+        right = F.greatest(F.lit(0.26), F.least(F.lit(0.9), F.lit(0.9) * agreed / F.lit(top)))
+        return [seen.select("annotator_id", diagonal_of(F.lit(0.6)).alias("matrix")), seen.select("annotator_id", diagonal_of(right).alias("matrix")), self.smoothed(seen)]
+
+    def hear(self, model: Model) -> DataFrame:
         """The items with what their annotators' labels tell of each true label, as logarithms."""
-        spoken = self.said.join(self.table, "annotator_id").groupBy("case_id", "version").agg(*[F.sum(F.log(F.col("matrix")[k * K + F.col("label")])).alias(f"h{k}") for k in range(K)])
+        spoken = self.said.join(self.tables[id(model)], "annotator_id").groupBy("case_id", "version").agg(*[F.sum(F.log(F.col("matrix")[k * K + F.col("label")])).alias(f"h{k}") for k in range(K)])
         same = F.col("a.case_id").eqNullSafe(F.col("b.case_id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
         found = self.items.alias("a").join(spoken.alias("b"), same).select("a.*", F.array(*[F.col(f"b.h{k}") for k in range(K)]).alias("heard"))
         return cut_lineage(found)
 
-    def start(self) -> None:
-        right = [0.6 if s == t else 0.4 / (K - 1) for t in range(K) for s in range(K)]
-        self.table = self.said.select("annotator_id").distinct().withColumn("matrix", F.array(*[F.lit(x) for x in right]))
+    def maximise(self, model: Model) -> None:
+        """New matrices against the model's posterior."""
+        items = self.heard[id(model)]
 
-    def update(self, items: DataFrame, model: Model) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 post = model.posterior(Items(batch))[0] if batch.num_rows else np.zeros((0, K))
@@ -304,30 +332,33 @@ class Joined:
 
         kinds = f"case_id {items.schema['case_id'].dataType.simpleString()}, version {items.schema['version'].dataType.simpleString()}, " + ", ".join(f"p{k} double" for k in range(K))
         post = items.select("case_id", "version", "fold", "features", "who", "said", "evidence", "heard").mapInArrow(run, kinds)
-        same = F.col("a.case_id").eqNullSafe(F.col("b.case_id")) & F.col("a.version").eqNullSafe(F.col("b.version"))
-        cells = [F.sum(F.when(F.col("label") == s, F.col(f"p{t}")).otherwise(0.0)).alias(f"c{t * K + s}") for t in range(K) for s in range(K)]
-        counts = cut_lineage(self.said.alias("a").join(post.alias("b"), same).select("a.annotator_id", "a.label", *[f"b.p{k}" for k in range(K)]).groupBy("annotator_id").agg(*cells))
-        pooled = np.array([x or 0.0 for x in counts.agg(*[F.sum(f"c{i}") for i in range(K * K)]).first()]).reshape(K, K) + 1
-        pooled = PSEUDO * pooled / pooled.sum(1, keepdims=True)
-        row = [sum((F.col(f"c{t * K + s}") for s in range(1, K)), F.col(f"c{t * K}")) + PSEUDO for t in range(K)]
-        self.table = counts.select("annotator_id", F.array(*[(F.col(f"c{t * K + s}") + float(pooled[t, s])) / row[t] for t in range(K) for s in range(K)]).alias("matrix"))
+        self.tables[id(model)] = self.smoothed(self.cells(self.of_items(post), lambda t: F.col(f"p{t}")))
 
-    def fit(self) -> tuple[DataFrame, Model]:
-        self.start()
-        model, items, solver, tried = Model(np.zeros((0, K, K))), self.heard(), None, False
-        while model.rounds < 2 * WARN_ROUNDS:
-            sums = total(items, model.sums, model.shapes())
+    def step(self, models: list[Model], solver=None) -> None:
+        for m in models:
+            sums = total(self.heard[id(m)], m.sums, m.shapes())
             # The matrices and the rest are maximised against the same posterior.
-            self.update(items, model)
-            model.update(sums, solver)
-            items = self.heard()
-            if model.converged and tried:
-                break
-            if model.converged:
-                tried, solver = True, classifier(items, model)
-                if solver is None:
-                    break
-        return items, model
+            self.maximise(m)
+            m.update(sums, solver)
+            self.heard[id(m)] = self.hear(m)
+
+    def read_by(self, model: Model) -> DataFrame:
+        return self.heard[id(model)]
+
+
+def _fit(fits: Sent | Joined) -> Model:
+    """The likeliest of the fits, with a classifier as prior where it foretells; the same rounds wherever the matrices lie."""
+    models = fits.models
+    while not all(m.converged for m in models):
+        fits.step([m for m in models if not m.converged])
+        if max(m.rounds for m in models) >= WARN_ROUNDS:
+            break
+    model = max(models, key=lambda m: m.likelihood)
+    solver = classifier(fits.read_by(model), model)
+    model.converged = solver is None and model.converged
+    while not model.converged and model.rounds < 2 * WARN_ROUNDS:
+        fits.step([model], solver)
+    return model
 
 
 @dataclass
@@ -366,13 +397,13 @@ def fit_consensus(records: DataFrame, sent: int = SENT_ANNOTATORS) -> Fit:
     )
     items = cut_lineage(items)
     if few:
-        model = _fit(items, len(names)) if names else Model(np.zeros((0, K, K)))
+        model = _fit(Sent(items, len(names))) if names else Model(np.zeros((0, K, K)))
         rows = [(n, i, m.ravel().tolist()) for i, (n, m) in enumerate(zip(names, model.confusion))]
         people = spark.createDataFrame(rows, "annotator_id string, who int, matrix array<double>")
     else:
         joined = Joined(known, items)
-        items, model = joined.fit()
-        people = joined.table.select("annotator_id", F.lit(-1).alias("who"), "matrix")
+        model = _fit(joined)
+        items, people = joined.read_by(model), joined.tables[id(model)].select("annotator_id", F.lit(-1).alias("who"), "matrix")
     if names and not model.converged:
         warnings.warn(f"the consensus has not converged after {model.rounds} rounds", stacklevel=2)
     trust = sum((F.col("matrix")[k * K + k] * float(s) for k, s in enumerate(model.share())), F.lit(0.0))
@@ -391,7 +422,8 @@ def consensus(records: DataFrame, sent: int = SENT_ANNOTATORS) -> tuple[DataFram
 
     The model: every annotator has a confusion matrix drawn to the average one; the evidence that goes with a judgement
     depends on the given and the true label; the label prior of a candidate comes from a regularised classifier of its path's parts
-    where that foretells labels of cases held out, and is the same for all candidates where it does not. Up to ``sent`` annotators are sent to every task; of more, the matrices are joined.
+    where that foretells labels of cases held out, and is the same for all candidates where it does not. The matrices of up to ``sent`` annotators are sent to
+    every task, those of more are joined; starts, rounds and ends are the same, so the result does not depend on it.
     """
     fit = fit_consensus(records, sent)
     fitted = records.sparkSession.sparkContext.broadcast(fit.model)
