@@ -101,6 +101,52 @@ def test_matches_are_the_same_by_lists_of_tokens(spark, corpus, rows):
     assert rows(lists.filter("artifact_id = 2").select("content_terms", "path_terms", "matched_terms")) == [(["billing", "reservation"], [], ["billing", "reservation"])]
 
 
+def written(spark):
+    """Bytes of all shuffles that the session has written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("index", [lexical.content_tokens, lexical.content_token_lists])
+def test_tokens_that_nobody_asks_for_stay(spark, rows, index):
+    terms = spark.createDataFrame([(7, "asked"), (8, "other"), (8, "asked")], "snapshot_id long, term string")
+    files = spark.range(200).select((F.col("id") % 2 + 7).alias("snapshot_id"), F.col("id").alias("artifact_id"), F.col("id").cast("string").alias("sha256"))
+    # Two thousand tokens in each content, of which a query asks for one or two.
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.md5(F.concat_ws("-", i, "id"))), " ")
+    contents = spark.range(200).select(F.col("id").cast("string").alias("sha256"), F.concat(words, F.when(F.col("id") < 3, " Asked Other").otherwise("")).alias("text"))
+    names = spark.createDataFrame([(5, "src/other.ts"), (4, "src/asked.ts")], "id long, path string")
+    before = written(spark)
+    # Lists this small would be broadcast otherwise.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rows(lexical.index_matches(files, terms, index(contents), lexical.path_tokens(names), BY))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(m[0], m[1], m[2], m[3]) for m in found] == [(7, 0, ["asked"], []), (7, 2, ["asked"], []), (7, 4, [], ["asked"]), (8, 1, ["asked", "other"], []), (8, 5, [], ["other"])]
+    assert written(spark) - before < 500_000
+
+
+def test_no_terms_and_many_terms(spark, corpus, rows):
+    c = corpus[0]
+    none = spark.createDataFrame([], "snapshot_id long, term string")
+    assert lexical.index_matches(c.files, none, c.content_index, c.path_index, BY).count() == 0
+    # More terms than there are hash values, so that every token may be asked for.
+    many = spark.range(4 * 2**lexical.SLOTS).select(F.lit(9).cast("long").alias("snapshot_id"), F.col("id").cast("string").alias("term"))
+    few = search.change_terms(change(spark)[0], BY)
+    assert rows(lexical.index_matches(c.files, few.unionByName(many), c.content_index, c.path_index, BY)) == rows(lexical.index_matches(c.files, few, c.content_index, c.path_index, BY))
+
+
+def test_candidates_are_ranked_once_for_their_evidence(spark, corpus):
+    c = corpus[0]
+    changes, queries = change(spark)
+    run = search.search_hybrid(c, changes, queries)
+    ranked = spark.sparkContext.accumulator(0)
+    best, evidence = search.construct_evidence(replace(run, fused=counted(run.fused, ranked)), c, changes, "m")
+    assert best.count() and evidence.count()
+    assert ranked.value == run.fused.count()
+
+
 def test_imports_meet_files_at_stems(spark, rows):
     names = ["src/a", "src/a.js", "src/.js", "src/a.d.ts", "src/index", "src/a/index.js", "index", "src/a.json", "a.jsx.js"]
     specifiers = [n if n.endswith(".js") else f"{n}{e}" for n in names for e in ("", ".js")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewake.functions import text
@@ -79,18 +79,47 @@ def lexical_rank(matches: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+#: Hash values that terms are told apart by before their lists move, as a power of two: 128 KB of bits.
+SLOTS = 20
+
+
+def _slot(token: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(token), 64 - SLOTS)
+
+
+def _asked_slots(terms: DataFrame) -> DataFrame:
+    """``__slots``, one row of fixed size: a bit for each hash value, set if one of the terms has it."""
+    each = terms.select(_slot(F.col("term")).alias("slot")).select(F.shiftright("slot", 6).alias("id"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
+    words = terms.sparkSession.range(2**SLOTS // 64).join(each.groupBy("id").agg(F.bit_or("bit").alias("bits")), "id", "left")
+    return words.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))["bits"].alias("__slots"))
+
+
+def _perhaps_asked(token: Column) -> Column:
+    """Whether a term has the token's hash value: true for every term, and for few other tokens while terms are far fewer than hash values."""
+    slot = _slot(token)
+    return F.getbit(F.get("__slots", F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+
 def index_matches(files: DataFrame, terms: DataFrame, content_index: DataFrame, path_index: DataFrame, by: list[str]) -> DataFrame:
     """Matches of many queries at once by the stored index: ``by, artifact_id`` with sorted ``content_terms, path_terms, matched_terms``.
 
     ``files`` has ``by, artifact_id, sha256``, ``terms`` has ``by, term``, the indexes ``token, sha256`` or ``tokens, sha256``, and ``token, artifact_id``. No text is read.
-    Tokens of a content or a path move in one row, and meet the terms of its query there, so nothing grows with files times tokens.
+    Tokens of a content or a path move in one row, without those that no query at all asks for by their hash values, and meet the terms of the file's own query last.
     """
-    none = F.array().cast("array<string>")
     asked = terms.groupBy(*by).agg(F.collect_set("term").alias("__asked"))
-    contents, paths = (index if "tokens" in index.columns else index.groupBy(key).agg(F.collect_set("token").alias("tokens")) for index, key in ((content_index, "sha256"), (path_index, "artifact_id")))
-    held = lambda: F.coalesce(F.array_intersect("tokens", "__asked"), none)
-    rows = files.select(*by, "artifact_id", "sha256").join(asked, by).join(paths, "artifact_id", "left").withColumn("__path", held()).drop("tokens")
-    rows = rows.join(contents, "sha256", "left").select(*by, "artifact_id", "__path", held().alias("__content")).filter((F.size("__path") > 0) | (F.size("__content") > 0))
+    slots = F.broadcast(_asked_slots(terms))
+
+    def lists(index: DataFrame, key: str, name: str) -> DataFrame:
+        told = index.crossJoin(slots)
+        if "tokens" in index.columns:
+            found = told.select(key, F.filter("tokens", _perhaps_asked).alias(name))
+        else:
+            found = told.filter(_perhaps_asked(F.col("token"))).groupBy(key).agg(F.collect_set("token").alias(name))
+        return found.filter(F.size(name) > 0)
+
+    rows = files.select(*by, "artifact_id", "sha256").join(lists(path_index, "artifact_id", "__path"), "artifact_id", "left").join(lists(content_index, "sha256", "__content"), "sha256", "left").drop("sha256")
+    held = lambda name: F.coalesce(F.array_intersect(name, "__asked"), F.array().cast("array<string>")).alias(name)
+    rows = rows.filter("__path IS NOT NULL OR __content IS NOT NULL").join(asked, by).select(*by, "artifact_id", held("__path"), held("__content")).filter((F.size("__path") > 0) | (F.size("__content") > 0))
     # An artifact may have several contents, and a content several rows of the index.
     every = lambda name: F.sort_array(F.array_distinct(F.flatten(F.collect_list(name))))
     found = rows.groupBy(*by, "artifact_id").agg(every("__content").alias("content_terms"), every("__path").alias("path_terms"))

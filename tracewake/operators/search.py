@@ -71,8 +71,8 @@ def search_hybrid(corpus: Corpus, changes: DataFrame, queries: DataFrame, k: int
     return Run(matches, signals, best, deterministic, ranked, fusion.fuse(deterministic, ranked, by, k), k)
 
 
-def inconsistent_candidates(fused: DataFrame, run: Run, corpus: Corpus) -> DataFrame:
-    """``by, artifact_id, problem`` of candidates that the snapshot or the run's own rankings do not bear out; none of a sound run.
+def _judged(fused: DataFrame, run: Run, corpus: Corpus) -> DataFrame:
+    """Adds ``problem`` to candidates, null where the snapshot and the run's own rankings bear a candidate out.
 
     A candidate must be that version and path of that artifact, with the ranks and category of the rankings, and every signal must be an edge of the snapshot.
     """
@@ -93,17 +93,22 @@ def inconsistent_candidates(fused: DataFrame, run: Run, corpus: Corpus) -> DataF
         .when(~F.col("deterministic_rank").eqNullSafe(F.col("__det")) | ~F.col("deterministic_category").eqNullSafe(F.col("__category")), "not so in the deterministic ranking")
         .when(~F.col("semantic_rank").eqNullSafe(F.col("__sem")), "not so in the semantic ranking").when(F.col("__loose"), "a signal without an edge")
     )
-    return rows.select(*key, problem.alias("problem")).filter("problem IS NOT NULL")
+    return rows.select(*[fused[c] for c in fused.columns], problem.alias("problem"))
+
+
+def inconsistent_candidates(fused: DataFrame, run: Run, corpus: Corpus) -> DataFrame:
+    """``by, artifact_id, problem`` of candidates that the snapshot or the run's own rankings do not bear out; none of a sound run."""
+    return _judged(fused, run, corpus).select(*corpus.by, "artifact_id", "problem").filter("problem IS NOT NULL")
 
 
 def construct_evidence(run: Run, corpus: Corpus, changes: DataFrame, model: str, limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """The best candidates of each change that did not change themselves, with fused ranks, and all evidence of these; a candidate that is not borne out is an error."""
     by = corpus.by
     seeds = changes.select(*by, F.explode("changed").alias("path")).distinct()
-    best = evidence.top(run.fused, seeds, by, limit)
-    bad = inconsistent_candidates(best, run, corpus).groupBy(*by, "artifact_id").agg(F.first("problem").alias("__problem"))
-    checked = best.join(bad, [*by, "artifact_id"], "left")
-    checked = checked.withColumn("path", F.when(F.col("__problem").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("candidate "), F.col("path"), F.lit(": "), F.col("__problem"))).cast("string"))).drop("__problem")
+    # Written down by itself, so that what the ranking moved is gone when the check moves its own.
+    best = cut_lineage(evidence.top(run.fused, seeds, by, limit))
+    judged = _judged(best, run, corpus)
+    checked = judged.withColumn("path", F.when(F.col("problem").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("candidate "), F.col("path"), F.lit(": "), F.col("problem"))).cast("string"))).drop("problem")
     named = run.signals.join(corpus.files.select(*by, F.col("artifact_id").alias("changed_id"), F.col("path").alias("changed_path")), [*by, "changed_id"])
     checked = cut_lineage(checked)
     return checked, evidence.evidence_rows(checked, named, run.matches, run.best, by, run.k, model)
