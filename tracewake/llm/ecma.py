@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from tracewake.llm.gll import END, Grammar
+from tracewake.llm.gll import BREAK, END, Grammar
 
 JS, JSX, TS, TSX = 1, 2, 4, 8
 DIALECTS = {"js": JS, "jsx": JSX, "ts": TS, "tsx": TSX, "t": TS | TSX, "x": JSX | TSX}
@@ -126,12 +126,14 @@ IndexSignature = ('readonly' | 'static')* '[' Id ':' Type ']' ':' Type ;
 ECMA = Grammar(GRAMMAR, KIND, DIALECTS, "Module")
 ECMA.closers = frozenset({KIND["}"], END})
 
-_SPACE = r"(?:[ \t\f\v\r\n ﻿    -   　]+|//[^\n\r  ]*|/\*[\s\S]*?\*/)*"
+_BLANK = r"[ \t\f\v\r\n ﻿    -   　]*+"
+#: What is blank or a comment stays so, whatever follows.
+_SPACE = rf"{_BLANK}(?:(?://[^\n\r  ]*+|/\*[\s\S]*?\*/){_BLANK})*+"
 _TOKEN = re.compile(
     rf"({_SPACE})(?:"
-    r"(?P<w>[^\W\d]\w*(?![\w$\\‌‍]))"
-    r"|(?P<p>\.\.\.|=>|===|!==|[!=]=|\?\.(?!\d)|\*\*=|&&=|\|\|=|\?\?=|<<=|[-+*%&|^]=|\+\+|--|&&|\|\||\?\?|\*\*|<<|<=|\.(?!\d)|[{}()\[\];,<>?:=+\-*%&|^!~@])"
-    r"|(?P<s>'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\")"
+    r"(?P<w>[^\W\d]\w*+(?![\w$\\‌‍]))"
+    r"|(?P<p>[{}()\[\];,:~@]|\.\.\.|=>|===|!==|[!=]=|\?\.(?!\d)|\*\*=|&&=|\|\|=|\?\?=|<<=|[-+*%&|^]=|\+\+|--|&&|\|\||\?\?|\*\*|<<|<=|\.(?!\d)|[<>?=+\-*%&|^!])"
+    r"|(?P<s>'[^'\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^'\\\n\r]*+)*+'|\"[^\"\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^\"\\\n\r]*+)*+\")"
     r"|(?P<n>(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$]))"
     r"|(?P<d>/)"
     r"|(?P<q>`)"
@@ -139,7 +141,7 @@ _TOKEN = re.compile(
     r"|(?P<e>\Z))"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
-_QUASI = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
+_QUASI = re.compile(r"[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*+)*+(`|\$\{)")
 _JSX_NAME = re.compile(r"\s*([\w$.:-]*)")
 _JSX_TAG = re.compile(_SPACE + r"""(?:(?P<n>[\w$][\w$:.-]*)|(?P<s>"[^"]*"|'[^']*')|(?P<p>[={>/<]))""")
 _JSX_TEXT = re.compile(r"[^<{>}]*")
@@ -151,7 +153,6 @@ _BREAK_MATTERS = _OPERAND_END | frozenset(KIND[k] for k in ("return", "break", "
 _GOES_ON = frozenset(KIND[k] for k in ("else", "catch", "finally", "while", "instanceof", "in", "of", "as", "satisfies"))
 _STARTS = frozenset(WORDS.values()) - _GOES_ON | {_ID, KIND["private"]}
 _OPEN_BEFORE_STATEMENT = frozenset(KIND[k] for k in ("id", "string", ";", "{", "}", "block", *_CONTEXTUAL)) | {""}
-BREAK = "\n"
 #: Begins a sequence that stands in a block, where neither imports nor exports may be.
 INNER = "\x01"
 
@@ -258,19 +259,23 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
         m = match(text, at)
         if m is None:
             raise Invalid
-        group = m.lastgroup
-        space = m.group(1)
-        broke = bool(space) and ("\n" in space or "\r" in space or " " in space or " " in space)
+        group = m.lastindex
         at = m.end()
-        closes = None
-        if group == "w":
-            kind = words.get(m.group("w"), _ID)
-            if previous == kinds["."] or previous == kinds["?."]:
-                kind = _ID
-        elif group == "p":
-            c = m.group("p")
-            kind = kinds.get(c) or kinds["op="]
-            if c == "}" and stack and stack[-1][0] == "`":
+        broke = False
+        if previous in _BREAK_MATTERS:
+            space = m[1]
+            broke = bool(space) and space != " " and ("\n" in space or "\r" in space or "\u2028" in space or "\u2029" in space)
+        if group == _WORD:
+            kind = _ID if previous in _DOTS else words.get(m[group], _ID)
+            if kind == _CLASS:
+                class_seen = True
+            after_condition = False
+        elif group == _MARK:
+            c = m[group]
+            kind = kinds.get(c) or _ASSIGN
+            if c not in _TELLING:
+                after_condition = False
+            elif c == "}" and stack and stack[-1][0] == "`":
                 stack.pop()
                 depth -= 1
                 q = _QUASI.match(text, at)
@@ -283,18 +288,19 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
                     kind = kinds["t-middle"]
                     stack.append(("`", False, False, False))
                     depth += 1
-                broke = False
+                broke = after_condition = False
             elif c in "{([":
                 block = False
                 if c == "{" and fold:
-                    block = previous in _BEFORE_BLOCK or (previous == kinds[")"] and not was_switch and not class_seen)
-                stack.append(({"{": "}", "(": ")", "[": "]"}[c], previous in _CONDITION if c == "(" else previous in _OPEN_BEFORE_STATEMENT, block, previous == kinds["switch"]))
+                    block = previous in _BEFORE_BLOCK or (previous == _ROUND_END and not was_switch and not class_seen)
+                stack.append((_CLOSER[c], previous in _CONDITION if c == "(" else previous in _OPEN_BEFORE_STATEMENT, block, previous == _SWITCH))
                 if block:
                     frames.append((current, depth))
                     current, depth = [], 0
                     previous, after_condition, class_seen = "", False, False
                     continue
                 depth += 1
+                after_condition = False
                 if c == "{":
                     class_seen = False
             elif c in "})]":
@@ -309,13 +315,15 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
                     previous, after_condition, class_seen = _BLOCK, True, False
                     continue
                 depth -= 1
+                after_condition = closes[1] and c != "]"
+                was_switch = closes[3]
             elif c == "<":
                 operand = previous in _OPERAND_END and not after_condition
                 if not operand:
                     angle = True
                     if jsx and not _GENERIC.match(text, at - 1) and re.compile(r"\s*[A-Za-z_$>]").match(text, at):
                         name = _JSX_NAME.match(text, at)
-                        if broke and previous in _BREAK_MATTERS:
+                        if broke:
                             current.append(BREAK)
                         current.append(kinds["jsx<"])
                         if name[1]:
@@ -323,35 +331,42 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
                         stack.append(("jsx", name[1], True))
                         at = name.end()
                         continue
-            elif c == ";":
-                class_seen = False
-        elif group == "s":
+                after_condition = False
+            else:
+                class_seen = after_condition = False
+        elif group == _STRING:
             kind = kinds["string"]
-        elif group == "n":
+            after_condition = False
+        elif group == _NUMBER:
             kind = kinds["number"]
-        elif group == "d":
+            after_condition = False
+        elif group == _SLASH:
             if previous in _OPERAND_END and not after_condition:
                 kind = kinds["/"]
                 if text.startswith("=", at):
                     at += 1
-                    kind = kinds["op="]
+                    kind = _ASSIGN
             else:
                 r = _REGEX.match(text, at - 1)
                 if not r:
                     raise Invalid
                 at = r.end()
                 kind = kinds["regex"]
-        elif group == "q":
+            after_condition = False
+        elif group == _QUOTE:
             q = _QUASI.match(text, at)
             if not q:
                 raise Invalid
             at = q.end()
             kind = kinds["template"]
             if q[1] == "${":
-                kind = kinds["t-head"]
-        elif group == "i":
-            word = m.group("i")
-            kind = kinds["private"] if word[0] == "#" else _ID
+                kind = _HEAD
+                stack.append(("`", False, False, False))
+                depth += 1
+            after_condition = False
+        elif group == _NAME:
+            kind = kinds["private"] if m[group][0] == "#" else _ID
+            after_condition = False
         else:
             if at < size or stack or frames:
                 raise Invalid
@@ -359,33 +374,24 @@ def segments(text: str, jsx: bool, fold: bool = True) -> tuple[set[str], bool]:
                 done.add("".join(current))
             return done, angle
 
-        if fold and depth == (1 if closes is None and group == "p" and kind in _OPENERS else 0) and current and kind in _ANY_START:
-            last = current[-1]
-            if (last == _SEMI and kind not in _GOES_ON) or (last == _BLOCK and broke and kind in _STARTS):
+        if fold and (previous == _SEMI or previous == _BLOCK) and depth == (kind in _OPENERS) and current and kind in _ANY_START:
+            if (previous == _SEMI and kind not in _GOES_ON) or (previous == _BLOCK and broke and kind in _STARTS):
                 if not (current[0] == _DO and kind == _WHILE):
                     done.add((INNER if frames else "") + "".join(current))
                     current = []
-        if broke and previous in _BREAK_MATTERS and current:
+        if broke and current:
             current.append(BREAK)
         current.append(kind)
-        if group == "p":
-            if closes is not None:
-                after_condition = closes[1] and (kind == kinds[")"] or kind == kinds["}"])
-                was_switch = closes[3]
-            else:
-                after_condition = False
-        else:
-            after_condition = False
-            if kind == kinds["t-head"]:
-                stack.append(("`", False, False, False))
-                depth += 1
-            elif kind == _CLASS and previous != kinds["."]:
-                class_seen = True
         previous = kind
 
 
-_SEMI, _DO, _WHILE, _CLASS = KIND[";"], KIND["do"], KIND["while"], KIND["class"]
-_OPENERS = frozenset(KIND[k] for k in "{([")
+_WORD, _MARK, _STRING, _NUMBER, _SLASH, _QUOTE, _NAME = (_TOKEN.groupindex[g] for g in "wpsndqi")
+_SEMI, _DO, _WHILE, _CLASS, _SWITCH, _ASSIGN, _HEAD, _ROUND_END = (KIND[k] for k in (";", "do", "while", "class", "switch", "op=", "t-head", ")"))
+_OPENERS = frozenset(KIND[k] for k in ("{", "(", "[", "t-head"))
+_DOTS = frozenset(KIND[k] for k in (".", "?."))
+_CLOSER = {"{": "}", "(": ")", "[": "]"}
+#: Marks that more depends on than their own kind.
+_TELLING = frozenset("{([])}<;")
 _ANY_START = frozenset(KIND.values()) - frozenset(KIND[k] for k in ("}", ")", "]", "block"))
 
 #: Dialects of the sequences met so far, by kinds; the result of a sequence depends on nothing else.
@@ -399,6 +405,7 @@ _COMMA, _ROUND = KIND[","], {KIND["("]: KIND[")"], KIND["["]: KIND["]"], KIND["{
 _CLOSERS = frozenset(_ROUND.values())
 #: What may be an operator or a bracket; which of them close each other only the grammar knows.
 _PERHAPS_BRACKETS = frozenset(KIND[k] for k in ("<", ">", "<<", "jsx<", "jsx</", "t-head", "t-middle", "t-tail"))
+_SYMBOL = re.compile(f"{BREAK}?[^{BREAK}]")
 _REPEATS = re.compile(f"({_COMMA}.{{1,60}}?)\\1{{2,}}", re.S)
 
 
@@ -454,14 +461,8 @@ def _accepts(sequence: str, mask: int) -> int:
 
 def recognised(sequence: str, mask: int) -> int:
     """The dialects of ``mask`` in which a sequence of kinds is valid."""
-    kinds, breaks = [], set()
     inner = sequence.startswith(INNER)
-    for c in sequence[inner:]:
-        if c == BREAK:
-            breaks.add(len(kinds))
-        else:
-            kinds.append(c)
-    return ECMA.recognise("".join(kinds), breaks, mask, "Inner" if inner else None)
+    return ECMA.run(_SYMBOL.findall(sequence, inner), mask, "Inner" if inner else None)
 
 
 def _dialects(text: str, jsx: bool, mask: int) -> tuple[int, bool]:

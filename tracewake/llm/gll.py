@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 END = "\x03"
+#: Before a token: a line break.
+BREAK = "\n"
 
 
 class Grammar:
-    """Rules compiled to recursive transition networks.
+    """Rules compiled to recursive transition networks, which become deterministic as texts are met.
 
     The text holds rules ``Name = expression ;`` with alternatives ``|``, groups ``( )``, ``? * +``, terminals in quotes, names, and
     guards ``[dialects]`` that limit the rest of an alternative's next item to some dialects. Zero-width items:
     ``@nl`` (a line break before the next token), ``@same`` (none), ``@semi`` (a statement may end here without a semicolon),
     ``@not('a','b')`` (the next token is none of these).
+
+    A place is a state of a network and the states to return to from the rules that are taken up into it: all but enough rules to
+    leave no recursion. A set of places, each with its dialects, is one state of the recogniser. What follows from it before a token
+    is found out once and kept, so alternatives that begin alike, and rules that only hand on to others, cost nothing.
     """
 
     def __init__(self, text: str, terminals: dict[str, str], dialects: dict[str, int], start: str):
@@ -161,65 +169,150 @@ class Grammar:
                 if these:
                     by[k] = these
             self.called.append(by)
+        self.kept = self._recursive()
+        self.numbers: dict[frozenset, int] = {}
+        self.places: list[dict] = []
+        self.rows: list[dict[str, tuple]] = []
+        self.entries = {r: self._number({(s, ()): self.all}) for r, s in self.starts.items()}
 
-    def recognise(self, kinds: str, breaks: frozenset[int] | set[int], mask: int | None = None, start: str | None = None) -> int:
-        """The dialects whose language holds the token sequence; ``breaks`` are the tokens that a line break comes before."""
-        mask = self.all if mask is None else mask
-        moves, called, jumps, final, starts = self.moves, self.called, self.jumps, self.final, self.starts
-        kinds = kinds + END
-        n = len(kinds) - 1
-        nodes: dict = {}
-        # A node of the stack: its edges (return state, parent, mask), and the ends at which it was popped.
-        root = ([], {})
-        begin = starts[start or self.start]
-        seen: dict = {}
-        todo = [(begin, root, 0, mask)]
+    def _recursive(self) -> set[str]:
+        """Rules without which none calls itself, the most called first."""
+        callees = {}
+        for r, s in self.starts.items():
+            seen, todo, names = set(), [s], []
+            while todo:
+                q = todo.pop()
+                if q not in seen:
+                    seen.add(q)
+                    names += [name for _, name, _ in self.calls[q]]
+                    todo += [t for ts in self.moves[q].values() for _, t in ts] + [t for _, _, t in self.calls[q]] + [t for _, t, _ in self.jumps[q]]
+            callees[r] = set(names)
+        kept: set[str] = set()
+        while True:
+            cyclic = set()
+            for r in callees.keys() - kept:
+                seen, todo = set(), [r]
+                while todo:
+                    new = callees[todo.pop()] - kept - seen
+                    seen |= new
+                    todo += new
+                if r in seen:
+                    cyclic.add(r)
+            if not cyclic:
+                return kept
+            kept.add(max(sorted(cyclic), key=lambda r: sum(r in callees[c] for c in cyclic) * len(callees[r] & cyclic)))
+
+    def _number(self, places: dict) -> int:
+        key = frozenset(places.items())
+        if key not in self.numbers:
+            self.numbers[key] = len(self.rows)
+            self.places.append(places)
+            self.rows.append({})
+        return self.numbers[key]
+
+    def _row(self, number: int, symbol: str) -> tuple:
+        """What follows from a set of places before a token: the dialects in which the rule may end, those that take the token and the places then, and calls of kept rules as entry, dialects and places after."""
+        broken, token = len(symbol) > 1, symbol[-1]
+        ends, moved, called = 0, {}, {}
+        reach: dict = {}
+        todo = list(self.places[number].items())
         while todo:
-            state, node, pos, m = todo.pop()
-            key = (state, id(node), pos)
-            old = seen.get(key, 0)
+            place, m = todo.pop()
+            old = reach.get(place, 0)
             m &= ~old
             if not m:
                 continue
-            seen[key] = old | m
-            token = kinds[pos]
-            f = final[state] & m
-            if f:
-                popped = node[1]
-                new = f & ~popped.get(pos, 0)
-                if new:
-                    popped[pos] = popped.get(pos, 0) | new
-                    for back, parent, g in node[0]:
-                        if new & g:
-                            todo.append((back, parent, pos, new & g))
-            for g, t in moves[state].get(token, ()):
-                if m & g:
-                    todo.append((t, node, pos + 1, m & g))
-            for g, t, c in jumps[state]:
-                g &= m
-                if g:
+            reach[place] = old | m
+            state, back = place
+            f = self.final[state] & m
+            if f and back:
+                todo.append(((back[-1], back[:-1]), f))
+            elif f:
+                ends |= f
+            for g, t in self.moves[state].get(token, ()):
+                if g & m:
+                    moved[t, back] = moved.get((t, back), 0) | g & m
+            for g, t, c in self.jumps[state]:
+                if g & m:
                     what = c[0]
                     if what == "same":
-                        ok = pos not in breaks
+                        ok = not broken
                     elif what == "nl":
-                        ok = pos in breaks
+                        ok = broken
                     elif what == "semi":
-                        ok = pos in breaks or token in self.closers
+                        ok = broken or token in self.closers
                     else:
                         ok = token not in c[1]
                     if ok:
-                        todo.append((t, node, pos, g))
-            for g, name, t in called[state].get(token, ()):
-                g &= m
-                if g:
-                    child = nodes.get((name, pos))
-                    if child is None:
-                        child = nodes[(name, pos)] = ([], {})
-                    child[0].append((t, node, g))
-                    for end, p in child[1].items():
-                        if p & g:
-                            todo.append((t, node, end, p & g))
-                    todo.append((starts[name], child, pos, g))
+                        todo.append(((t, back), g & m))
+            for g, name, t in self.called[state].get(token, ()):
+                if not g & m:
+                    continue
+                if name in self.kept:
+                    after = called.setdefault(name, {})
+                    after[t, back] = after.get((t, back), 0) | g & m
+                else:
+                    over = self.final[t] == self.all and not (self.moves[t] or self.calls[t] or self.jumps[t])
+                    todo.append(((self.starts[name], back if over else (*back, t)), g & m))
+        union = lambda places: reduce(or_, places.values(), 0)
+        row = ends, union(moved), self._number(moved) if moved else -1, tuple((self.entries[name], union(after), self._number(after)) for name, after in called.items())
+        self.rows[number][symbol] = row
+        return row
+
+    def recognise(self, kinds: str, breaks: frozenset[int] | set[int], mask: int | None = None, start: str | None = None) -> int:
+        """The dialects whose language holds the token sequence; ``breaks`` are the tokens that a line break comes before."""
+        return self.run([BREAK + k if i in breaks else k for i, k in enumerate(kinds)], mask, start)
+
+    def run(self, symbols: list[str], mask: int | None = None, start: str | None = None) -> int:
+        """The same for a list of tokens, each with a BREAK before it where a line break is."""
+        rows = self.rows
+        n = len(symbols)
+        symbols = [*symbols, END]
+        nodes: dict = {}
+        # A node of the stack: its edges (places after, parent, mask), the ends at which it was popped, and what was met in it.
+        root: tuple = ([], {}, {})
+        todo = [(self.entries[start or self.start], root, 0, self.all if mask is None else mask)]
+        while todo:
+            number, node, pos, m = todo.pop()
+            while True:
+                symbol = symbols[pos]
+                row = rows[number].get(symbol) or self._row(number, symbol)
+                f, g, target, calls = row
+                if f or calls:
+                    seen = node[2]
+                    key = (number, pos)
+                    old = seen.get(key, 0)
+                    m &= ~old
+                    if not m:
+                        break
+                    seen[key] = old | m
+                    f &= m
+                    if f:
+                        popped = node[1]
+                        old = popped.get(pos, 0)
+                        f &= ~old
+                        if f:
+                            popped[pos] = old | f
+                            for back, parent, h in node[0]:
+                                if f & h:
+                                    todo.append((back, parent, pos, f & h))
+                    for entry, h, after in calls:
+                        h &= m
+                        if h:
+                            key = (entry, pos)
+                            child = nodes.get(key)
+                            if child is None:
+                                child = nodes[key] = ([], {}, {})
+                            child[0].append((after, node, h))
+                            for end, p in child[1].items():
+                                if p & h:
+                                    todo.append((after, node, end, p & h))
+                            todo.append((entry, child, pos, h))
+                m &= g
+                if not m:
+                    break
+                number = target
+                pos += 1
         return root[1].get(n, 0)
 
     closers = frozenset()
